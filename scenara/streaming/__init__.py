@@ -1,0 +1 @@
+"""Every input of the toolkit is a stored table, so there is no streaming operator."""
