@@ -94,14 +94,14 @@ IMPORTED = "coalesce('imported ' || carrier, 'domestic natural gas')"
 TRADED = "coalesce('traded ' || carrier, 'unsold gas')"
 SUBSECTOR = (
     "CASE WHEN kind = 'PROMO' THEN 'statistical differences' "
-    "ELSE region || ' traded ' || coalesce(carrier, 'unsold gas') END"
+    f"ELSE region || ' ' || {TRADED} END"
 )
 CTES["regional_gas"] = f"""
 SELECT CASE WHEN kind = 'ECONOMY' THEN 'Mt' ELSE 'EJ' END AS "Units", scenario, region,
-  {IMPORTED} AS subsector, {IMPORTED} AS technology, year, value FROM base"""
+  {IMPORTED} AS subsector, {IMPORTED} AS technology, year, sum(value) AS value FROM base GROUP BY ALL"""
 CTES["traded_gas"] = f"""
 SELECT 'EJ' AS "Units", scenario, {TRADED} AS sector, {SUBSECTOR} AS subsector, {TRADED} AS technology,
-  'gas' AS output, year, value FROM base"""
+  'gas' AS output, year, sum(value) AS value FROM base GROUP BY ALL"""
 CTES["traded_gas_vintage"] = f"""
 SELECT 'EJ' AS "Units", scenario, {TRADED} AS sector, {SUBSECTOR} AS subsector,
   {TRADED} || ',year=' || CAST(vintage AS VARCHAR) AS technology, 'gas' AS output, year, sum(value) AS value

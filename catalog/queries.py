@@ -326,7 +326,7 @@ def named_store_scan(spark, sf_dir):
     base = _scratch(spark)
     for name in ["electricity", "final_energy"]:
         table = star.BUILDERS[name](spark, sf_dir)
-        write_named_table(star._one_row_per_key(table), base, name)
+        write_named_table(table, base, name)
     return rollup_sum(read_named_table(spark, base, "electricity"), ["scenario", "technology", "year"])
 
 

@@ -51,19 +51,26 @@ def _added() -> Column:
     return if_else_strict(F.col("vintage") == F.col("year"), F.col("value"), F.lit(0.0))
 
 
-def _retired(w: WindowSpec) -> Column:
-    return floor_zero(F.coalesce(F.lag("value", 1).over(w), F.lit(0.0)) - F.col("value"))
+def _with_retired(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
+    before = F.coalesce(F.lag("value", 1).over(_by_year(keys)), F.lit(0.0))
+    # a step of its own, so that the lag is computed once
+    return df.withColumn(out, before - F.col("value")).withColumn(out, floor_zero(out))
 
 
-def _naturally_retired(w: WindowSpec, expected: str) -> Column:
-    before = F.lag(expected, 1).over(w)
-    shrinking = (F.col("year") > F.col("vintage")) & (before > F.col(expected))
-    return if_else_strict(shrinking, before - F.col(expected), F.lit(0.0))
-
-
-def _installed(keys: Sequence[str]) -> Column:
+def _with_natural(df: DataFrame, keys: Sequence[str], half_life, steepness, lifetime) -> DataFrame:
+    """Installed stock, its expected course along the S-curve, and the yearly decrease."""
+    whole = _by_year(keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     at_start = F.when(F.col("vintage") == F.col("year"), F.col("value"))
-    return F.max(at_start).over(Window.partitionBy(*keys, "vintage"))
+    shrinking = (F.col("year") > F.col("vintage")) & (F.col("_before") > F.col("expected"))
+    decrease = F.col("_before") - F.col("expected")
+    return (
+        df.withColumn("s_curve_adj", s_curve("year", "vintage", half_life, steepness, lifetime))
+        .withColumn("installed", F.max(at_start).over(whole))
+        .withColumn("expected", F.col("installed") * F.col("s_curve_adj"))
+        .withColumn("_before", F.lag("expected", 1).over(_by_year(keys)))
+        .withColumn("natural_retire", if_else_strict(shrinking, decrease, F.lit(0.0)))
+        .drop("_before")
+    )
 
 
 def additions(df: DataFrame, base_vintage: int = V.BASE_VINTAGE) -> DataFrame:
@@ -73,7 +80,7 @@ def additions(df: DataFrame, base_vintage: int = V.BASE_VINTAGE) -> DataFrame:
 
 def retirements(df: DataFrame, keys: Sequence[str], base_vintage: int = V.BASE_VINTAGE) -> DataFrame:
     """Decrease of each vintage from the year before."""
-    return df.where(F.col("vintage") >= base_vintage).withColumn("retirements", _retired(_by_year(keys)))
+    return _with_retired(df.where(F.col("vintage") >= base_vintage), keys, "retirements")
 
 
 def natural_retirements(
@@ -85,13 +92,7 @@ def natural_retirements(
     lifetime: float = V.S_CURVE_LIFETIME,
 ) -> DataFrame:
     """Expected stock of the base vintage along the S-curve and its yearly decrease."""
-    return (
-        df.where(F.col("vintage") == base_vintage)
-        .withColumn("s_curve_adj", s_curve("year", "vintage", half_life, steepness, lifetime))
-        .withColumn("installed", _installed(keys))
-        .withColumn("expected", F.col("installed") * F.col("s_curve_adj"))
-        .withColumn("natural_retire", _naturally_retired(_by_year(keys), "expected"))
-    )
+    return _with_natural(df.where(F.col("vintage") == base_vintage), keys, half_life, steepness, lifetime)
 
 
 def net_changes(df: DataFrame) -> DataFrame:
@@ -120,16 +121,12 @@ def net_add_ret(
     One shuffle ages the vintages, one sums them: neither the expected stock
     nor the additions need a join.
     """
-    w = _by_year(keys)
-    is_base = F.col("vintage") == base_vintage
     is_new = F.col("vintage") > base_vintage
-    aged = (
-        df.where(F.col("vintage") >= base_vintage)
-        .withColumn("_curve", s_curve("year", "vintage", half_life, steepness, lifetime))
-        .withColumn("_expected", F.when(is_base, _installed(keys) * F.col("_curve")))
-        .withColumn("_natural", F.when(is_base, _naturally_retired(w, "_expected")))
-        .withColumn("_early", floor_zero(_retired(w) - F.coalesce(F.col("_natural"), F.lit(0.0))))
-    )
+    aged = _with_retired(df.where(F.col("vintage") >= base_vintage), keys, "_retired")
+    aged = _with_natural(aged, keys, half_life, steepness, lifetime)
+    # only the base vintage is expected to retire
+    natural = F.when(~is_new, F.coalesce(F.col("natural_retire"), F.lit(0.0))).otherwise(F.lit(0.0))
+    aged = aged.withColumn("_early", F.col("_retired") - natural).withColumn("_early", floor_zero("_early"))
     new = F.when(is_new, _added())
     known = F.count(new) == F.count(F.when(is_new, F.lit(1)))
     totals = aged.groupBy(*keys, "year").agg(

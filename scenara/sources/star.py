@@ -67,7 +67,6 @@ VARIABLES = {
     "PROMO": V.FOSSIL_CO2_VARIABLE,
 }
 ENSEMBLE_YEARS = {1995: 2020, 1996: 2025, 1997: 2030, 1998: 2035, 1999: 2040, 2000: 2050, 2001: 2100}
-ENSEMBLE_LABELS = ["Model", "Scenario", "Region", "Variable", "Unit"]
 LITERATURE_SCENARIOS = {
     "1-URGENT": "historical",
     "2-HIGH": "IEA-STEPS",
@@ -90,10 +89,16 @@ LITERATURE_GROUPS = [
     "Russia",
 ]
 
-FROM_PART = {"kind", "name", "word", "noun"}
-FROM_NATION = {"region"}
-FROM_CUSTOMER = FROM_NATION | {"segment"}
-FROM_ORDERS = FROM_CUSTOMER | {"vintage", "order_year", "priority"}
+# columns read of each star table, declared so that no file footer is opened to plan
+STAR_SCHEMAS = {
+    "nation": "n_nationkey int, n_name string",
+    "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp_ntz,"
+    " o_orderpriority string",
+    "part": "p_partkey bigint, p_name string, p_type string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_quantity double, l_returnflag string,"
+    " l_linestatus string, l_shipdate timestamp_ntz",
+}
 
 
 def recode(c: Column, codes: dict, other: Column | str | None = None) -> Column:
@@ -111,95 +116,142 @@ def model_year(calendar_year: Column) -> Column:
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(STAR_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def order_rows(spark: SparkSession, sf_dir: str, fields: set[str]) -> DataFrame:
-    """Orders with the requested fields of their customer and nation."""
-    o = _read(spark, sf_dir, "orders")
+def _line_fields() -> dict[str, Column]:
+    ship_year = F.year("l_shipdate")
+    return {
+        "scenario": recode(F.concat("l_returnflag", "l_linestatus"), SCENARIO_CODES),
+        "year": model_year(ship_year),
+        "ship_year": ship_year.cast("int"),
+        "line": F.col("l_linenumber"),
+    }
+
+
+def _order_fields() -> dict[str, Column]:
+    priority = F.col("o_orderpriority")
     order_year = F.year("o_orderdate")
-    made = {
-        "priority": F.col("o_orderpriority"),
+    return {
+        "priority": priority,
         "status": F.col("o_orderstatus"),
+        "gas": recode(priority, GASES, "unlisted"),
+        "fuel_units": F.when(priority == "5-LOW", "Mtoe").otherwise("EJ"),
         "order_year": order_year.cast("int"),
         "vintage": model_year(order_year),
     }
-    kept = [made[f].alias(f) for f in made if f in fields]
-    if not fields & FROM_CUSTOMER:
-        return o.select("o_orderkey", *kept)
-    o = o.select("o_orderkey", "o_custkey", *kept)
+
+
+def _part_fields() -> dict[str, Column]:
+    """Category labels, made once per part rather than once per order line."""
+    kind, words = F.col("p_type"), F.split("p_name", " ")
+    word, noun = F.get(words, 0), F.get(words, 1)
+    carrier = recode(word, CARRIERS)
+    traded = F.coalesce(F.concat(F.lit("traded "), carrier), F.lit("unsold gas"))
+
+    def fuel(large: Column, standard: str) -> Column:
+        return (
+            F.when(kind == "SMALL", traded)
+            .when(kind == "LARGE", large)
+            .when(kind == "STANDARD", standard)
+            .when(kind == "MEDIUM", V.NATURAL_GAS_FUEL)
+            .when(kind == "ECONOMY", "a oil")
+            .otherwise("z other")
+        )
+
+    return {
+        "kind": kind,
+        "name": F.col("p_name"),
+        "word": word,
+        "noun": noun,
+        "gas_units": F.when(kind == "ECONOMY", "Mt").otherwise("EJ"),
+        "imported": F.coalesce(F.concat(F.lit("imported "), carrier), F.lit(V.DOMESTIC_GAS)),
+        "traded": traded,
+        "balancing": kind == "PROMO",
+        "fuel": fuel(F.lit("d biomass"), "c coal"),
+        "fuel_ccs": fuel(F.concat(traded, F.lit(" CCS")), "c coal CCS"),
+        "generator": recode(kind, TECHNOLOGIES, "unlisted"),
+        "resource": recode(kind, RESOURCES, "crude oil"),
+        "emitter": recode(word, EMITTERS, "unlisted"),
+        "emitting_subsector": recode(kind, EMITTING_SUBSECTORS, "coal"),
+        "emitting_technology": F.when(noun == "widget", V.GAS_TECHNOLOGY).otherwise(noun),
+        "variable": recode(kind, VARIABLES, "Population"),
+    }
+
+
+def _taken(made: dict[str, Column], wanted: set[str]) -> list[Column]:
+    return [c.alias(name) for name, c in made.items() if name in wanted]
+
+
+def order_rows(spark: SparkSession, sf_dir: str, wanted: set[str]) -> DataFrame:
+    """Orders with the wanted fields of their customer and nation.
+
+    Customer and nation join the orders, not the far longer order lines.
+    """
+    o = _read(spark, sf_dir, "orders")
+    own = _taken(_order_fields(), wanted)
+    if not wanted & {"region", "segment"}:
+        return o.select("o_orderkey", *own)
     c = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("segment"))
-    o = o.join(c, o["o_custkey"] == c["c_custkey"])
-    if fields & FROM_NATION:
+    if "region" in wanted:
         n = _read(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("region"))
-        o = o.join(n, o["c_nationkey"] == n["n_nationkey"])
-    wanted = [f for f in o.columns if f in fields]
-    return o.select("o_orderkey", *wanted)
+        c = c.join(n, c["c_nationkey"] == n["n_nationkey"])
+    o = o.select("o_orderkey", "o_custkey", *own)
+    o = o.join(c, o["o_custkey"] == c["c_custkey"])
+    return o.select("o_orderkey", *[f for f in o.columns if f in wanted])
 
 
 def long_rows(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
-    """Order lines as scenario rows with the requested fields and ``value``.
+    """Order lines as scenario rows with the wanted fields and ``value``.
 
-    Fields: scenario, year, ship_year, line, vintage, order_year, priority,
-    region, segment, kind (part type), name, and its parts word and noun.
+    Only the dimensions that own a wanted field are joined.
     """
     wanted = set(fields)
-    li = _read(spark, sf_dir, "lineitem")
-    ship_year = F.year("l_shipdate")
-    made = {
-        "scenario": recode(F.concat("l_returnflag", "l_linestatus"), SCENARIO_CODES),
-        "year": model_year(ship_year),
-        "ship_year": ship_year.cast("int"),
-        "line": F.col("l_linenumber"),
-    }
-    kept = [made[f].alias(f) for f in made if f in wanted]
-    rows = li.select("l_orderkey", "l_partkey", *kept, F.col("l_quantity").alias("value"))
-    if wanted & FROM_ORDERS:
+    own = _taken(_line_fields(), wanted)
+    rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", *own, F.col("l_quantity").alias("value"))
+    if wanted & {*_order_fields(), "region", "segment"}:
         o = order_rows(spark, sf_dir, wanted)
         rows = rows.join(o, rows["l_orderkey"] == o["o_orderkey"])
-    if wanted & FROM_PART:
-        words = F.split("p_name", " ")
-        parts = {
-            "kind": F.col("p_type"),
-            "name": F.col("p_name"),
-            "word": F.get(words, 0),
-            "noun": F.get(words, 1),
-        }
-        p = _read(spark, sf_dir, "part").select("p_partkey", *[parts[f].alias(f) for f in parts if f in wanted])
+    labels = _taken(_part_fields(), wanted)
+    if labels:
+        p = _read(spark, sf_dir, "part").select("p_partkey", *labels)
         rows = rows.join(p, rows["l_partkey"] == p["p_partkey"])
     return rows.select(*fields, "value")
 
 
-def _carrier(prefix: str, other: str) -> Column:
-    carrier = recode(F.col("word"), CARRIERS)
-    return F.coalesce(F.concat(F.lit(prefix + " "), carrier), F.lit(other))
+def model_rows(spark: SparkSession, sf_dir: str, *fields: str, where: Column | None = None) -> DataFrame:
+    """``long_rows`` summed to one row per key, as model output is.
+
+    The partial sums shrink the order lines before anything is shuffled, and
+    labels are packed on the few summed rows.
+    """
+    rows = long_rows(spark, sf_dir, *fields)
+    if where is not None:
+        rows = rows.where(where)
+    return rows.groupBy(*fields).agg(F.sum("value").alias("value"))
 
 
 def regional_gas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    technology = _carrier("imported", V.DOMESTIC_GAS)
-    return long_rows(spark, sf_dir, "scenario", "region", "kind", "word", "year").select(
-        F.when(F.col("kind") == "ECONOMY", "Mt").otherwise("EJ").alias("Units"),
+    return model_rows(spark, sf_dir, "scenario", "region", "gas_units", "imported", "year").select(
+        F.col("gas_units").alias("Units"),
         "scenario",
         "region",
         F.lit("regional natural gas").alias("sector"),
-        technology.alias("subsector"),
-        technology.alias("technology"),
+        F.col("imported").alias("subsector"),
+        F.col("imported").alias("technology"),
         "year",
         "value",
     )
 
 
 def _traded(rows: DataFrame, technology: Column) -> DataFrame:
-    carrier = F.coalesce(recode(F.col("word"), CARRIERS), F.lit("unsold gas"))
-    subsector = F.when(F.col("kind") == "PROMO", V.BALANCING_SUBSECTOR).otherwise(
-        F.concat("region", F.lit(" traded "), carrier)
-    )
+    pair = F.concat("region", F.lit(" "), "traded")
     return rows.select(
         F.lit("EJ").alias("Units"),
         "scenario",
         F.lit("Global").alias("region"),
-        _carrier("traded", "unsold gas").alias("sector"),
-        subsector.alias("subsector"),
+        F.col("traded").alias("sector"),
+        F.when(F.col("balancing"), V.BALANCING_SUBSECTOR).otherwise(pair).alias("subsector"),
         technology.alias("technology"),
         F.lit("gas").alias("output"),
         "year",
@@ -208,139 +260,99 @@ def _traded(rows: DataFrame, technology: Column) -> DataFrame:
 
 
 def traded_gas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = long_rows(spark, sf_dir, "scenario", "region", "kind", "word", "year")
-    return _traded(rows, _carrier("traded", "unsold gas"))
+    rows = model_rows(spark, sf_dir, "scenario", "region", "traded", "balancing", "year")
+    return _traded(rows, F.col("traded"))
 
 
-def _with_vintage(technology: Column) -> Column:
+def _with_vintage(technology: str) -> Column:
     return F.concat(technology, F.lit(",year="), F.col("vintage").cast("string"))
 
 
-def _one_row_per_key(df: DataFrame) -> DataFrame:
-    return df.groupBy(*[c for c in df.columns if c != "value"]).agg(F.sum("value").alias("value"))
-
-
 def traded_gas_vintage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = long_rows(spark, sf_dir, "scenario", "region", "kind", "word", "vintage", "year")
-    rows = rows.where(F.col("vintage") <= F.col("year"))
-    return _one_row_per_key(_traded(rows, _with_vintage(_carrier("traded", "unsold gas"))))
+    fields = ("scenario", "region", "traded", "balancing", "vintage", "year")
+    rows = model_rows(spark, sf_dir, *fields, where=F.col("vintage") <= F.col("year"))
+    return _traded(rows, _with_vintage("traded"))
 
 
 def regional_gas_vintage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = long_rows(spark, sf_dir, "scenario", "region", "word", "vintage", "year")
-    rows = rows.where(F.col("vintage") <= F.col("year")).select(
-        F.lit("EJ").alias("Units"),
-        "scenario",
-        "region",
-        _with_vintage(_carrier("imported", V.DOMESTIC_GAS)).alias("technology"),
-        "year",
-        "value",
-    )
-    return _one_row_per_key(rows)
-
-
-def primary(spark: SparkSession, sf_dir: str, capture: bool) -> DataFrame:
-    traded = _carrier("traded", "unsold gas")
-    fuel = (
-        F.when(F.col("kind") == "SMALL", traded)
-        .when(F.col("kind") == "LARGE", F.concat(traded, F.lit(" CCS")) if capture else F.lit("d biomass"))
-        .when(F.col("kind") == "STANDARD", "c coal CCS" if capture else "c coal")
-        .when(F.col("kind") == "MEDIUM", V.NATURAL_GAS_FUEL)
-        .when(F.col("kind") == "ECONOMY", "a oil")
-        .otherwise("z other")
-    )
-    rows = long_rows(spark, sf_dir, "scenario", "region", "kind", "word", "priority", "year")
-    units = F.when(F.col("priority") == "5-LOW", "Mtoe").otherwise("EJ")
-    return rows.select(units.alias("Units"), "scenario", "region", fuel.alias("fuel"), "year", "value")
+    fields = ("scenario", "region", "imported", "vintage", "year")
+    rows = model_rows(spark, sf_dir, *fields, where=F.col("vintage") <= F.col("year"))
+    technology = _with_vintage("imported").alias("technology")
+    return rows.select(F.lit("EJ").alias("Units"), "scenario", "region", technology, "year", "value")
 
 
-def electricity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    technology = recode(F.col("kind"), TECHNOLOGIES, "unlisted")
-    rows = long_rows(spark, sf_dir, "scenario", "region", "kind", "year")
-    return rows.select("scenario", "region", technology.alias("technology"), "year", "value")
+def primary(spark: SparkSession, sf_dir: str, fuel: str) -> DataFrame:
+    rows = model_rows(spark, sf_dir, "scenario", "region", fuel, "fuel_units", "year")
+    names = F.col("fuel_units").alias("Units"), F.col(fuel).alias("fuel")
+    return rows.select(names[0], "scenario", "region", names[1], "year", "value")
 
 
-def final_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = long_rows(spark, sf_dir, "scenario", "region", "noun", "year")
-    return rows.withColumnRenamed("noun", "input")
-
-
-def _resource() -> Column:
-    return recode(F.col("kind"), RESOURCES, "crude oil")
+def electricity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = model_rows(spark, sf_dir, "scenario", "region", "generator", "year")
+    return rows.withColumnRenamed("generator", "technology")
 
 
-def _gas() -> Column:
-    return recode(F.col("priority"), GASES, "unlisted")
+def final_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model_rows(spark, sf_dir, "scenario", "region", "noun", "year").withColumnRenamed("noun", "input")
 
 
 def resource_production(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = long_rows(spark, sf_dir, "scenario", "region", "kind", "year")
-    return rows.select(F.lit("EJ").alias("Units"), "scenario", "region", _resource().alias("resource"), "year", "value")
+    rows = model_rows(spark, sf_dir, "scenario", "region", "resource", "year")
+    return rows.select(F.lit("EJ").alias("Units"), *rows.columns)
 
 
 def sector_emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long_rows(spark, sf_dir, "scenario", "region", "word", "priority", "year").select(
-        F.lit("Tg").alias("Units"),
-        "scenario",
-        "region",
-        recode(F.col("word"), EMITTERS, "unlisted").alias("sector"),
-        _gas().alias("ghg"),
-        "year",
-        "value",
-    )
+    rows = model_rows(spark, sf_dir, "scenario", "region", "emitter", "gas", "year")
+    rows = rows.withColumnsRenamed({"emitter": "sector", "gas": "ghg"})
+    return rows.select(F.lit("Tg").alias("Units"), *rows.columns)
 
 
 def resource_emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long_rows(spark, sf_dir, "scenario", "region", "kind", "priority", "year").select(
+    return model_rows(spark, sf_dir, "scenario", "region", "resource", "kind", "gas", "year").select(
         F.lit("Tg").alias("Units"),
         "scenario",
         "region",
-        _resource().alias("resource"),
-        F.concat(_resource(), F.lit(" "), F.lower("kind")).alias("subresource"),
-        _gas().alias("ghg"),
+        "resource",
+        F.concat("resource", F.lit(" "), F.lower("kind")).alias("subresource"),
+        F.col("gas").alias("ghg"),
         "year",
         "value",
     )
 
 
 def technology_emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = ("scenario", "region", "kind", "word", "noun", "priority", "year")
-    return long_rows(spark, sf_dir, *fields).select(
-        F.lit("Tg").alias("Units"),
-        "scenario",
-        "region",
-        recode(F.col("word"), EMITTERS, "unlisted").alias("sector"),
-        recode(F.col("kind"), EMITTING_SUBSECTORS, "coal").alias("subsector"),
-        F.when(F.col("noun") == "widget", V.GAS_TECHNOLOGY).otherwise(F.col("noun")).alias("technology"),
-        _gas().alias("ghg"),
-        "year",
-        "value",
-    )
+    labels = {
+        "emitter": "sector",
+        "emitting_subsector": "subsector",
+        "emitting_technology": "technology",
+        "gas": "ghg",
+    }
+    rows = model_rows(spark, sf_dir, "scenario", "region", *labels, "year").withColumnsRenamed(labels)
+    return rows.select(F.lit("Tg").alias("Units"), *rows.columns)
 
 
 def land_use_emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long_rows(spark, sf_dir, "scenario", "region", "year")
+    return model_rows(spark, sf_dir, "scenario", "region", "year")
 
 
 def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide ensemble: one member per market segment and nation."""
-    rows = long_rows(spark, sf_dir, "segment", "region", "kind", "ship_year")
-    keys = [
+    rows = long_rows(spark, sf_dir, "segment", "region", "variable", "ship_year")
+    by_year = [
+        F.sum(F.when(F.col("ship_year") == y, F.col("value"))).alias(str(model)) for y, model in ENSEMBLE_YEARS.items()
+    ]
+    wide = rows.groupBy("segment", "region", "variable").agg(*by_year)
+    cells = {str(m): F.col(f"`{m}`") for m in ENSEMBLE_YEARS.values()}
+    warming = F.col("variable") == V.WARMING_VARIABLE
+    return wide.select(
         F.col("segment").alias("Model"),
         F.col("region").alias("Scenario"),
         F.lit("World").alias("Region"),
-        recode(F.col("kind"), VARIABLES, "Population").alias("Variable"),
+        F.col("variable").alias("Variable"),
         F.lit("EJ/yr").alias("Unit"),
-    ]
-    by_year = [
-        F.sum(F.when(F.col("ship_year") == y, F.col("value"))).alias(str(model))
-        for y, model in ENSEMBLE_YEARS.items()
-    ]
-    wide = rows.select(*keys, "ship_year", "value").groupBy(*ENSEMBLE_LABELS).agg(*by_year)
-    warming = F.col("Variable") == V.WARMING_VARIABLE
-    # degrees between 0 and 5 in steps of an eighth
-    cells = {str(m): F.col(f"`{m}`") for m in ENSEMBLE_YEARS.values()}
-    return wide.withColumns({m: F.when(warming, (c % 40) / 8).otherwise(c) for m, c in cells.items()})
+        # degrees between 0 and 5 in steps of an eighth
+        *[F.when(warming, (c % 40) / 8).otherwise(c).alias(m) for m, c in cells.items()],
+    )
 
 
 def _groups(spark: SparkSession, sf_dir: str, labels: list[str], size: int) -> DataFrame:
@@ -393,8 +405,8 @@ BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "traded_gas": traded_gas,
     "traded_gas_vintage": traded_gas_vintage,
     "regional_gas_vintage": regional_gas_vintage,
-    "primary_energy": partial(primary, capture=False),
-    "primary_energy_ccs": partial(primary, capture=True),
+    "primary_energy": partial(primary, fuel="fuel"),
+    "primary_energy_ccs": partial(primary, fuel="fuel_ccs"),
     "electricity": electricity,
     "final_energy": final_energy,
     "resource_production": resource_production,
