@@ -77,7 +77,7 @@ CTES: dict[str, str] = {}
 # --- model tables out of the star schema -----------------------------------
 
 CTES["base"] = f"""
-SELECT {case('l_returnflag || l_linestatus', star.SCENARIO_CODES)} AS scenario, n_name AS region,
+SELECT {case('l_returnflag || l_linestatus', {a + b: s for s, (a, b) in star.SCENARIO_CODES.items()})} AS scenario, n_name AS region,
   c_mktsegment AS segment, p_type AS kind, p_name AS name, split_part(p_name, ' ', 1) AS word,
   split_part(p_name, ' ', 2) AS noun, o_orderpriority AS priority,
   CAST(year(o_orderdate) AS INTEGER) AS order_year, CAST(year(l_shipdate) AS INTEGER) AS ship_year,

@@ -42,27 +42,19 @@ def collapse_fuels(
     return kept.withColumn("fuel", F.coalesce(label, fuel)).where(F.col("fuel").isin(list(keep)))
 
 
-def primary_by_region(df: DataFrame) -> DataFrame:
-    """Primary energy by region and fuel."""
-    return rollup_sum(collapse_fuels(df, TRADED_GAS, V.PRIMARY_FUELS), ["scenario", "region", "fuel", "year"])
-
-
-def primary_ccs_by_region(df: DataFrame) -> DataFrame:
-    """Primary energy by region and fuel, capture kept apart."""
-    return rollup_sum(collapse_fuels(df, TRADED_GAS_CCS, V.PRIMARY_CCS_FUELS), ["scenario", "region", "fuel", "year"])
+def collapse_gas(primary: DataFrame, collapsed_units: str | None = None) -> DataFrame:
+    """Primary energy with traded gas as one fuel."""
+    return collapse_fuels(primary, TRADED_GAS, V.PRIMARY_FUELS, collapsed_units=collapsed_units)
 
 
-def primary_global(df: DataFrame) -> DataFrame:
-    return rollup_sum(collapse_fuels(df, TRADED_GAS, V.PRIMARY_FUELS), ["scenario", "fuel", "year"])
+def collapse_gas_ccs(primary_ccs: DataFrame, collapsed_units: str | None = None) -> DataFrame:
+    """Primary energy with traded gas as one fuel, capture kept apart."""
+    return collapse_fuels(primary_ccs, TRADED_GAS_CCS, V.PRIMARY_CCS_FUELS, collapsed_units=collapsed_units)
 
 
-def primary_ccs_global(df: DataFrame) -> DataFrame:
-    return rollup_sum(collapse_fuels(df, TRADED_GAS_CCS, V.PRIMARY_CCS_FUELS), ["scenario", "fuel", "year"])
-
-
-def primary_ccs_grouped(df: DataFrame, region_groups: DataFrame) -> DataFrame:
-    mapped = attach_mapping(collapse_fuels(df, TRADED_GAS_CCS, V.PRIMARY_CCS_FUELS), region_groups, "region")
-    return rollup_sum(mapped, ["scenario", "grouped_region", "fuel", "year"])
+def by_region(collapsed: DataFrame) -> DataFrame:
+    """Primary energy by region and fuel."""
+    return rollup_sum(collapsed, ["scenario", "region", "fuel", "year"])
 
 
 def difference_with_net(grouped: DataFrame, category: str, families) -> DataFrame:
@@ -111,7 +103,7 @@ def production_for_literature(production: DataFrame, literature_groups: DataFram
     return rollup_sum(mapped, ["Units", "scenario", "grouped_region", "resource", "year"])
 
 
-def gas_use_for_literature(primary_ccs: DataFrame, literature_groups: DataFrame) -> DataFrame:
+def gas_use_for_literature(collapsed: DataFrame, literature_groups: DataFrame) -> DataFrame:
     """Gas use, capture included, in the literature's regions."""
-    gas = collapse_fuels(primary_ccs, TRADED_GAS_CCS, [V.NATURAL_GAS_FUEL, V.NATURAL_GAS_CCS_FUEL])
+    gas = collapsed.where(F.col("fuel").isin(V.NATURAL_GAS_FUEL, V.NATURAL_GAS_CCS_FUEL))
     return rollup_sum(attach_mapping(gas, literature_groups, "region"), ["scenario", "grouped_region", "year"])

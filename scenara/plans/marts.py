@@ -17,6 +17,30 @@ from scenara.sources import write_mart
 Table = DataFrame | Callable[[], DataFrame]
 
 
+@dataclass(frozen=True)
+class Options:
+    """Choices where the published figures and a strict reading part.
+
+    The defaults give the published figures.
+
+    sector_levels: ``DOMESTIC_SECTOR_LEVELS`` keeps the sector of domestic rows.
+    collapsed_units: ``"EJ"`` limits merged traded gas to energy units.
+    keep_ret_only: keeps series and years that only retire.
+    power_net_factor: ``EJ_TWH_REPORTED`` reports the net of S7B in TWh.
+    ensemble_gas_factor: ``1.0`` leaves the ensemble's gas in EJ in S12.
+    """
+
+    sector_levels: Sequence[str] = tuple(V.TRADE_SECTOR_LEVELS)
+    collapsed_units: str | None = None
+    keep_ret_only: bool = False
+    power_net_factor: float = 1.0
+    ensemble_gas_factor: float = V.EJ_TCF
+    base_vintage: int = V.BASE_VINTAGE
+    half_life: float = V.S_CURVE_HALF_LIFE
+    steepness: float = V.S_CURVE_STEEPNESS
+    lifetime: float = V.S_CURVE_LIFETIME
+
+
 class Workspace:
     """Input tables and the intermediate tables derived from them.
 
@@ -27,7 +51,8 @@ class Workspace:
     survive lost executors.
     """
 
-    def __init__(self, tables: Mapping[str, Table], checkpoint: bool = False):
+    def __init__(self, tables: Mapping[str, Table], checkpoint: bool = False, options: Options = Options()):
+        self.options = options
         self._tables = tables
         self._checkpoint = checkpoint
         self._known: dict[str, DataFrame] = {}
@@ -48,12 +73,22 @@ class Workspace:
         return df
 
 
-def _export_changes(ws: Workspace) -> DataFrame:
-    return capacity.net_add_ret(ws["export_vintages"], capacity.EXPORT_KEYS)
+def _changes(ws: Workspace, vintages: str, keys: Sequence[str]) -> DataFrame:
+    o = ws.options
+    ageing = o.base_vintage, o.half_life, o.steepness, o.lifetime
+    return capacity.net_add_ret(ws[vintages], keys, *ageing, keep_ret_only=o.keep_ret_only)
 
 
-def _import_changes(ws: Workspace) -> DataFrame:
-    return capacity.net_add_ret(ws["import_vintages"], capacity.IMPORT_KEYS)
+def _flows(ws: Workspace, gross: str) -> DataFrame:
+    return flows.grouped_flows(ws[gross], ws["region_groups"], ws.options.sector_levels)
+
+
+def _plain(ws: Workspace) -> DataFrame:
+    return energy.collapse_gas(ws["primary_energy"], ws.options.collapsed_units)
+
+
+def _ccs(ws: Workspace) -> DataFrame:
+    return energy.collapse_gas_ccs(ws["primary_energy_ccs"], ws.options.collapsed_units)
 
 
 DERIVED: dict[str, Callable[[Workspace], DataFrame]] = {
@@ -65,8 +100,8 @@ DERIVED: dict[str, Callable[[Workspace], DataFrame]] = {
     "gross_production": lambda ws: flows.gross_production(ws["regional_gas"], ws["traded_flows"]),
     "gross_consumption": lambda ws: flows.gross_consumption(ws["regional_gas"]),
     "grouped_trade": lambda ws: flows.grouped_trade(ws["gross_trade"], ws["region_groups"]),
-    "grouped_production": lambda ws: flows.grouped_flows(ws["gross_production"], ws["region_groups"]),
-    "grouped_consumption": lambda ws: flows.grouped_flows(ws["gross_consumption"], ws["region_groups"]),
+    "grouped_production": lambda ws: _flows(ws, "gross_production"),
+    "grouped_consumption": lambda ws: _flows(ws, "gross_consumption"),
     "production_difference": lambda ws: flows.flow_differences(ws["grouped_production"]),
     "consumption_difference": lambda ws: flows.flow_differences(ws["grouped_consumption"]),
     "global_traded": lambda ws: flows.global_traded(ws["traded_flows"]),
@@ -77,7 +112,7 @@ DERIVED: dict[str, Callable[[Workspace], DataFrame]] = {
     "export_capacity": lambda ws: capacity.export_capacity(ws["export_vintages"]),
     "global_capacity": lambda ws: capacity.global_capacity(ws["export_vintages"]),
     "cumulative_capacity": lambda ws: capacity.cumulative_capacity(ws["export_capacity"]),
-    "export_changes": _export_changes,
+    "export_changes": lambda ws: _changes(ws, "export_vintages", capacity.EXPORT_KEYS),
     "export_cumulative": lambda ws: capacity.cumulative(ws["export_changes"], capacity.EXPORT_KEYS),
     "export_cumulative_global": lambda ws: capacity.cumulative_global(ws["export_cumulative"], "sector"),
     "export_cumulative_grouped": lambda ws: capacity.cumulative_grouped(
@@ -86,17 +121,17 @@ DERIVED: dict[str, Callable[[Workspace], DataFrame]] = {
     "annual_cost": lambda ws: capacity.infra_cost(capacity.global_additions(ws["export_changes"])),
     "import_vintages": lambda ws: capacity.to_capacity(flows.regional_vintages(ws["regional_gas_vintage"])),
     "import_capacity": lambda ws: capacity.import_capacity(ws["import_vintages"]),
-    "import_changes": _import_changes,
+    "import_changes": lambda ws: _changes(ws, "import_vintages", capacity.IMPORT_KEYS),
     "import_cumulative": lambda ws: capacity.cumulative(ws["import_changes"], capacity.IMPORT_KEYS),
     "import_cumulative_global": lambda ws: capacity.cumulative_global(ws["import_cumulative"], "technology"),
     "import_cumulative_grouped": lambda ws: capacity.cumulative_grouped(
         ws["import_cumulative"], "technology", ws["region_groups"]
     ),
-    "primary_by_region": lambda ws: energy.primary_by_region(ws["primary_energy"]),
-    "primary_global": lambda ws: energy.primary_global(ws["primary_energy"]),
-    "primary_ccs_by_region": lambda ws: energy.primary_ccs_by_region(ws["primary_energy_ccs"]),
-    "primary_ccs_global": lambda ws: energy.primary_ccs_global(ws["primary_energy_ccs"]),
-    "primary_ccs_grouped": lambda ws: energy.primary_ccs_grouped(ws["primary_energy_ccs"], ws["region_groups"]),
+    "primary_by_region": lambda ws: energy.by_region(_plain(ws)),
+    "primary_global": lambda ws: energy.global_by_category(_plain(ws), "fuel"),
+    "primary_ccs_by_region": lambda ws: energy.by_region(_ccs(ws)),
+    "primary_ccs_global": lambda ws: energy.global_by_category(_ccs(ws), "fuel"),
+    "primary_ccs_grouped": lambda ws: energy.grouped_by_category(_ccs(ws), "fuel", ws["region_groups"]),
     "primary_limited_trade": lambda ws: energy.limited_trade_difference(ws["primary_ccs_grouped"]),
     "primary_transition": lambda ws: energy.transition_difference(ws["primary_ccs_grouped"], "fuel"),
     "electricity_sectors": lambda ws: energy.electricity_sectors(ws["electricity"], ws["tech_sectors"]),
@@ -112,9 +147,7 @@ DERIVED: dict[str, Callable[[Workspace], DataFrame]] = {
     "production_for_literature": lambda ws: energy.production_for_literature(
         ws["resource_production"], ws["literature_region_groups"]
     ),
-    "gas_use_for_literature": lambda ws: energy.gas_use_for_literature(
-        ws["primary_energy_ccs"], ws["literature_region_groups"]
-    ),
+    "gas_use_for_literature": lambda ws: energy.gas_use_for_literature(_ccs(ws), ws["literature_region_groups"]),
     "all_emissions": lambda ws: emissions.all_emissions(
         ws["resource_emissions"], ws["sector_emissions"], ws["land_use_emissions"], ws["gas_factors"]
     ),
@@ -202,7 +235,7 @@ LLS = _difference_of("Reference_LLS", "Transition_LLS")
 LT = _difference_of("Reference_LT_sshc", "Transition_LT_sshc")
 REGIONS_UP = {"grouped_region": V.FLIPPED_GROUPED_REGION_LEVELS}
 REGIONS_DOWN = {"grouped_region": V.GROUPED_REGION_LEVELS}
-FLOW_LEVELS = {**REGIONS_UP, "sector": V.TRADE_SECTOR_LEVELS}
+FLOW_LEVELS = {**REGIONS_UP, "sector": "sector_levels"}
 EXPORT_BARS = {"sector": V.TRADED_SECTOR_LEVELS, "scenario": V.SCENARIO_BAR_LEVELS}
 IMPORT_BARS = {"technology": V.IMPORT_TECHNOLOGY_LEVELS, "scenario": V.SCENARIO_BAR_LEVELS}
 
@@ -213,19 +246,19 @@ class Mart:
 
     A measure is a column and the factor it is reported in. ``levels`` orders
     dims and blanks undeclared values; ``panel`` joins scenario and year into
-    one label.
+    one label. A factor or level list given as a name is taken from the options.
     """
 
     source: str
     keep: Sequence[Callable[[], Column]]
     dims: Sequence[str]
-    measures: Mapping[str, tuple[str, float]] = field(default_factory=lambda: {"value": ("value", 1.0)})
-    levels: Mapping[str, Sequence[str]] = field(default_factory=dict)
+    measures: Mapping[str, tuple[str, float | str]] = field(default_factory=lambda: {"value": ("value", 1.0)})
+    levels: Mapping[str, Sequence[str] | str] = field(default_factory=dict)
     panel: bool = False
 
 
-def _scaled(factor: float, net: float | None = None) -> dict[str, tuple[str, float]]:
-    out = {"value": ("value", factor)}
+def _scaled(factor: float, net: float | str | None = None) -> dict[str, tuple[str, float | str]]:
+    out: dict[str, tuple[str, float | str]] = {"value": ("value", factor)}
     if net is not None:
         out["value_net"] = ("value_net", net)
     return out
@@ -314,9 +347,12 @@ MARTS: dict[str, Mart] = {
     "S6A": Mart("primary_ccs_global", PLOTTED, ["year", "fuel", "scenario"]),
     "S6B": Mart("primary_transition", END_YEAR, ["grouped_region", "fuel"], _scaled(1.0, 1.0), REGIONS_UP),
     "S7A": Mart("electricity_global", PLOTTED, ["year", "sector", "scenario"], _scaled(V.EJ_TWH_REPORTED)),
-    # the net of this dataset stays in EJ
     "S7B": Mart(
-        "electricity_transition", END_YEAR, ["grouped_region", "sector"], _scaled(V.EJ_TWH_REPORTED, 1.0), REGIONS_UP
+        "electricity_transition",
+        END_YEAR,
+        ["grouped_region", "sector"],
+        _scaled(V.EJ_TWH_REPORTED, "power_net_factor"),
+        REGIONS_UP,
     ),
     "S8A": Mart("final_global", PLOTTED, ["year", "input", "scenario"]),
     "S8B": Mart("final_transition", END_YEAR, ["grouped_region", "input"], _scaled(1.0, 1.0), REGIONS_UP),
@@ -334,7 +370,7 @@ class Layer:
     source: str
     keep: Sequence[Callable[[], Column]] = ()
     value: str = "value"
-    factor: float = 1.0
+    factor: float | str = 1.0
 
 
 FROM_2015 = (lambda: F.col("year") >= V.FIRST_YEAR,)
@@ -370,7 +406,7 @@ OVERLAYS: dict[str, tuple[list[str], list[Layer]]] = {
     "S12": (
         ["scenario", "member", "year"],
         [
-            Layer("ensemble", "ensemble_gas", factor=V.EJ_TCF),
+            Layer("ensemble", "ensemble_gas", factor="ensemble_gas_factor"),
             Layer("model", "primary_global", PLOTTED + (lambda: F.col("fuel") == V.NATURAL_GAS_FUEL,)),
             Layer("literature", "literature_gas", value="EJ"),
         ],
@@ -394,7 +430,9 @@ def _where(df: DataFrame, keep: Sequence[Callable[[], Column]]) -> DataFrame:
     return df
 
 
-def _measure(col: str, factor: float) -> Column:
+def _measure(col: str, factor: float | str, options: Options) -> Column:
+    if isinstance(factor, str):
+        factor = getattr(options, factor)
     return F.col(col) if factor == 1.0 else F.col(col) * F.lit(factor)
 
 
@@ -405,7 +443,7 @@ def _overlay(ws: Workspace, dims: Sequence[str], layers: Sequence[Layer]) -> Dat
         if "member" in dims:
             own = composite_key("Model", "Model_Scenario") if "Model_Scenario" in df.columns else F.lit(None)
             df = df.withColumn("member", own.cast("string"))
-        value = _measure(layer.value, layer.factor).alias("value")
+        value = _measure(layer.value, layer.factor, ws.options).alias("value")
         parts.append(df.select(F.lit(layer.series).alias("series"), *dims, value))
     return union_by_name(*parts)
 
@@ -422,15 +460,19 @@ def build_mart(name: str, tables: Workspace | Mapping[str, Table]) -> DataFrame:
         df = df.withColumn("scenario_year", composite_key("scenario", "year"))
         dims.append("scenario_year")
     for col, levels in mart.levels.items():
-        df = as_levels(df, col, levels)
+        df = as_levels(df, col, getattr(ws.options, levels) if isinstance(levels, str) else levels)
         dims.append(f"{col}_ord")
-    return df.select(*dims, *[_measure(c, f).alias(out) for out, (c, f) in mart.measures.items()])
+    return df.select(*dims, *[_measure(c, f, ws.options).alias(out) for out, (c, f) in mart.measures.items()])
 
 
 def write_marts(
-    tables: Mapping[str, Table], base: str, names: Sequence[str] = tuple(MART_NAMES), kind: str = "parquet"
+    tables: Mapping[str, Table],
+    base: str,
+    names: Sequence[str] = tuple(MART_NAMES),
+    kind: str = "parquet",
+    options: Options = Options(),
 ) -> None:
     """Write datasets to ``base``, computing what they share once."""
-    ws = Workspace(tables, checkpoint=True)
+    ws = Workspace(tables, checkpoint=True, options=options)
     for name in names:
         write_mart(build_mart(name, ws), f"{base.rstrip('/')}/{name}", kind)

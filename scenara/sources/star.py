@@ -18,13 +18,14 @@ from pyspark.sql import functions as F
 from scenara import vocabulary as V
 from scenara.operators import local_table
 
+# return flag and line status of each scenario
 SCENARIO_CODES = {
-    "NF": "Reference",
-    "NO": "Transition",
-    "AF": "Reference_LLS",
-    "AO": "Transition_LLS",
-    "RF": "Reference_LT_sshc",
-    "RO": "Transition_LT_sshc",
+    "Reference": ("N", "F"),
+    "Transition": ("N", "O"),
+    "Reference_LLS": ("A", "F"),
+    "Transition_LLS": ("A", "O"),
+    "Reference_LT_sshc": ("R", "F"),
+    "Transition_LT_sshc": ("R", "O"),
 }
 CARRIERS = {
     "blue": "LNG",
@@ -119,68 +120,75 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(STAR_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _line_fields() -> dict[str, Column]:
-    ship_year = F.year("l_shipdate")
-    return {
-        "scenario": recode(F.concat("l_returnflag", "l_linestatus"), SCENARIO_CODES),
-        "year": model_year(ship_year),
-        "ship_year": ship_year.cast("int"),
-        "line": F.col("l_linenumber"),
-    }
+def _scenario() -> Column:
+    out = F.lit(None).cast("string")
+    for label, (flag, status) in SCENARIO_CODES.items():
+        out = F.when((F.col("l_returnflag") == flag) & (F.col("l_linestatus") == status), label).otherwise(out)
+    return out
 
 
-def _order_fields() -> dict[str, Column]:
-    priority = F.col("o_orderpriority")
-    order_year = F.year("o_orderdate")
-    return {
-        "priority": priority,
-        "status": F.col("o_orderstatus"),
-        "gas": recode(priority, GASES, "unlisted"),
-        "fuel_units": F.when(priority == "5-LOW", "Mtoe").otherwise("EJ"),
-        "order_year": order_year.cast("int"),
-        "vintage": model_year(order_year),
-    }
+def _calendar_year(date: str) -> Column:
+    return F.year(date).cast("int")
 
 
-def _part_fields() -> dict[str, Column]:
-    """Category labels, made once per part rather than once per order line."""
-    kind, words = F.col("p_type"), F.split("p_name", " ")
-    word, noun = F.get(words, 0), F.get(words, 1)
-    carrier = recode(word, CARRIERS)
-    traded = F.coalesce(F.concat(F.lit("traded "), carrier), F.lit("unsold gas"))
-
-    def fuel(large: Column, standard: str) -> Column:
-        return (
-            F.when(kind == "SMALL", traded)
-            .when(kind == "LARGE", large)
-            .when(kind == "STANDARD", standard)
-            .when(kind == "MEDIUM", V.NATURAL_GAS_FUEL)
-            .when(kind == "ECONOMY", "a oil")
-            .otherwise("z other")
-        )
-
-    return {
-        "kind": kind,
-        "name": F.col("p_name"),
-        "word": word,
-        "noun": noun,
-        "gas_units": F.when(kind == "ECONOMY", "Mt").otherwise("EJ"),
-        "imported": F.coalesce(F.concat(F.lit("imported "), carrier), F.lit(V.DOMESTIC_GAS)),
-        "traded": traded,
-        "balancing": kind == "PROMO",
-        "fuel": fuel(F.lit("d biomass"), "c coal"),
-        "fuel_ccs": fuel(F.concat(traded, F.lit(" CCS")), "c coal CCS"),
-        "generator": recode(kind, TECHNOLOGIES, "unlisted"),
-        "resource": recode(kind, RESOURCES, "crude oil"),
-        "emitter": recode(word, EMITTERS, "unlisted"),
-        "emitting_subsector": recode(kind, EMITTING_SUBSECTORS, "coal"),
-        "emitting_technology": F.when(noun == "widget", V.GAS_TECHNOLOGY).otherwise(noun),
-        "variable": recode(kind, VARIABLES, "Population"),
-    }
+def _word(i: int) -> Column:
+    return F.get(F.split("p_name", " "), i)
+
+
+def _kind_of(codes: dict, other: str) -> Column:
+    return recode(F.col("p_type"), codes, other)
+
+
+def _traded_label() -> Column:
+    return F.coalesce(F.concat(F.lit("traded "), recode(_word(0), CARRIERS)), F.lit("unsold gas"))
+
+
+def _fuel(large: Column, standard: str) -> Column:
+    named = {"STANDARD": standard, "MEDIUM": V.NATURAL_GAS_FUEL, "ECONOMY": "a oil"}
+    gas = F.when(F.col("p_type") == "SMALL", _traded_label()).when(F.col("p_type") == "LARGE", large)
+    return F.coalesce(gas, _kind_of(named, "z other"))
+
+
+# fields by the table that owns them; each is made where it is owned, so a
+# category label is made once per part and not once per order line
+LINE_FIELDS = {
+    "scenario": _scenario,
+    "year": lambda: model_year(F.year("l_shipdate")),
+    "ship_year": lambda: _calendar_year("l_shipdate"),
+    "line": lambda: F.col("l_linenumber"),
+}
+ORDER_FIELDS = {
+    "priority": lambda: F.col("o_orderpriority"),
+    "status": lambda: F.col("o_orderstatus"),
+    "gas": lambda: recode(F.col("o_orderpriority"), GASES, "unlisted"),
+    "fuel_units": lambda: F.when(F.col("o_orderpriority") == "5-LOW", "Mtoe").otherwise("EJ"),
+    "order_year": lambda: _calendar_year("o_orderdate"),
+    "vintage": lambda: model_year(F.year("o_orderdate")),
+}
+CUSTOMER_FIELDS = {"segment": lambda: F.col("c_mktsegment")}
+NATION_FIELDS = {"region": lambda: F.col("n_name")}
+PART_FIELDS = {
+    "kind": lambda: F.col("p_type"),
+    "name": lambda: F.col("p_name"),
+    "word": lambda: _word(0),
+    "noun": lambda: _word(1),
+    "gas_units": lambda: F.when(F.col("p_type") == "ECONOMY", "Mt").otherwise("EJ"),
+    "imported": lambda: F.coalesce(F.concat(F.lit("imported "), recode(_word(0), CARRIERS)), F.lit(V.DOMESTIC_GAS)),
+    "traded": _traded_label,
+    "balancing": lambda: F.col("p_type") == "PROMO",
+    "fuel": lambda: _fuel(F.lit("d biomass"), "c coal"),
+    "fuel_ccs": lambda: _fuel(F.concat(_traded_label(), F.lit(" CCS")), "c coal CCS"),
+    "generator": lambda: _kind_of(TECHNOLOGIES, "unlisted"),
+    "resource": lambda: _kind_of(RESOURCES, "crude oil"),
+    "emitter": lambda: recode(_word(0), EMITTERS, "unlisted"),
+    "emitting_subsector": lambda: _kind_of(EMITTING_SUBSECTORS, "coal"),
+    "emitting_technology": lambda: F.when(_word(1) == "widget", V.GAS_TECHNOLOGY).otherwise(_word(1)),
+    "variable": lambda: _kind_of(VARIABLES, "Population"),
+}
 
 
-def _taken(made: dict[str, Column], wanted: set[str]) -> list[Column]:
-    return [c.alias(name) for name, c in made.items() if name in wanted]
+def _taken(owned: dict[str, Callable[[], Column]], wanted: set[str]) -> list[Column]:
+    return [make().alias(name) for name, make in owned.items() if name in wanted]
 
 
 def order_rows(spark: SparkSession, sf_dir: str, wanted: set[str]) -> DataFrame:
@@ -189,30 +197,32 @@ def order_rows(spark: SparkSession, sf_dir: str, wanted: set[str]) -> DataFrame:
     Customer and nation join the orders, not the far longer order lines.
     """
     o = _read(spark, sf_dir, "orders")
-    own = _taken(_order_fields(), wanted)
-    if not wanted & {"region", "segment"}:
+    own = _taken(ORDER_FIELDS, wanted)
+    customer, nation = _taken(CUSTOMER_FIELDS, wanted), _taken(NATION_FIELDS, wanted)
+    if not customer and not nation:
         return o.select("o_orderkey", *own)
-    c = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("segment"))
-    if "region" in wanted:
-        n = _read(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("region"))
-        c = c.join(n, c["c_nationkey"] == n["n_nationkey"])
+    c = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", *customer)
     o = o.select("o_orderkey", "o_custkey", *own)
     o = o.join(c, o["o_custkey"] == c["c_custkey"])
+    if nation:
+        n = _read(spark, sf_dir, "nation").select("n_nationkey", *nation)
+        o = o.join(n, o["c_nationkey"] == n["n_nationkey"])
     return o.select("o_orderkey", *[f for f in o.columns if f in wanted])
 
 
 def long_rows(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
     """Order lines as scenario rows with the wanted fields and ``value``.
 
-    Only the dimensions that own a wanted field are joined.
+    Only the dimensions that own a wanted field are joined. Lines and orders
+    both grow with the data, so they are merge joined and never broadcast.
     """
     wanted = set(fields)
-    own = _taken(_line_fields(), wanted)
+    own = _taken(LINE_FIELDS, wanted)
     rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", *own, F.col("l_quantity").alias("value"))
-    if wanted & {*_order_fields(), "region", "segment"}:
+    if wanted & {*ORDER_FIELDS, *CUSTOMER_FIELDS, *NATION_FIELDS}:
         o = order_rows(spark, sf_dir, wanted)
-        rows = rows.join(o, rows["l_orderkey"] == o["o_orderkey"])
-    labels = _taken(_part_fields(), wanted)
+        rows = rows.hint("merge").join(o, rows["l_orderkey"] == o["o_orderkey"])
+    labels = _taken(PART_FIELDS, wanted)
     if labels:
         p = _read(spark, sf_dir, "part").select("p_partkey", *labels)
         rows = rows.join(p, rows["l_partkey"] == p["p_partkey"])
