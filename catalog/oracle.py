@@ -577,6 +577,17 @@ SQL["diff_unknown_keys"] = diff(
     "Transition",
     ["grouped_region", "name", "vintage", "year"],
 )
+CTES["items"] = """
+SELECT scenario, grouped_region, region || '.' || name || '.' || priority AS item, year, value
+FROM base LEFT JOIN region_groups USING (region)"""
+CTES["item_detail"] = rollup("items", "scenario, grouped_region, item, year")
+for _ref in ["Reference", "Transition"]:
+    CTES[f"item_diff_{_ref.lower()}"] = diff(
+        "item_detail", [f"{_ref}_LLS", f"{_ref}_LT_sshc"], _ref, ["grouped_region", "item", "year"]
+    )
+SQL["diff_families_with_net"] = " UNION ALL ".join(
+    net(f"item_diff_{r}", ["scenario_diff", "grouped_region", "year"]) for r in ["reference", "transition"]
+)
 SQL["gross_trade_signed"] = net("gross_trade", ["scenario", "region", "year"])
 SQL["net_trade"] = rollup("gross_trade", "scenario, region, year")
 SQL["production_flows"] = rollup("gross_production", FLOW)

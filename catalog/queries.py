@@ -30,7 +30,7 @@ from scenara.operators import (
     wide_to_long,
     with_net,
 )
-from scenara.plans import capacity, emissions, ensemble
+from scenara.plans import capacity, emissions, energy, ensemble
 from scenara.plans.marts import MART_NAMES, Workspace, build_mart
 from scenara.session import checkpoint_folder
 from scenara.sources import read_csv_table, read_named_table, star, write_mart, write_named_table
@@ -273,6 +273,16 @@ def diff_unknown_keys(spark, sf_dir):
     return diff_from_scenario(totals, ["Transition_LLS", "Transition_LT_sshc"], "Transition", keys)
 
 
+@query
+def diff_families_with_net(spark, sf_dir):
+    """Both baselines at once over thinly filled keys, with the net of each."""
+    fields = ("scenario", "region", "name", "priority", "year")
+    mapped = attach_mapping(star.long_rows(spark, sf_dir, *fields), star.region_groups(spark, sf_dir), "region")
+    mapped = mapped.withColumn("item", composite_key("region", "name", "priority"))
+    totals = rollup_sum(mapped, ["scenario", "grouped_region", "item", "year"])
+    return energy.limited_trade_difference(totals, "item")
+
+
 # --- capacity by vintage ---------------------------------------------------
 
 

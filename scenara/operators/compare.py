@@ -34,6 +34,7 @@ def _cell(scenario: Column, has: Column, value: Column, ref: str, ref_has: Colum
     return F.struct(
         (has | ref_has).alias("present"),
         has.alias("own"),
+        F.lit(ref).alias("baseline"),
         scenario.alias("scenario_diff"),
         F.when(ref_has, F.lit(ref)).alias("scenario_ref"),
         diff.alias("value_diff"),
@@ -100,7 +101,7 @@ def diff_families(
         )
         rest = F.filter(only_ref, lambda c: c["present"])
         family = F.when(F.size(found) > 0, found).otherwise(rest)
-        cells.append(F.transform(family, lambda c, ref=ref: c.withField("baseline", F.lit(ref))))
+        cells.append(family)
     rows = _scenario_row(df, scenarios, keys, value)
     return rows.select(*keys, F.inline(F.concat(*cells))).select(*keys, "baseline", *MEASURES)
 
