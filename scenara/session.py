@@ -17,6 +17,17 @@ SETTINGS = {
 }
 
 
+PARTITION_BYTES = 256 * 2**20
+
+
+def shuffle_partitions(shuffle_bytes: float, cores: int) -> int:
+    """Partitions that keep each at about 256 MB, and every core busy.
+
+    AQE merges what turns out smaller, so an ample number costs little.
+    """
+    return max(cores, -int(-shuffle_bytes // PARTITION_BYTES))
+
+
 def build_session(app_name: str = "scenara", master: str | None = None, **extra: str) -> SparkSession:
     """A session with the toolkit's settings; ``extra`` keys use ``__`` for dots."""
     builder = SparkSession.builder.appName(app_name)

@@ -102,93 +102,83 @@ STAR_SCHEMAS = {
 }
 
 
-def recode(c: Column, codes: dict, other: Column | str | None = None) -> Column:
-    """``c`` translated by ``codes``, anything else to ``other``."""
-    out = None
-    for code, label in codes.items():
-        out = F.when(c == code, label) if out is None else out.when(c == code, label)
-    return out.otherwise(other) if other is not None else out
+def case(tested: str, codes: dict[str, str], other: str = "NULL") -> str:
+    """SQL that translates ``tested`` by ``codes``, anything else to ``other``."""
+    whens = " ".join(f"WHEN '{code}' THEN '{label}'" for code, label in codes.items())
+    return f"CASE {tested} {whens} ELSE {other} END"
 
 
-def model_year(calendar_year: Column) -> Column:
+def calendar_year(date: str) -> str:
+    return f"CAST(year({date}) AS INT)"
+
+
+def model_year(date: str) -> str:
     """1995 to 2000 in five-year steps from 2015, 2001 as 2050."""
-    step = 2015 + (calendar_year - 1995) * 5
-    return F.when(calendar_year == 2001, F.lit(2050)).otherwise(step).cast("int")
+    return f"CAST(IF(year({date}) = 2001, 2050, 2015 + (year({date}) - 1995) * 5) AS INT)"
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(STAR_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _scenario() -> Column:
-    out = F.lit(None).cast("string")
-    for label, (flag, status) in SCENARIO_CODES.items():
-        out = F.when((F.col("l_returnflag") == flag) & (F.col("l_linestatus") == status), label).otherwise(out)
-    return out
-
-
-def _calendar_year(date: str) -> Column:
-    return F.year(date).cast("int")
-
-
-def _word(i: int) -> Column:
-    return F.get(F.split("p_name", " "), i)
+WORD, NOUN = "get(split(p_name, ' '), 0)", "get(split(p_name, ' '), 1)"
+CARRIER = case(WORD, CARRIERS)
+TRADED = f"coalesce('traded ' || {CARRIER}, 'unsold gas')"
 
 
-def _kind_of(codes: dict, other: str) -> Column:
-    return recode(F.col("p_type"), codes, other)
-
-
-def _traded_label() -> Column:
-    return F.coalesce(F.concat(F.lit("traded "), recode(_word(0), CARRIERS)), F.lit("unsold gas"))
-
-
-def _fuel(large: Column, standard: str) -> Column:
-    named = {"STANDARD": standard, "MEDIUM": V.NATURAL_GAS_FUEL, "ECONOMY": "a oil"}
-    gas = F.when(F.col("p_type") == "SMALL", _traded_label()).when(F.col("p_type") == "LARGE", large)
-    return F.coalesce(gas, _kind_of(named, "z other"))
+def _fuel(large: str, standard: str) -> str:
+    return (
+        f"CASE p_type WHEN 'SMALL' THEN {TRADED} WHEN 'LARGE' THEN {large} WHEN 'STANDARD' THEN '{standard}'"
+        f" WHEN 'MEDIUM' THEN '{V.NATURAL_GAS_FUEL}' WHEN 'ECONOMY' THEN 'a oil' ELSE 'z other' END"
+    )
 
 
 # fields by the table that owns them; each is made where it is owned, so a
 # category label is made once per part and not once per order line
 LINE_FIELDS = {
-    "scenario": _scenario,
-    "year": lambda: model_year(F.year("l_shipdate")),
-    "ship_year": lambda: _calendar_year("l_shipdate"),
-    "line": lambda: F.col("l_linenumber"),
+    "scenario": "CASE "
+    + " ".join(
+        f"WHEN l_returnflag = '{flag}' AND l_linestatus = '{status}' THEN '{label}'"
+        for label, (flag, status) in SCENARIO_CODES.items()
+    )
+    + " END",
+    "year": model_year("l_shipdate"),
+    "ship_year": calendar_year("l_shipdate"),
+    "line": "l_linenumber",
 }
 ORDER_FIELDS = {
-    "priority": lambda: F.col("o_orderpriority"),
-    "status": lambda: F.col("o_orderstatus"),
-    "gas": lambda: recode(F.col("o_orderpriority"), GASES, "unlisted"),
-    "fuel_units": lambda: F.when(F.col("o_orderpriority") == "5-LOW", "Mtoe").otherwise("EJ"),
-    "order_year": lambda: _calendar_year("o_orderdate"),
-    "vintage": lambda: model_year(F.year("o_orderdate")),
+    "priority": "o_orderpriority",
+    "status": "o_orderstatus",
+    "gas": case("o_orderpriority", GASES, "'unlisted'"),
+    "fuel_units": "IF(o_orderpriority = '5-LOW', 'Mtoe', 'EJ')",
+    "order_year": calendar_year("o_orderdate"),
+    "vintage": model_year("o_orderdate"),
+    "literature_scenario": case("o_orderpriority", LITERATURE_SCENARIOS),
 }
-CUSTOMER_FIELDS = {"segment": lambda: F.col("c_mktsegment")}
-NATION_FIELDS = {"region": lambda: F.col("n_name")}
+CUSTOMER_FIELDS = {"segment": "c_mktsegment"}
+NATION_FIELDS = {"region": "n_name"}
 PART_FIELDS = {
-    "kind": lambda: F.col("p_type"),
-    "name": lambda: F.col("p_name"),
-    "word": lambda: _word(0),
-    "noun": lambda: _word(1),
-    "gas_units": lambda: F.when(F.col("p_type") == "ECONOMY", "Mt").otherwise("EJ"),
-    "imported": lambda: F.coalesce(F.concat(F.lit("imported "), recode(_word(0), CARRIERS)), F.lit(V.DOMESTIC_GAS)),
-    "traded": _traded_label,
-    "balancing": lambda: F.col("p_type") == "PROMO",
-    "fuel": lambda: _fuel(F.lit("d biomass"), "c coal"),
-    "fuel_ccs": lambda: _fuel(F.concat(_traded_label(), F.lit(" CCS")), "c coal CCS"),
-    "generator": lambda: _kind_of(TECHNOLOGIES, "unlisted"),
-    "resource": lambda: _kind_of(RESOURCES, "crude oil"),
-    "emitter": lambda: recode(_word(0), EMITTERS, "unlisted"),
-    "emitting_subsector": lambda: _kind_of(EMITTING_SUBSECTORS, "coal"),
-    "emitting_technology": lambda: F.when(_word(1) == "widget", V.GAS_TECHNOLOGY).otherwise(_word(1)),
-    "variable": lambda: _kind_of(VARIABLES, "Population"),
+    "kind": "p_type",
+    "name": "p_name",
+    "word": WORD,
+    "noun": NOUN,
+    "gas_units": "IF(p_type = 'ECONOMY', 'Mt', 'EJ')",
+    "imported": f"coalesce('imported ' || {CARRIER}, '{V.DOMESTIC_GAS}')",
+    "traded": TRADED,
+    "balancing": "p_type = 'PROMO'",
+    "fuel": _fuel("'d biomass'", "c coal"),
+    "fuel_ccs": _fuel(f"{TRADED} || ' CCS'", "c coal CCS"),
+    "generator": case("p_type", TECHNOLOGIES, "'unlisted'"),
+    "resource": case("p_type", RESOURCES, "'crude oil'"),
+    "emitter": case(WORD, EMITTERS, "'unlisted'"),
+    "emitting_subsector": case("p_type", EMITTING_SUBSECTORS, "'coal'"),
+    "emitting_technology": f"IF({NOUN} = 'widget', '{V.GAS_TECHNOLOGY}', {NOUN})",
+    "variable": case("p_type", VARIABLES, "'Population'"),
 }
 
 
-def _taken(owned: dict[str, Callable[[], Column]], wanted: set[str]) -> list[Column]:
-    return [make().alias(name) for name, make in owned.items() if name in wanted]
+def _taken(owned: dict[str, str], wanted: set[str]) -> list[str]:
+    return [f"{sql} AS {name}" for name, sql in owned.items() if name in wanted]
 
 
 def order_rows(spark: SparkSession, sf_dir: str, wanted: set[str]) -> DataFrame:
@@ -200,12 +190,12 @@ def order_rows(spark: SparkSession, sf_dir: str, wanted: set[str]) -> DataFrame:
     own = _taken(ORDER_FIELDS, wanted)
     customer, nation = _taken(CUSTOMER_FIELDS, wanted), _taken(NATION_FIELDS, wanted)
     if not customer and not nation:
-        return o.select("o_orderkey", *own)
-    c = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", *customer)
-    o = o.select("o_orderkey", "o_custkey", *own)
+        return o.selectExpr("o_orderkey", *own)
+    c = _read(spark, sf_dir, "customer").selectExpr("c_custkey", "c_nationkey", *customer)
+    o = o.selectExpr("o_orderkey", "o_custkey", *own)
     o = o.join(c, o["o_custkey"] == c["c_custkey"])
     if nation:
-        n = _read(spark, sf_dir, "nation").select("n_nationkey", *nation)
+        n = _read(spark, sf_dir, "nation").selectExpr("n_nationkey", *nation)
         o = o.join(n, o["c_nationkey"] == n["n_nationkey"])
     return o.select("o_orderkey", *[f for f in o.columns if f in wanted])
 
@@ -218,13 +208,13 @@ def long_rows(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
     """
     wanted = set(fields)
     own = _taken(LINE_FIELDS, wanted)
-    rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", *own, F.col("l_quantity").alias("value"))
+    rows = _read(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_partkey", *own, "l_quantity AS value")
     if wanted & {*ORDER_FIELDS, *CUSTOMER_FIELDS, *NATION_FIELDS}:
         o = order_rows(spark, sf_dir, wanted)
         rows = rows.hint("merge").join(o, rows["l_orderkey"] == o["o_orderkey"])
     labels = _taken(PART_FIELDS, wanted)
     if labels:
-        p = _read(spark, sf_dir, "part").select("p_partkey", *labels)
+        p = _read(spark, sf_dir, "part").selectExpr("p_partkey", *labels)
         rows = rows.join(p, rows["l_partkey"] == p["p_partkey"])
     return rows.select(*fields, "value")
 
@@ -394,16 +384,17 @@ def _amounts() -> list[Column]:
 
 
 def literature_world(spark: SparkSession, sf_dir: str, status: str) -> DataFrame:
-    rows = order_rows(spark, sf_dir, {"vintage", "priority", "status"}).where(F.col("status") == status)
-    scenario = recode(F.col("priority"), LITERATURE_SCENARIOS).alias("scenario")
-    return rows.groupBy(scenario, F.col("vintage").alias("year")).agg(*_amounts())
+    rows = order_rows(spark, sf_dir, {"vintage", "literature_scenario", "status"}).where(F.col("status") == status)
+    named = rows.withColumnsRenamed({"literature_scenario": "scenario", "vintage": "year"})
+    return named.groupBy("scenario", "year").agg(*_amounts())
 
 
 def literature_region(spark: SparkSession, sf_dir: str, status: str) -> DataFrame:
-    rows = order_rows(spark, sf_dir, {"vintage", "priority", "status", "region"}).where(F.col("status") == status)
+    fields = {"vintage", "literature_scenario", "status", "region"}
+    rows = order_rows(spark, sf_dir, fields).where(F.col("status") == status)
     rows = rows.join(literature_region_groups(spark, sf_dir), "region")
-    scenario = recode(F.col("priority"), LITERATURE_SCENARIOS).alias("scenario")
-    return rows.groupBy(scenario, "grouped_region", F.col("vintage").alias("year")).agg(*_amounts())
+    named = rows.withColumnsRenamed({"literature_scenario": "scenario", "vintage": "year"})
+    return named.groupBy("scenario", "grouped_region", "year").agg(*_amounts())
 
 
 def literature_co2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,14 +50,21 @@ def _folder(base: str, name: str) -> str:
 
 
 def write_named_table(df: DataFrame, base: str, name: str) -> None:
-    """Store a query result under its name; one Parquet folder per name."""
+    """Store a query result under its name, one folder per name and scenario.
+
+    Nearly every dataset asks for some scenarios only, so those are the
+    partitions; the rebalance gives a large scenario many files and a small
+    one few.
+    """
     cols = schemas.NAMED_TABLES[name].names
-    df.select(*cols).write.mode("overwrite").parquet(_folder(base, name))
+    spread = df.select(*cols).hint("rebalance", "scenario")
+    spread.write.mode("overwrite").partitionBy("scenario").parquet(_folder(base, name))
 
 
 def read_named_table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """One named table of a store; the other tables' files are not touched."""
-    return spark.read.schema(schemas.NAMED_TABLES[name]).parquet(_folder(base, name))
+    schema = schemas.NAMED_TABLES[name]
+    return spark.read.schema(schema).parquet(_folder(base, name)).select(*schema.names)
 
 
 def write_mart(df: DataFrame, path: str, kind: str = "parquet") -> None:

@@ -1,6 +1,8 @@
 """Readers and writers."""
 
 from scenara import schemas
+from scenara.plans.marts import build_mart
+from scenara.session import shuffle_partitions
 from scenara.sources import (
     read_ensemble,
     read_gas_factors,
@@ -70,6 +72,29 @@ def test_named_store_reads_one_folder(spark, tmp_path):
     assert all("query=electricity" in f for f in got.inputFiles())
 
 
+def test_filters_reach_a_stored_table(spark, tmp_path):
+    """Scenario prunes folders; sector and year reach the Parquet reader."""
+    base = str(tmp_path / "store")
+    schema = schemas.NAMED_TABLES["traded_gas"]
+    data = [
+        ("EJ", s, "Global", sector, f"USA {sector}", sector, "gas", year, 1.0)
+        for s in ["Reference", "Transition", "Other"]
+        for sector in ["traded LNG", "traded RUS pipeline gas", "unsold"]
+        for year in [2010, 2020]
+    ]
+    write_named_table(spark.createDataFrame(data, schema), base, "traded_gas")
+    mart = build_mart("2C", {"traded_gas": read_named_table(spark, base, "traded_gas")})
+    assert sorted((r.scenario, r.year, r.value) for r in mart.collect()) == [
+        ("Reference", 2020, 1.0),
+        ("Transition", 2020, 1.0),
+    ]
+    plan = mart._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [scenario#" in plan
+    pushed = plan[plan.index("PushedFilters") :]
+    assert "In(sector" in pushed and "GreaterThanOrEqual(year,2015)" in pushed
+    assert "technology" not in plan[plan.index("ReadSchema") :]
+
+
 def test_mart_formats(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.0)], "k string, value double")
     for kind in ["parquet", "csv"]:
@@ -78,3 +103,8 @@ def test_mart_formats(spark, tmp_path):
         write_mart(df, path, kind)
         got = spark.read.csv(path, header=True, schema=df.schema) if kind == "csv" else spark.read.parquet(path)
         assert [tuple(r) for r in got.collect()] == [("a", 1.0)]
+
+
+def test_shuffle_partitions():
+    assert shuffle_partitions(1e6, 8) == 8
+    assert shuffle_partitions(25e12, 4000) == 93133
