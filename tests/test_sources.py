@@ -88,7 +88,10 @@ def test_filters_reach_a_stored_table(spark, tmp_path):
         ("Reference", 2020, 1.0),
         ("Transition", 2020, 1.0),
     ]
-    plan = mart._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    plan = build_mart("2C", {"traded_gas": read_named_table(spark, base, "traded_gas")})
+    plan = plan._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "PartitionFilters: [scenario#" in plan
     pushed = plan[plan.index("PushedFilters") :]
     assert "In(sector" in pushed and "GreaterThanOrEqual(year,2015)" in pushed
