@@ -7,7 +7,9 @@ from scenara.sources.tables import (  # noqa: F401
     read_literature_world,
     read_named_table,
     read_region_mapping,
+    read_store,
     read_technology_mapping,
     write_mart,
     write_named_table,
+    write_store,
 )

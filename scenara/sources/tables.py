@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -67,6 +70,19 @@ def read_named_table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(_folder(base, name)).select(*schema.names)
 
 
+def write_store(tables: Mapping[str, DataFrame | Callable[[], DataFrame]], base: str) -> None:
+    """Store every named table among ``tables``, so that datasets need not derive them again."""
+    for name in schemas.NAMED_TABLES:
+        if name in tables:
+            table = tables[name]
+            write_named_table(table() if callable(table) else table, base, name)
+
+
+def read_store(spark: SparkSession, base: str) -> dict[str, Callable[[], DataFrame]]:
+    """Loaders of a store's named tables; a table is read when it is first used."""
+    return {name: partial(read_named_table, spark, base, name) for name in schemas.NAMED_TABLES}
+
+
 def write_mart(df: DataFrame, path: str, kind: str = "parquet") -> None:
     """Write a finished dataset as ``parquet`` or ``csv`` part files."""
     writer = df.write.mode("overwrite")
