@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -41,14 +39,17 @@ def build_session(app_name: str = "scenara", master: str | None = None, **extra:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder.
+    """The folder that ``spark.checkpoint.dir`` names, shared by driver and executors.
 
-    A cluster names a shared one in ``spark.checkpoint.dir``. Only where no
-    folder is set (local tests) is a temporary one made.
+    Where none is set, a local session gets a folder of its own below the
+    working directory's warehouse; a cluster session is refused, as executors
+    there would write to their own disks.
     """
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        folder = tempfile.mkdtemp(prefix="scenara-checkpoint-")
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return folder.rstrip("/")

@@ -7,9 +7,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from catalog.oracle import ORACLE
+from catalog.queries import QUERIES
 
-QUERIES = entry_point.queries()
-ORACLE = entry_point.oracle_sql()
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
 
@@ -42,6 +42,7 @@ def check(spark, sf_dir, duck, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry_point.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
