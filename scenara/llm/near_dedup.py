@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenara.llm.common import Rolling, keyed, mix, slices, stored, text_buffer, word_spans
+from scenara.llm.common import NO_ID, Rolling, keyed, mix, slices, stored, text_buffer, word_spans
 
 SHINGLE, SIMILAR = 5, 0.8
 SKETCHES, PICKED = 16, 2
@@ -374,5 +374,5 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     placed = near_classes(keyed(docs))
     chosen = placed.select(F.col("class_k1").alias("_k1"), F.col("class_k2").alias("_k2")).distinct()
     text = F.coalesce(F.col("text"), F.lit(""))
-    keys = docs.withColumn("_k1", F.coalesce(F.col("doc_id"), F.lit(-(2**63)))).withColumn("_k2", F.xxhash64(text))
+    keys = docs.withColumn("_k1", F.coalesce(F.col("doc_id"), F.lit(NO_ID))).withColumn("_k2", F.xxhash64(text))
     return keys.join(chosen, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"]).select(*docs.columns)

@@ -29,6 +29,7 @@ from scenara.llm.tokens import RankEncoder
 
 CAPACITY = 1024
 END_ID = 2
+SLACKS = (0, 1, 2, 4, 8, 16, 32)
 ROWS_A_SALT = 500_000
 
 NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -57,13 +58,16 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
 
-def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
-    """Lengths and multiplicities of the fullest bin that holds the longest length."""
+def fullest(counts: dict[int, int], capacity: int, slack: int = 0) -> dict[int, int]:
+    """Lengths and multiplicities of the fullest bin that holds the longest length.
+
+    Lengths join from long to short until a bin within ``slack`` of full exists.
+    """
     longest = max(counts)
     rest, taken = capacity - longest, {longest: 1}
     reach, whole, steps = 1, (2 << rest) - 1, []
     for length in sorted(counts, reverse=True):
-        if reach >> rest & 1:
+        if reach >> max(0, rest - slack):
             break
         left = min(counts[length] - (length == longest), rest // length)
         times = 1
@@ -82,11 +86,20 @@ def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
     return taken
 
 
-def pack_lengths(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """Combinations in the order taken, and how many sequences each fills."""
+def pack_lengths(histogram: dict[int, int], capacity: int = CAPACITY, slacks: tuple[int, ...] = SLACKS) -> list[tuple[dict[int, int], int]]:
+    """Combinations in the order taken, and how many sequences each fills.
+
+    Accepting a little slack saves short pieces for later bins; the tolerance
+    with the fewest sequences wins, the smallest of equals.
+    """
+    plans = [pack_within(histogram, capacity, slack) for slack in slacks]
+    return min(plans, key=lambda plan: sum(times for _, times in plan))
+
+
+def pack_within(histogram: dict[int, int], capacity: int, slack: int) -> list[tuple[dict[int, int], int]]:
     counts, plan = {k: n for k, n in histogram.items() if n}, []
     while counts:
-        bin_ = fullest(counts, capacity)
+        bin_ = fullest(counts, capacity, slack)
         times = min(counts[k] // n for k, n in bin_.items())
         plan.append((bin_, times))
         for k, n in bin_.items():

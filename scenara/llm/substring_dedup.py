@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenara.llm.common import Rolling, keyed, slices, stored, text_buffer
+from scenara.llm.common import NO_ID, Rolling, keyed, slices, stored, text_buffer
 
 WINDOW, GRAM = 400, 32
 PART_BYTES = 1 << 20
@@ -314,17 +314,16 @@ def trimmed_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Bytes that are left of a character cut in two go as well.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    keys = docs.withColumn("k1", F.coalesce(F.col("doc_id"), F.lit(-(2**63)))).withColumn("k2", F.xxhash64(text))
-    narrow = keys.select("k1", "k2", text.alias("text"))
-    found = repeated_runs(narrow, window)
-    cut = keys.join(found, ["k1", "k2"], "left")
+    keys = docs.withColumn("_k1", F.coalesce(F.col("doc_id"), F.lit(NO_ID))).withColumn("_k2", F.xxhash64(text))
+    found = repeated_runs(keys.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), text.alias("text")), window)
+    cut = keys.join(found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("runs").alias("_runs")), ["_k1", "_k2"], "left")
     columns = docs.columns
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, hits in zip(batch.column("text"), batch.column("runs"), strict=True):
+            for text, hits in zip(batch.column("text"), batch.column("_runs"), strict=True):
                 whole = text.as_py()
                 if hits.as_py():
                     raw = whole.encode()
@@ -336,5 +335,5 @@ def trimmed_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             out = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays(out, columns)
 
-    result = cut.select(*columns, "runs").mapInArrow(run, schema)
+    result = cut.select(*columns, "_runs").mapInArrow(run, schema)
     return result.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else result

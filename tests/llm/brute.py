@@ -91,3 +91,15 @@ def targets(sizes):
         if not over:
             return {s: 2.0 * sizes[s] if s in capped else share[s] for s in order}
         capped |= over
+
+
+def best_fit_decreasing(lengths, capacity):
+    """Number of bins that best fit takes over falling lengths."""
+    room = []
+    for n in sorted(lengths, reverse=True):
+        fits = [(r, i) for i, r in enumerate(room) if r >= n]
+        if fits:
+            room[min(fits)[1]] -= n
+        else:
+            room.append(capacity - n)
+    return len(room)
