@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenara.llm.common import NO_ID, Rolling, keyed, slices, stored, text_buffer
+from scenara.llm.common import NO_ID, Rolling, slices, stored, text_buffer
 
 WINDOW, GRAM = 400, 32
 PART_BYTES = 1 << 20
@@ -105,19 +105,20 @@ def contexts_of(docs: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
     """The bytes of chosen runs, one for each gram and kind."""
     wanted = chosen.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "kind", "anchor", "windows", "start")).alias("runs"))
     joined = docs.join(wanted, ["k1", "k2"])
+    # all columns are read, so that this shuffle of the texts serves the last join too
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
             rows = []
             for text, runs in zip(batch.column("text"), batch.column("runs"), strict=True):
-                raw = text.as_py().encode()
+                raw = (text.as_py() or "").encode()
                 for r in runs.as_py():
                     rows.append((r["gram"], r["kind"], r["anchor"], r["windows"], raw[r["start"] : r["start"] + r["windows"] + window - 1]))
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names(CONTEXTS))
 
-    return joined.select("text", "runs").mapInArrow(run, CONTEXTS)
+    return joined.select(*docs.columns, "runs").mapInArrow(run, CONTEXTS)
 
 
 def prefix_intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
@@ -249,7 +250,7 @@ def repeats_by_hash(contexts: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, window: int = WINDOW, group_runs: int = GROUP_RUNS) -> DataFrame:
-    """``k1``, ``k2``, ``runs``: the ranges of repeated window starts by document."""
+    """From ``docs`` (from ``prepared``), ``k1``, ``k2``, ``runs``: the ranges of repeated window starts by document."""
     runs = stored(find_runs(docs, window), "runs")
     kinds = runs.groupBy("gram", "kind").agg(
         F.sum(F.size("starts")).alias("copies"),
@@ -272,68 +273,55 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, group_runs: int = GROUP
     return hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("starts", "ranges")).alias("runs"))
 
 
-def cut_documents(docs: DataFrame, window: int = WINDOW, group_runs: int = GROUP_RUNS) -> DataFrame:
-    """``docs`` (from ``keyed``, with any further columns) with ``n_bytes``, ``n_removed``,
-    ``n_spans`` and ``kept``, the remaining bytes."""
-    found = repeated_runs(docs.select("k1", "k2", "text"), window, group_runs)
-    joined = docs.join(found, ["k1", "k2"], "left")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_bytes long, n_removed long, n_spans long, kept binary"])
-    columns = docs.columns
-    at = columns.index("text")
+def prepared(docs: DataFrame) -> DataFrame:
+    """``k1``, ``k2``, ``text`` and all other columns in the struct ``row``."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(
+        F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("k1"), F.xxhash64(text).alias("k2"), "text", F.struct(*others).alias("row")
+    )
+
+
+def cut_documents(docs: DataFrame, window: int, group_runs: int, as_text: bool) -> DataFrame:
+    """``docs`` (from ``prepared``) as ``row``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept``:
+    the remaining bytes, or as text without the bytes of characters cut in two."""
+    joined = docs.join(repeated_runs(docs, window, group_runs), ["k1", "k2"], "left")
+    schema = f"row {docs.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, hits in zip(batch.column(columns[at]), batch.column("runs"), strict=True):
-                raw = text.as_py().encode()
-                spans = [(s + r["first"], s + r["last"] + window - 1) for h in hits.as_py() or () for s in h["starts"] for r in h["ranges"]]
-                spans = united(spans)
-                kept, last = [], 0
-                for a, b in spans:
-                    kept.append(raw[last:a])
-                    last = b + 1
-                kept.append(raw[last:])
-                left = b"".join(kept)
-                rows.append((len(raw), len(raw) - len(left), len(spans), left))
-            more = list(zip(*rows, strict=True)) or [()] * 4
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *(pa.array(c, k) for c, k in zip(more, kinds, strict=True))], [*columns, "n_bytes", "n_removed", "n_spans", "kept"])
-
-    return joined.select(*columns, "runs").mapInArrow(run, schema)
+            for text, hits in zip(batch.column("text"), batch.column("runs"), strict=True):
+                whole = text.as_py()
+                raw = (whole or "").encode()
+                spans = united([(s + r["first"], s + r["last"] + window - 1) for h in hits.as_py() or () for s in h["starts"] for r in h["ranges"]])
+                ends, starts = [0, *(b + 1 for _, b in spans)], [*(a for a, _ in spans), len(raw)]
+                left = [raw[a:b] for a, b in zip(ends, starts, strict=True)]
+                size = sum(map(len, left))
+                if as_text:
+                    kept = "".join(x.decode("utf-8", "ignore") for x in left) if spans else whole
+                else:
+                    kept = b"".join(left)
+                rows.append((len(raw), len(raw) - size, len(spans), kept))
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["row", "n_bytes", "n_removed", "n_spans", "kept"]
+            )
+
+    return joined.select(*docs.columns, "runs").mapInArrow(run, schema)
 
 
 def removal_digest(docs: DataFrame, window: int = WINDOW, group_runs: int = GROUP_RUNS) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` of every row."""
-    cut = cut_documents(keyed(docs), window, group_runs)
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-
+    cut = cut_documents(prepared(docs.select("doc_id", "text")), window, group_runs, False)
+    return cut.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
-def trimmed_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with repeated strings removed from ``text``; ``n_chars``, if there, follows.
 
-    Bytes that are left of a character cut in two go as well.
-    """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keys = docs.withColumn("_k1", F.coalesce(F.col("doc_id"), F.lit(NO_ID))).withColumn("_k2", F.xxhash64(text))
-    found = repeated_runs(keys.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), text.alias("text")), window)
-    cut = keys.join(found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("runs").alias("_runs")), ["_k1", "_k2"], "left")
-    columns = docs.columns
-    schema = docs.schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for text, hits in zip(batch.column("text"), batch.column("_runs"), strict=True):
-                whole = text.as_py()
-                if hits.as_py():
-                    raw = whole.encode()
-                    spans = united([(s + r["first"], s + r["last"] + window - 1) for h in hits.as_py() for s in h["starts"] for r in h["ranges"]])
-                    ends = [0, *(b + 1 for _, b in spans)]
-                    starts = [*(a for a, _ in spans), len(raw)]
-                    whole = "".join(raw[a:b].decode("utf-8", "ignore") for a, b in zip(ends, starts, strict=True))
-                texts.append(whole)
-            out = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays(out, columns)
-
-    result = cut.select(*columns, "_runs").mapInArrow(run, schema)
-    return result.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else result
+def trimmed_documents(docs: DataFrame, window: int = WINDOW, group_runs: int = GROUP_RUNS) -> DataFrame:
+    """``docs`` with repeated strings removed from ``text``; ``n_chars``, if there, follows."""
+    cut = cut_documents(prepared(docs), window, group_runs, True)
+    values = {c: F.col(f"row.`{c}`") for c in docs.columns if c != "text"} | {"text": F.col("kept")}
+    if "n_chars" in values:
+        values["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[values[c].alias(c) for c in docs.columns])
