@@ -11,8 +11,9 @@ Texts with the same words are one node from the start. In every bucket of a
 sketch, members are first compared with the bucket's most central text (the one
 in the fullest buckets), one pair for a member. After that most buckets lie in
 one component. Buckets that do not are gone through in blocks of bounded size:
-texts of different components are compared exactly, in the task, and only links
-are given out. No bucket is capped, and no list of all pairs is made.
+texts of different components that share ``AGREE`` sketches (alike texts miss
+that once in 400,000 times) are compared exactly, in the task, in the first
+bucket they share, and only links are given out. No bucket is capped, and no list of all pairs is made.
 
 A pair is linked if the aligned shingles are at least 0.8 of all its shingles,
 or, where content has moved, the sets of shingles have a Jaccard similarity of
@@ -40,6 +41,7 @@ from scenara.llm.common import NO_ID, Rolling, keyed, mix, slices, stored, text_
 SHINGLE, SIMILAR = 5, 0.8
 SKETCHES, PICKED = 16, 2
 SLICE = 1 << 20
+AGREE = 2
 BLOCK_ROWS = 1024
 ROUNDS = 60
 
@@ -189,34 +191,36 @@ def _traced(history: list[dict[int, int]], x: int, y: int, start: int, stop: int
     return runs[::-1]
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b))
-    sizes = len(np.unique(a)) + len(np.unique(b))
-    return both / max(1, sizes - both)
-
-
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of sorted arrays without repeats."""
+    """Jaccard similarity of arrays without repeats."""
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / max(1, len(a) + len(b) - both)
 
 
-def alike(words_a: np.ndarray, words_b: np.ndarray) -> tuple[bool, float]:
-    """Whether two texts are linked, and the share of aligned shingles."""
-    both = np.concatenate([words_a, words_b])
-    shingles, at = shingle_hashes(both, np.array([0, len(words_a), len(both)]))
-    sets = jaccard(shingles[: at[1]], shingles[at[1] :])
-    labels = labelled(shingles, at)
-    if max(sets, overlap(np.sort(labels[: at[1]]), np.sort(labels[at[1] :]))) < SIMILAR:
+def alike(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[bool, float]:
+    """Whether two texts (words, shingles, labels) are linked, and the share of aligned shingles."""
+    sets = overlap(np.unique(a[1]), np.unique(b[1]))
+    if max(sets, overlap(a[2], b[2])) < SIMILAR:
         return False, 0.0
-    total = len(shingles)
+    total = len(a[1]) + len(b[1])
     band = int(total * (1 - 2 * SIMILAR / (1 + SIMILAR))) + 1
-    runs = matched_runs(words_a.tolist(), words_b.tolist(), band)
+    runs = matched_runs(a[0].tolist(), b[0].tolist(), band)
     same = sum(max(0, r - SHINGLE + 1) for r in runs or ())
     aligned = same / max(1, total - same)
     return aligned >= SIMILAR or sets >= SIMILAR, aligned
 
 
+def texts_of(column: pa.Array, rolling: Rolling) -> Iterator[tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]]:
+    """Word hashes, shingles and labelled shingles of the rows, in runs of rows."""
+    data, offsets = text_buffer(column)
+    for a, b in slices(offsets, SLICE):
+        words, at = word_hashes(data, offsets[a : b + 1], rolling)
+        shingles, s_at = shingle_hashes(words, at)
+        labels = labelled(shingles, s_at)
+        cut = lambda x, y: [x[i:j] for i, j in zip(y[:-1].tolist(), y[1:].tolist(), strict=True)]
+        yield cut(words, at), cut(shingles, s_at), cut(labels, s_at)
+
+
 def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """The pairs ``a``, ``b`` that are linked, with ``aligned``."""
     left = bodies.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
@@ -226,10 +230,7 @@ def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
         for batch in batches:
-            sides = []
-            for name in ("text_a", "text_b"):
-                data, offsets = text_buffer(batch.column(name))
-                sides.append([word_hashes(data, offsets[i : i + 2], rolling)[0] for i in range(batch.num_rows)])
+            sides = [[x for part in texts_of(batch.column(name), rolling) for x in zip(*part, strict=True)] for name in ("text_a", "text_b")]
             found = [alike(x, y) for x, y in zip(*sides, strict=True)]
             keep = pa.array([k for k, _ in found], pa.bool_())
             out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array([s for _, s in found], pa.float64())], ["a", "b", "aligned"])
@@ -259,18 +260,19 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def links_across(rest: DataFrame) -> DataFrame:
     """Links between texts of different components that share a bucket.
 
-    ``rest`` has ``bucket``, ``size``, ``id``, ``component`` and ``text``. Buckets
+    ``rest`` has ``slot``, ``bucket``, ``size``, ``id``, ``component``, ``sketches`` and
+    ``text``. Buckets
     are cut into blocks of about ``BLOCK_ROWS``; every two blocks of a bucket
     meet in a group of their own.
     """
     blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
     mine = F.pmod(F.hash("id"), F.col("blocks"))
     dealt = rest.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keys = ["bucket", "low", "high"]
-    grouped = dealt.select("bucket", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "id", "component", "text")
+    keys = ["slot", "bucket", "low", "high"]
+    grouped = dealt.select("slot", "bucket", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "id", "component", "sketches", "text")
 
-    def compare(group: list[tuple]) -> list[tuple[int, int]]:
-        blocks, ids, comps, sets, labels = zip(*group, strict=True)
+    def compare(group: list[tuple], slot: int) -> list[tuple[int, int]]:
+        blocks, ids, comps, sketches, sets, labels = zip(*group, strict=True)
         root: dict[int, int] = {c: c for c in comps}
 
         def top(c: int) -> int:
@@ -283,48 +285,50 @@ def links_across(rest: DataFrame) -> DataFrame:
         across = len(set(blocks)) > 1
         # sets of shingles first, as those links always hold; then labelled ones
         for bags, certain in ((sets, True), (labels, False)):
-            sizes = np.array([len(s) for s in bags])
-            order = np.argsort(sizes, kind="stable").tolist()
-            sizes = sizes[order]
-            flat = np.concatenate([bags[i] for i in order])
-            offsets = np.concatenate([[0], np.cumsum(sizes)])
+            sizes = np.array([len(x) for x in bags])
+            order = np.argsort(sizes, kind="stable")
+            sizes, found = sizes[order], np.stack(sketches)[order]
+            comp, part = np.array(comps)[order], np.array(blocks)[order]
             for i in range(1, len(order)):
                 first = int(np.searchsorted(sizes, int(np.ceil(SIMILAR * sizes[i] - 1e-9))))
-                if first >= i:
+                apart = comp[first:i] != comp[i]
+                if across:
+                    apart &= part[first:i] != part[i]
+                near = np.flatnonzero(apart) + first
+                if not len(near):
                     continue
-                low, me = offsets[first], order[i]
-                hits = np.concatenate([[0], np.cumsum(np.isin(flat[low : offsets[i]], bags[me]))])
-                both = hits[offsets[first + 1 : i + 1] - low] - hits[offsets[first:i] - low]
-                near = both >= SIMILAR * (sizes[first:i] + sizes[i] - both) - 1e-9
-                for j in (np.flatnonzero(near) + first).tolist():
+                same = found[near] == found[i]
+                # a pair is compared in the first bucket it shares, if it shares another
+                near = near[(same.argmax(axis=1) == slot) & (same.sum(axis=1) >= AGREE)]
+                me = order[i]
+                for j in near.tolist():
                     you = order[j]
-                    if (across and blocks[me] == blocks[you]) or top(comps[me]) == top(comps[you]):
+                    if top(comps[me]) == top(comps[you]):
                         continue
-                    if certain:
-                        root[top(comps[me])] = top(comps[you])
-                    out.append((ids[me], ids[you]))
+                    if overlap(bags[me], bags[you]) >= SIMILAR:
+                        if certain:
+                            root[top(comps[me])] = top(comps[you])
+                        out.append((ids[me], ids[you]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, key, group = Rolling(), None, []
 
-        def emit(group: list) -> pa.RecordBatch:
-            pairs = compare(group) if len({g[2] for g in group}) > 1 else []
+        def emit() -> pa.RecordBatch:
+            pairs = compare(group, key[0]) if len({g[2] for g in group}) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            data, offsets = text_buffer(batch.column("text"))
-            columns = [batch.column(c).to_pylist() for c in (*keys, "mine", "id", "component")]
-            for i, (bucket, low, high, *rest_) in enumerate(zip(*columns, strict=True)):
-                if (bucket, low, high) != key:
+            bags = [x for _, shingles, labels in texts_of(batch.column("text"), rolling) for x in zip(shingles, labels, strict=True)]
+            columns = [batch.column(c).to_pylist() for c in (*keys, "mine", "id", "component", "sketches")]
+            for i, (slot, bucket, low, high, mine, id_, component, sketches) in enumerate(zip(*columns, strict=True)):
+                if (slot, bucket, low, high) != key:
                     if group:
-                        yield emit(group)
-                    key, group = (bucket, low, high), []
-                words, at = word_hashes(data, offsets[i : i + 2], rolling)
-                shingles, s_at = shingle_hashes(words, at)
-                group.append((*rest_, np.unique(shingles), np.sort(labelled(shingles, s_at))))
+                        yield emit()
+                    key, group = (slot, bucket, low, high), []
+                group.append((mine, id_, component, np.array(sketches), np.unique(bags[i][0]), np.sort(bags[i][1])))
         if group:
-            yield emit(group)
+            yield emit()
 
     return grouped.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
@@ -336,7 +340,7 @@ def near_classes(rows: DataFrame) -> DataFrame:
     worded = sketched.where(F.col("w1").isNotNull())
     nodes = worded.groupBy("w1", "w2").agg(F.min(F.struct("k1", "k2")).alias("one"), F.first("sketches").alias("sketches"))
     nodes = stored(nodes.select(F.monotonically_increasing_id().alias("id"), "w1", "w2", "one.*", "sketches"), "nodes")
-    entries = nodes.where(F.col("sketches").isNotNull()).select("id", F.explode("sketches").alias("bucket"))
+    entries = nodes.where(F.col("sketches").isNotNull()).select("id", F.posexplode("sketches").alias("slot", "bucket"))
     full = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     entries = stored(entries.join(full, "bucket"), "buckets")
     involved = entries.groupBy("id").agg(F.sum("size").alias("weight"))
@@ -351,7 +355,7 @@ def near_classes(rows: DataFrame) -> DataFrame:
     first = stored(components(nodes, links), "components")
     placed = entries.join(first, "id")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
-    rest = placed.join(mixed.select("bucket"), "bucket").join(bodies.select("id", "text"), "id")
+    rest = placed.join(mixed.select("bucket"), "bucket").join(bodies.select("id", "text"), "id").join(nodes.select("id", "sketches"), "id")
     more = verified(links_across(rest).distinct(), bodies)
     links = stored(links.select("a", "b").union(more.select("a", "b")), "links")
     final = components(nodes, links)
