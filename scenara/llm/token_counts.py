@@ -7,7 +7,7 @@ is the weighted sum. Ids of documents are never made.
 
 Frequencies are kept in blocks of documents: a block holds its distinct
 pre-tokens once and a sparse matrix of documents by pre-tokens (sorted cells as
-16-bit steps). A block is closed at ``BLOCK_BYTES`` of text or ``BLOCK_TOKENS``
+compressed 16-bit steps). A block is closed at ``BLOCK_BYTES`` of text or ``BLOCK_TOKENS``
 distinct pre-tokens, so its size is bounded however many documents there are;
 only the lists of distinct pre-tokens are shuffled by content, and a very
 frequent pre-token has one row for a block, not one for a document.
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,17 +74,18 @@ class Block:
         times = np.concatenate(self.times)
         many = np.flatnonzero(times > 1)
         counts = np.concatenate([np.diff(many, prepend=0), times[many]]).astype(np.uint32)
-        row = [number, self.doc_ids, self.sizes, list(self.index), small.tobytes(), steps[far].tobytes(), counts.tobytes()]
+        row = [number, self.doc_ids, self.sizes, list(self.index), *(zstandard.compress(x.tobytes()) for x in (small, steps[far], counts))]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, BLOCK_KINDS, strict=True)], [c.split()[0] for c in BLOCKS.split(", ")])
 
 
 def sums(row: dict, pieces: np.ndarray) -> np.ndarray:
     """Tokens of each document of a block, given the pieces of its pre-tokens."""
-    steps = np.frombuffer(row["steps"], np.uint16).astype(np.int64)
-    steps[steps == LONG_STEP] = np.frombuffer(row["long_steps"], np.int64)
+    read = lambda name, kind: np.frombuffer(zstandard.decompress(row[name]), kind).astype(np.int64)
+    steps = read("steps", np.uint16)
+    steps[steps == LONG_STEP] = read("long_steps", np.int64)
     flat = np.cumsum(steps)
     width = max(1, len(pieces))
-    counts = np.frombuffer(row["counts"], np.uint32).astype(np.int64)
+    counts = read("counts", np.uint32)
     many, times = np.cumsum(counts[: len(counts) // 2]), counts[len(counts) // 2 :]
     weight = pieces[flat % width] if len(flat) else np.zeros(0, np.int64)
     weight[many] *= times
@@ -107,28 +109,35 @@ def frequency_blocks(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, BLOCKS)
 
 
-def piece_counts(distinct: DataFrame, path: str | None = None) -> DataFrame:
-    """``token``, ``pieces``: each pre-token encoded once by the library."""
+def piece_counts(entries: DataFrame, path: str | None = None) -> DataFrame:
+    """``block`` and ``packed`` (place and number of pieces) for entries of block, place and token.
+
+    Entries meet by token in sorted order, and each token is encoded once by the
+    library: a merge of the distinct pre-tokens' counts with their places.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = library(path)
+        known: dict[str, int] = {}
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            n: list[int] = []
-            for i in range(0, len(texts), 5000):
-                n += map(len, tokenizer.encode_batch_fast(texts[i : i + 5000], add_special_tokens=False))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["token", "pieces"])
+            texts = batch.column("token").to_pylist()
+            known = {t: n for t, n in known.items() if t == texts[0]}  # a token may run on into this batch
+            new = [t for t in dict.fromkeys(texts) if t not in known]
+            for i in range(0, len(new), 5000):
+                part = new[i : i + 5000]
+                known.update(zip(part, map(len, tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+            n = np.fromiter((known[t] for t in texts), np.int64, len(texts))
+            packed = (batch.column("at").to_numpy().astype(np.int64) << 32) + n
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(packed)], ["block", "packed"])
 
-    return distinct.select("token").mapInArrow(run, "token string, pieces long")
+    return entries.repartition("token").sortWithinPartitions("token").mapInArrow(run, "block long, packed long")
 
 
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_tokens`` of every row."""
     blocks = stored(frequency_blocks(docs), "frequencies")
-    entries = blocks.select("block", F.posexplode("tokens").alias("at", "token"))
-    pieces = piece_counts(entries.select("token").distinct(), path)
-    packed = F.col("at").cast("long") * (1 << 32) + F.col("pieces")
-    by_block = entries.join(pieces, "token").groupBy("block").agg(F.collect_list(packed).alias("packed"))
+    pieces = piece_counts(blocks.select("block", F.posexplode("tokens").alias("at", "token")), path)
+    by_block = pieces.groupBy("block").agg(F.collect_list("packed").alias("packed"))
     joined = blocks.drop("tokens").join(by_block, "block", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
