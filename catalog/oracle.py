@@ -461,7 +461,7 @@ WHERE e."Variable" = '{variable}' AND e.value IS NOT NULL AND w.temp_category IS
 def overlay(variable: str) -> str:
     return f"""
 SELECT "Model", "Scenario" AS "Model_Scenario", "Region", "Variable", "Unit", year, value, temp_category AS scenario,
-  'AR6' AS category FROM ({extract(variable)}) WHERE year >= 2020 AND year <= 2050"""
+  'AR6' AS category FROM ({extract(variable)})"""
 
 
 CTES["ensemble_gas"] = overlay(V.PRIMARY_GAS_VARIABLE)
@@ -603,7 +603,7 @@ SQL["net_add_ret_keep_all"] = rounded("SELECT * FROM export_changes_all", CHANGE
 SQL["named_store_scan"] = rollup("electricity", "scenario, technology, year")
 SQL["csv_store_scan"] = "SELECT * FROM literature_production"
 SQL["land_use"] = rounded("SELECT * FROM land_use", ["value"])
-SQL["ensemble_long"] = "SELECT * FROM ensemble_long WHERE year BETWEEN 2020 AND 2050"
+SQL["ensemble_long"] = "SELECT * FROM ensemble_long"
 SQL["co2_equivalent"] = rounded(rollup("all_emissions", 'scenario, region, "GHG", sector, "Units", year'), ["value"])
 
 # query -> derived table, rounded columns, digits
@@ -779,7 +779,7 @@ for _name, _ensemble, _factor, _model, _extra, _divisor, _lit, _col in [
     _member = "scenario, CAST(NULL AS VARCHAR) AS member, year"
     SQL[f"mart_{_name.lower()}"] = f"""
 SELECT 'ensemble' AS series, scenario, "Model" || '.' || "Model_Scenario" AS member, year,
-  {number(f'value {_factor}', 'value')} FROM {_ensemble}
+  {number(f'value {_factor}', 'value')} FROM {_ensemble} WHERE year >= 2020 AND year <= 2050
 UNION ALL SELECT 'model', {_member}, {number(f'value {_divisor}', 'value')} FROM {_model} WHERE {PLOTTED} {_extra}
 UNION ALL SELECT 'literature', {_member}, {number(_col, 'value')} FROM {_lit}"""
 

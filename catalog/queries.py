@@ -442,7 +442,7 @@ def land_use(spark, sf_dir):
 
 @query
 def ensemble_long(spark, sf_dir):
-    return ensemble.ensemble_long(star.ensemble(spark, sf_dir), V.ENSEMBLE_PLOT_YEARS)
+    return ensemble.ensemble_long(star.ensemble(spark, sf_dir))
 
 
 @query

@@ -12,13 +12,21 @@ from scenara.functions import warming_band
 from scenara.operators import attach_mapping, complete_cases, wide_to_long
 
 
-def year_columns(wide: DataFrame, years: Sequence[int] = tuple(V.ENSEMBLE_YEARS)) -> list[str]:
-    """The year columns present among ``years``."""
-    return [str(y) for y in years if str(y) in wide.columns]
+def year_columns(wide: DataFrame, years: Sequence[int] | None = None) -> list[str]:
+    """The columns of the named years, or all year columns of the table.
+
+    Raises if a named year has no column.
+    """
+    if years is None:
+        return [c for c in wide.columns if c.isdigit()]
+    missing = [y for y in years if str(y) not in wide.columns]
+    if missing:
+        raise ValueError(f"the ensemble has no columns for the years {missing}")
+    return [str(y) for y in years]
 
 
-def ensemble_long(wide: DataFrame, years: Sequence[int] = tuple(V.ENSEMBLE_YEARS)) -> DataFrame:
-    """One row per member, variable and year; columns of other years are not read."""
+def ensemble_long(wide: DataFrame, years: Sequence[int] | None = None) -> DataFrame:
+    """One row per member, variable and year, of all years or of the named ones."""
     ids = [c for c in wide.columns if not c.isdigit()]
     return wide_to_long(wide, year_columns(wide, years), ids=ids)
 
@@ -39,7 +47,7 @@ def extract_variable(
     wide: DataFrame,
     variable: str,
     categories: DataFrame,
-    years: Sequence[int] = tuple(V.ENSEMBLE_YEARS),
+    years: Sequence[int] | None = None,
 ) -> DataFrame:
     """Complete long rows of one variable with the member's band.
 

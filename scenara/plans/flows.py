@@ -99,10 +99,10 @@ def grouped_flows(flows: DataFrame, region_groups: DataFrame, sector_levels=tupl
     return flow_levels(rollup_sum(attach_mapping(flows, region_groups, "region"), FLOW_KEYS), sector_levels)
 
 
-def grouped_trade(gross: DataFrame, region_groups: DataFrame) -> DataFrame:
+def grouped_trade(gross: DataFrame, region_groups: DataFrame, sector_levels=tuple(V.TRADE_SECTOR_LEVELS)) -> DataFrame:
     """Gross trade by region group beside the group's net trade."""
     rolled = rollup_sum(attach_mapping(gross, region_groups, "region"), FLOW_KEYS)
-    return flow_levels(with_net(rolled, ["scenario", "grouped_region", "year"]))
+    return flow_levels(with_net(rolled, ["scenario", "grouped_region", "year"]), sector_levels)
 
 
 def flow_differences(grouped: DataFrame, pairs=tuple(LIMITED_TRADE_PAIRS)) -> DataFrame:

@@ -99,7 +99,7 @@ DERIVED: dict[str, Callable[[Workspace], DataFrame]] = {
     "trade_with_net": lambda ws: flows.trade_with_net(ws["gross_trade"]),
     "gross_production": lambda ws: flows.gross_production(ws["regional_gas"], ws["traded_flows"]),
     "gross_consumption": lambda ws: flows.gross_consumption(ws["regional_gas"]),
-    "grouped_trade": lambda ws: flows.grouped_trade(ws["gross_trade"], ws["region_groups"]),
+    "grouped_trade": lambda ws: flows.grouped_trade(ws["gross_trade"], ws["region_groups"], ws.options.sector_levels),
     "grouped_production": lambda ws: _flows(ws, "gross_production"),
     "grouped_consumption": lambda ws: _flows(ws, "gross_consumption"),
     "production_difference": lambda ws: flows.flow_differences(ws["grouped_production"]),
@@ -182,10 +182,10 @@ DERIVED: dict[str, Callable[[Workspace], DataFrame]] = {
     ),
     "warming": lambda ws: ensemble.warming_category(ws["ensemble"]),
     "ensemble_gas": lambda ws: ensemble.overlay_extract(
-        ensemble.extract_variable(ws["ensemble"], V.PRIMARY_GAS_VARIABLE, ws["warming"], V.ENSEMBLE_PLOT_YEARS)
+        ensemble.extract_variable(ws["ensemble"], V.PRIMARY_GAS_VARIABLE, ws["warming"])
     ),
     "ensemble_co2": lambda ws: ensemble.overlay_extract(
-        ensemble.extract_variable(ws["ensemble"], V.FOSSIL_CO2_VARIABLE, ws["warming"], V.ENSEMBLE_PLOT_YEARS)
+        ensemble.extract_variable(ws["ensemble"], V.FOSSIL_CO2_VARIABLE, ws["warming"])
     ),
     "ensemble_primary": lambda ws: ensemble.extract_variable(
         ws["ensemble"], V.PRIMARY_ENERGY_VARIABLE, ws["warming"]
@@ -373,6 +373,7 @@ class Layer:
     factor: float | str = 1.0
 
 
+ENSEMBLE_SHOWN = (lambda: F.col("year").between(V.ENSEMBLE_PLOT_YEARS[0], V.ENSEMBLE_PLOT_YEARS[-1]),)
 FROM_2015 = (lambda: F.col("year") >= V.FIRST_YEAR,)
 
 OVERLAYS: dict[str, tuple[list[str], list[Layer]]] = {
@@ -406,7 +407,7 @@ OVERLAYS: dict[str, tuple[list[str], list[Layer]]] = {
     "S12": (
         ["scenario", "member", "year"],
         [
-            Layer("ensemble", "ensemble_gas", factor="ensemble_gas_factor"),
+            Layer("ensemble", "ensemble_gas", ENSEMBLE_SHOWN, factor="ensemble_gas_factor"),
             Layer("model", "primary_global", PLOTTED + (lambda: F.col("fuel") == V.NATURAL_GAS_FUEL,)),
             Layer("literature", "literature_gas", value="EJ"),
         ],
@@ -414,7 +415,7 @@ OVERLAYS: dict[str, tuple[list[str], list[Layer]]] = {
     "S13": (
         ["scenario", "member", "year"],
         [
-            Layer("ensemble", "ensemble_co2", factor=1e-3),
+            Layer("ensemble", "ensemble_co2", ENSEMBLE_SHOWN, factor=1e-3),
             Layer("model", "fossil_co2", PLOTTED, factor=1e-3),
             Layer("literature", "literature_co2", factor=1e-3),
         ],

@@ -183,3 +183,11 @@ def test_write_all_datasets(spark, tables, tmp_path):
         assert stored.exceptAll(built.select(*stored.columns)).count() == 0
     for name in MART_NAMES:
         assert spark.read.parquet(f"{base}/{name}").columns
+
+
+def test_ensemble_years(spark):
+    wide = spark.createDataFrame([("m", "s", "v", 1.0, 2.0)], "Model string, Scenario string, Variable string, `1995` double, `2100` double")
+    assert {r["year"] for r in ensemble.ensemble_long(wide).collect()} == {1995, 2100}
+    assert {r["year"] for r in ensemble.ensemble_long(wide, [2100]).collect()} == {2100}
+    with pytest.raises(ValueError, match="2050"):
+        ensemble.ensemble_long(wide, [2050, 2100])
