@@ -22,6 +22,8 @@ HEADLINE = [
     "net_add_ret",
     "cumulative_grouped",
     "ensemble_gas",
+    "mart_s13",
+    "diff_families_with_net",
 ]
 REPEATS = 3
 

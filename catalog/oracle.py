@@ -314,6 +314,12 @@ WHERE sector = '{V.LNG_SECTOR}'
 UNION ALL SELECT *, additions * 0.57 * 1e9 * (1 / {V.EJ_MTPA!r}) * (1 / 0.13) * (1 / 5.0) AS cost FROM global_additions
 WHERE sector <> '{V.LNG_SECTOR}'"""
 
+CTES["cost_in_billions"] = "SELECT * REPLACE (cost / 1e9 AS cost) FROM annual_cost"
+CTES["gappy_vintages"] = f"""
+SELECT 'EJ' AS "Units", scenario, region, word AS sector, vintage, year, {strict('value')} FROM gappy
+WHERE vintage <= year GROUP BY scenario, region, word, vintage, year"""
+_ageing("gappy", "sector")
+
 # --- energy ----------------------------------------------------------------
 
 CTES["global_resources"] = rollup("resource_production", "scenario, resource, year")
@@ -600,6 +606,34 @@ SQL["natural_retirements_import"] = rounded("SELECT * EXCLUDE (vintage) FROM imp
 CHANGES = ["additions", "retirements", "add_adj", "ret_adj"]
 CUMULATIVE = ["cum_additions", "cum_retirements"]
 SQL["net_add_ret_keep_all"] = rounded("SELECT * FROM export_changes_all", CHANGES)
+SQL["retirements_repeated_rows"] = rounded("SELECT * FROM import_changes", CHANGES)
+SQL["net_add_ret_gaps"] = rounded("SELECT * FROM gappy_changes", CHANGES)
+SQL["cumulative_add_ret_gaps"] = rounded("SELECT * FROM gappy_cumulative", CHANGES + CUMULATIVE)
+CTES["gappy_kinds"] = rollup("gappy", "scenario, region, kind, year")
+SQL["net_alongside_detail_gaps"] = net("gappy_kinds", ["scenario", "region", "year"])
+CTES["gappy_words"] = rollup("gappy", "scenario, region, word, year")
+SQL["diff_many_scenarios_gaps"] = diff("gappy_words", ["Reference_LLS", "Transition"], "Reference", WORD_KEYS)
+CTES["gappy_word_kinds"] = rollup("gappy", "scenario, region, word, kind, year")
+CTES["repeated_words"] = "SELECT scenario, region, word, year, value FROM gappy_word_kinds"
+SQL["diff_repeated_keys"] = diff("repeated_words", ["Reference_LLS", "Transition"], "Reference", WORD_KEYS)
+SQL["group_set_totals_gaps"] = " UNION ALL ".join(
+    f"SELECT scenario, region, year, '{g}' AS sector, {strict('value')} FROM gappy WHERE word IN ({lit(m)}) "
+    "GROUP BY scenario, region, year"
+    for g, m in {"Warm": ["hot", "red"], "Cool": ["cold", "blue"], "Both": ["hot", "cold"]}.items()
+)
+SQL["co2_equivalent_gaps"] = rounded(
+    """SELECT scenario, region, gas AS "GHG", emitter AS sector, year, sum(value * factor) AS value
+FROM gappy JOIN gas_factors ON gas = ghg WHERE value IS NOT NULL GROUP BY ALL""",
+    ["value"],
+)
+SQL["land_use_gaps"] = rounded(
+    f"""SELECT scenario, region, year, value * 44 / 12 AS value, 'MtCO2' AS "Units", 'LUC' AS sector, 'CO2' AS "GHG"
+FROM (SELECT scenario, region, year, {strict('value')} FROM gappy GROUP BY scenario, region, year)""",
+    ["value"],
+)
+SQL["store_by_title"] = rollup("final_energy", "scenario, input, year")
+SQL["mapping_csv_scan"] = "SELECT * FROM region_groups"
+SQL["ensemble_csv_scan"] = "SELECT * FROM ensemble"
 SQL["named_store_scan"] = rollup("electricity", "scenario, technology, year")
 SQL["csv_store_scan"] = "SELECT * FROM literature_production"
 SQL["land_use"] = rounded("SELECT * FROM land_use", ["value"])
@@ -628,7 +662,7 @@ for _query, _table, _cols, _digits in [
     ("cumulative_add_ret_import", "import_cumulative", CHANGES + CUMULATIVE, 4),
     ("cumulative_global", "export_cumulative_global", CUMULATIVE, 4),
     ("cumulative_grouped", "export_cumulative_grouped", CUMULATIVE, 4),
-    ("annual_cost", "annual_cost", ["additions", "cost"], 0),
+    ("annual_cost", "cost_in_billions", ["additions", "cost"], 4),
     ("primary_fuel_collapse", "primary_by_region", None, 4),
     ("primary_fuel_collapse_ccs", "primary_ccs_by_region", None, 4),
     ("primary_global", "primary_global", None, 4),

@@ -31,9 +31,17 @@ from scenara.operators import (
     with_net,
 )
 from scenara.plans import capacity, emissions, energy, ensemble
-from scenara.plans.marts import MART_NAMES, Workspace, build_mart
+from scenara.plans.marts import MART_NAMES, Options, Workspace, build_mart
 from scenara.session import checkpoint_folder
-from scenara.sources import read_csv_table, read_named_table, star, write_mart, write_named_table
+from scenara.sources import (
+    read_csv_table,
+    read_ensemble,
+    read_named_table,
+    read_region_mapping,
+    star,
+    write_mart,
+    write_named_table,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,7 +59,8 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
 
 
 def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
-    return Workspace(star.model_tables(spark, sf_dir))
+    """The adapter's tables, whose vintage rows are summed to their keys already."""
+    return Workspace(star.model_tables(spark, sf_dir), options=Options(unique_vintages=True))
 
 
 def _gappy(df: DataFrame) -> DataFrame:
@@ -280,7 +289,16 @@ def diff_families_with_net(spark, sf_dir):
     mapped = attach_mapping(star.long_rows(spark, sf_dir, *fields), star.region_groups(spark, sf_dir), "region")
     mapped = mapped.withColumn("item", composite_key("region", "name", "priority"))
     totals = rollup_sum(mapped, ["scenario", "grouped_region", "item", "year"])
-    return energy.limited_trade_difference(totals, "item")
+    return energy.limited_trade_difference(totals, "item", short=False)
+
+
+@query
+def diff_repeated_keys(spark, sf_dir):
+    """Rows of a finer grain than the keys, some unknown, paired with each other."""
+    rows = _gappy(star.long_rows(spark, sf_dir, "scenario", "region", "word", "kind", "year", "line"))
+    finer = rollup_sum(rows, ["scenario", "region", "word", "kind", "year"])
+    diffs = ["Reference_LLS", "Transition"]
+    return diff_from_scenario(finer, diffs, "Reference", ["region", "word", "year"], unique=False)
 
 
 # --- capacity by vintage ---------------------------------------------------
@@ -296,7 +314,7 @@ def vintage_additions(spark, sf_dir):
 def vintage_retirements(spark, sf_dir):
     rows = workspace(spark, sf_dir)["export_vintages"]
     cols = [*capacity.EXPORT_KEYS, "vintage", "year", "value", "retirements"]
-    return rounded(capacity.retirements(rows, capacity.EXPORT_KEYS).select(*cols))
+    return rounded(capacity.retirements(rows, capacity.EXPORT_KEYS, unique=True).select(*cols))
 
 
 @query
@@ -304,14 +322,15 @@ def natural_retirements(spark, sf_dir):
     """S-curve, expected stock and natural retirements of the base vintage."""
     rows = workspace(spark, sf_dir)["export_vintages"]
     cols = [*capacity.EXPORT_KEYS, "year", "s_curve_adj", "installed", "expected", "natural_retire"]
-    return rounded(capacity.natural_retirements(rows, capacity.EXPORT_KEYS).select(*cols))
+    return rounded(capacity.natural_retirements(rows, capacity.EXPORT_KEYS, unique=True).select(*cols))
 
 
 @query
 def natural_retirements_import(spark, sf_dir):
     """The same by technology, with a short-lived curve."""
     rows = workspace(spark, sf_dir)["import_vintages"]
-    aged = capacity.natural_retirements(rows, capacity.IMPORT_KEYS, half_life=12, steepness=0.4, lifetime=25)
+    curve = {"half_life": 12, "steepness": 0.4, "lifetime": 25}
+    aged = capacity.natural_retirements(rows, capacity.IMPORT_KEYS, **curve, unique=True)
     cols = [*capacity.IMPORT_KEYS, "year", "s_curve_adj", "installed", "expected", "natural_retire"]
     return rounded(aged.select(*cols))
 
@@ -320,7 +339,77 @@ def natural_retirements_import(spark, sf_dir):
 def net_add_ret_keep_all(spark, sf_dir):
     """Netting that also keeps series with retirements only."""
     rows = workspace(spark, sf_dir)["export_vintages"]
-    return rounded(capacity.net_add_ret(rows, capacity.EXPORT_KEYS, keep_ret_only=True))
+    return rounded(capacity.net_add_ret(rows, capacity.EXPORT_KEYS, keep_ret_only=True, unique=True))
+
+
+@query
+def retirements_repeated_rows(spark, sf_dir):
+    """Netting over vintage rows of a finer grain than the series."""
+    fields = ("scenario", "region", "imported", "kind", "vintage", "year")
+    rows = star.model_rows(spark, sf_dir, *fields, where=F.col("vintage") <= F.col("year"))
+    rows = rows.withColumnRenamed("imported", "technology").withColumn("Units", F.lit("EJ"))
+    return rounded(capacity.net_add_ret(convert_units(rows, V.EJ_MTPA, "MTPA"), capacity.IMPORT_KEYS))
+
+
+@query
+def annual_cost(spark, sf_dir):
+    """Cost in billions."""
+    return rounded(workspace(spark, sf_dir)["annual_cost"].withColumn("cost", F.col("cost") / 1e9))
+
+
+# --- unknown values in composites -------------------------------------------
+
+
+@query
+def net_alongside_detail_gaps(spark, sf_dir):
+    rows = _gappy(star.long_rows(spark, sf_dir, "scenario", "region", "kind", "year", "line"))
+    mapped = attach_mapping(rows, star.region_groups(spark, sf_dir), "region")
+    return with_net(rollup_sum(mapped, ["scenario", "region", "kind", "year"]), ["scenario", "region", "year"])
+
+
+@query
+def diff_many_scenarios_gaps(spark, sf_dir):
+    rows = _gappy(star.long_rows(spark, sf_dir, "scenario", "region", "word", "year", "line"))
+    totals = rollup_sum(rows, ["scenario", "region", "word", "year"])
+    return diff_from_scenario(totals, ["Reference_LLS", "Transition"], "Reference", ["region", "word", "year"])
+
+
+@query
+def group_set_totals_gaps(spark, sf_dir):
+    rows = _gappy(star.long_rows(spark, sf_dir, "scenario", "region", "word", "year", "line"))
+    sets = {"Warm": ["hot", "red"], "Cool": ["cold", "blue"], "Both": ["hot", "cold"]}
+    return rollup_groups(rows.withColumnRenamed("word", "sector"), "sector", sets, ["scenario", "region", "year"])
+
+
+@query
+def co2_equivalent_gaps(spark, sf_dir):
+    """Rows without an amount drop out."""
+    rows = _gappy(star.long_rows(spark, sf_dir, "scenario", "region", "emitter", "gas", "year", "line"))
+    rows = rows.drop("line").withColumnsRenamed({"emitter": "sector", "gas": "ghg"})
+    weighed = emissions.co2_equivalent(rows, star.gas_factors(spark, sf_dir))
+    return rounded(rollup_sum(weighed, ["scenario", "region", "GHG", "sector", "year"]))
+
+
+@query
+def land_use_gaps(spark, sf_dir):
+    return rounded(emissions.land_use(_gappy(star.long_rows(spark, sf_dir, "scenario", "region", "year", "line"))))
+
+
+def _gappy_changes(spark, sf_dir):
+    fields = ("scenario", "region", "word", "vintage", "year")
+    rows = _gappy(star.long_rows(spark, sf_dir, *fields, "line")).where(F.col("vintage") <= F.col("year"))
+    rows = rollup_sum(rows, fields).withColumnRenamed("word", "sector").withColumn("Units", F.lit("EJ"))
+    return capacity.net_add_ret(rows, capacity.EXPORT_KEYS, unique=True)
+
+
+@query
+def net_add_ret_gaps(spark, sf_dir):
+    return rounded(_gappy_changes(spark, sf_dir))
+
+
+@query
+def cumulative_add_ret_gaps(spark, sf_dir):
+    return rounded(capacity.cumulative(_gappy_changes(spark, sf_dir), capacity.EXPORT_KEYS))
 
 
 # --- stores ----------------------------------------------------------------
@@ -349,6 +438,33 @@ def csv_store_scan(spark, sf_dir):
     return read_csv_table(spark, base, schemas.LITERATURE_REGION)
 
 
+@query
+def store_by_title(spark, sf_dir):
+    """Write a model table to a store, read it by its published title."""
+    base = _scratch(spark)
+    write_named_table(star.final_energy(spark, sf_dir), base, "final_energy")
+    table = read_named_table(spark, base, V.TABLE_TITLES["final_energy"])
+    return rollup_sum(table, ["scenario", "input", "year"])
+
+
+@query
+def mapping_csv_scan(spark, sf_dir):
+    """Write a look-up as CSV with a further column in front, read it by its header."""
+    base = _scratch(spark)
+    groups = star.region_groups(spark, sf_dir)
+    write_mart(groups.select(F.length("region").alias("id"), "grouped_region", "region"), base, "csv")
+    return read_region_mapping(spark, base)
+
+
+@query
+def ensemble_csv_scan(spark, sf_dir):
+    """Write the wide ensemble as CSV with its columns reversed, read it by its header."""
+    base = _scratch(spark)
+    wide = star.ensemble(spark, sf_dir)
+    write_mart(wide.select(*reversed(wide.columns)), base, "csv")
+    return read_ensemble(spark, base)
+
+
 # --- derived tables and finished datasets ----------------------------------
 
 
@@ -363,7 +479,7 @@ def _rolled(name: str, keys: list[str], digits: int | None, spark: SparkSession,
 
 
 def _mart(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(build_mart(name, star.model_tables(spark, sf_dir)))
+    return rounded(build_mart(name, workspace(spark, sf_dir)))
 
 
 # query name -> (derived table, digits to round to or None for exact sums)
@@ -390,7 +506,6 @@ DERIVED_QUERIES = {
     "cumulative_add_ret_import": ("import_cumulative", 4),
     "cumulative_global": ("export_cumulative_global", 4),
     "cumulative_grouped": ("export_cumulative_grouped", 4),
-    "annual_cost": ("annual_cost", 0),
     "primary_fuel_collapse": ("primary_by_region", None),
     "primary_fuel_collapse_ccs": ("primary_ccs_by_region", None),
     "primary_global": ("primary_global", None),

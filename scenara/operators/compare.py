@@ -4,13 +4,16 @@ Comparing scenarios is a full outer self-join in most tools. Here the table is
 aggregated once by the comparison keys, with one conditional sum per scenario,
 and the wanted pairs are read out of that row. That takes one scan and one
 shuffle with partial sums for any number of scenarios, and null keys meet
-because grouping treats them as equal. A (scenario, keys) combination is
-expected once, as after a roll-up; repeated ones are summed.
+because grouping treats them as equal. That form needs every (scenario, keys)
+combination once, as after a roll-up, and stops the query where one repeats.
+With ``unique=False`` repeated rows are paired with each other, as a full outer
+join pairs them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,11 +26,48 @@ def _scenario_row(df: DataFrame, scenarios: Sequence[str], keys: Sequence[str],
         .groupBy(*keys)
         .agg(
             *[F.bool_or(t).alias(f"_has{i}") for i, t in enumerate(is_s)],
-            *[F.sum(F.when(t, F.col(value))).alias(f"_val{i}") for i, t in enumerate(is_s)],
+            *[_only(t, value).alias(f"_val{i}") for i, t in enumerate(is_s)],
         )
     )
 
 
+def _only(here: Column, value: str) -> Column:
+    """The value of a group's one row that is ``here``."""
+    repeated = F.raise_error(F.lit("a scenario repeats a comparison key: roll up first, or set unique=False"))
+    return F.when(F.count_if(here) > 1, repeated).otherwise(F.sum(F.when(here, F.col(value))))
+
+
+def _joined(
+    df: DataFrame, scenarios: Sequence[str], ref: str, keys: Sequence[str], fill: str | None, value: str
+) -> DataFrame:
+    """Full outer join of the scenarios' rows with the baseline's, null keys meeting.
+
+    Two joins, matched rows and baseline rows without a partner, as AQE splits
+    hot partitions of these but not of a full outer join.
+    """
+    own = df.where(F.col("scenario").isin(list(scenarios))).select(
+        *keys, F.col("scenario").alias("scenario_diff"), F.col(value).alias("value_diff")
+    )
+    base = df.where(F.col("scenario") == ref).select(
+        *[F.col(k).alias(f"_{k}") for k in keys],
+        F.col("scenario").alias("scenario_ref"),
+        F.col(value).alias("value_ref"),
+    )
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    matched = own.join(base, same, "left").select(*keys, "scenario_diff", "scenario_ref", "value_diff", "value_ref")
+    alone = base.join(own.select(*keys), same, "left_anti").select(
+        *[F.col(f"_{k}").alias(k) for k in keys],
+        F.lit(fill).cast("string").alias("scenario_diff"),
+        "scenario_ref",
+        F.lit(0.0).alias("value_diff"),
+        "value_ref",
+    )
+    diff, known = F.coalesce("value_diff", F.lit(0.0)), F.coalesce("value_ref", F.lit(0.0))
+    both = matched.unionByName(alone).withColumns({"value_diff": diff, "value_ref": known})
+    rows = both.withColumn("value", F.col("value_diff") - F.col("value_ref"))
+    return rows.select(*keys, F.lit(ref).alias("baseline"), *MEASURES)
+
+
 def _cell(scenario: Column, has: Column, value: Column, ref: str, ref_has: Column, ref_value: Column) -> Column:
     diff = F.coalesce(value, F.lit(0.0))
     base = F.coalesce(ref_value, F.lit(0.0))
@@ -47,12 +87,15 @@ MEASURES = ["scenario_diff", "scenario_ref", "value_diff", "value_ref", "value"]
 
 
 def compare_pairs(
-    df: DataFrame, pairs: Sequence[tuple[str, str]], keys: Sequence[str], value: str = "value"
+    df: DataFrame, pairs: Sequence[tuple[str, str]], keys: Sequence[str], value: str = "value", unique: bool = True
 ) -> DataFrame:
     """Difference of every ``(scenario, baseline)`` pair, labelled by the scenario.
 
     A key missing on one side of a pair counts as zero there.
     """
+    if not unique:
+        parts = [_joined(df, [s], ref, keys, s, value) for s, ref in pairs]
+        return reduce(DataFrame.unionByName, parts).drop("baseline")
     scenarios = list(dict.fromkeys(s for pair in pairs for s in pair))
     at = {s: i for i, s in enumerate(scenarios)}
     rows = _scenario_row(df, scenarios, keys, value)
@@ -77,11 +120,15 @@ def diff_families(
     keys: Sequence[str],
     fill_scenario: str | None = None,
     value: str = "value",
+    unique: bool = True,
 ) -> DataFrame:
     """``diff_from_scenario`` of several ``(scenarios, baseline)`` families at once.
 
     ``baseline`` names the family a row belongs to.
     """
+    if not unique:
+        parts = [_joined(df, diffs, ref, keys, fill_scenario, value) for diffs, ref in families]
+        return reduce(DataFrame.unionByName, parts)
     scenarios = list(dict.fromkeys(s for diffs, ref in families for s in [*diffs, ref]))
     has = {s: F.col(f"_has{i}") for i, s in enumerate(scenarios)}
     val = {s: F.col(f"_val{i}") for i, s in enumerate(scenarios)}
@@ -113,6 +160,7 @@ def diff_from_scenario(
     keys: Sequence[str],
     fill_scenario: str | None = None,
     value: str = "value",
+    unique: bool = True,
 ) -> DataFrame:
     """Difference of scenarios from one baseline over the full outer key set.
 
@@ -120,4 +168,4 @@ def diff_from_scenario(
     or ``fill_scenario`` if given. A key that the baseline shares with one of
     several scenarios gives no row for the others.
     """
-    return diff_families(df, [(diff_scenarios, ref_scenario)], keys, fill_scenario, value).drop("baseline")
+    return diff_families(df, [(diff_scenarios, ref_scenario)], keys, fill_scenario, value, unique).drop("baseline")

@@ -1,9 +1,11 @@
 """Capital stock by installation year: additions, retirements, netting, cost.
 
 ``keys`` name a capital series, for example scenario, region, sector and
-Units. A table has one row per series, vintage and year, so each window below
-is one vintage of one series and holds no more rows than there are years.
-All of them share one partitioning and one sort.
+Units. Rows of a finer grain are first summed (strictly) to one row per series,
+vintage and year, so that results never depend on the order of rows. Each
+window is then one vintage of one series and holds no more rows than there are
+years; all of them share one partitioning and one sort. ``unique=True`` states
+that a table has such rows already and saves the shuffle of that sum.
 """
 
 from __future__ import annotations
@@ -43,6 +45,11 @@ def cumulative_capacity(totals: DataFrame) -> DataFrame:
     return totals.withColumn("cum_value", cumsum_strict("value", ["Units", "scenario", "sector", "region", "output"]))
 
 
+def _one_row(df: DataFrame, keys: Sequence[str], unique: bool) -> DataFrame:
+    """One row per series, vintage and year; partial sums run before the shuffle."""
+    return df if unique else rollup_sum(df, [*keys, "vintage", "year"])
+
+
 def _by_year(keys: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*keys, "vintage").orderBy("year")
 
@@ -78,9 +85,12 @@ def additions(df: DataFrame, base_vintage: int = V.BASE_VINTAGE) -> DataFrame:
     return df.where(F.col("vintage") > base_vintage).withColumn("additions", _added())
 
 
-def retirements(df: DataFrame, keys: Sequence[str], base_vintage: int = V.BASE_VINTAGE) -> DataFrame:
+def retirements(
+    df: DataFrame, keys: Sequence[str], base_vintage: int = V.BASE_VINTAGE, unique: bool = False
+) -> DataFrame:
     """Decrease of each vintage from the year before."""
-    return _with_retired(df.where(F.col("vintage") >= base_vintage), keys, "retirements")
+    rows = _one_row(df.where(F.col("vintage") >= base_vintage), keys, unique)
+    return _with_retired(rows, keys, "retirements")
 
 
 def natural_retirements(
@@ -90,9 +100,11 @@ def natural_retirements(
     half_life: float = V.S_CURVE_HALF_LIFE,
     steepness: float = V.S_CURVE_STEEPNESS,
     lifetime: float = V.S_CURVE_LIFETIME,
+    unique: bool = False,
 ) -> DataFrame:
     """Expected stock of the base vintage along the S-curve and its yearly decrease."""
-    return _with_natural(df.where(F.col("vintage") == base_vintage), keys, half_life, steepness, lifetime)
+    rows = _one_row(df.where(F.col("vintage") == base_vintage), keys, unique)
+    return _with_natural(rows, keys, half_life, steepness, lifetime)
 
 
 def net_changes(df: DataFrame) -> DataFrame:
@@ -111,6 +123,7 @@ def net_add_ret(
     steepness: float = V.S_CURVE_STEEPNESS,
     lifetime: float = V.S_CURVE_LIFETIME,
     keep_ret_only: bool = False,
+    unique: bool = False,
 ) -> DataFrame:
     """Netted additions and early retirements by series and year.
 
@@ -118,11 +131,13 @@ def net_add_ret(
     series and year with vintages of the base year only has no additions row;
     such rows are left out unless ``keep_ret_only``.
 
-    One shuffle ages the vintages, one sums them: neither the expected stock
+    One shuffle ages the vintages, one sums them, after the sum of repeated rows
+    unless they are ``unique``: neither the expected stock
     nor the additions need a join.
     """
     is_new = F.col("vintage") > base_vintage
-    aged = _with_retired(df.where(F.col("vintage") >= base_vintage), keys, "_retired")
+    rows = _one_row(df.where(F.col("vintage") >= base_vintage), keys, unique)
+    aged = _with_retired(rows, keys, "_retired")
     aged = _with_natural(aged, keys, half_life, steepness, lifetime)
     # only the base vintage is expected to retire
     natural = F.when(~is_new, F.coalesce(F.col("natural_retire"), F.lit(0.0))).otherwise(F.lit(0.0))

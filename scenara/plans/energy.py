@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenara import vocabulary as V
-from scenara.operators import attach_mapping, diff_families, rollup_sum, union_by_name, with_net
+from scenara.operators import attach_mapping, attach_total, diff_families, rollup_sum, union_by_name, with_net
 
 TRADED_GAS = {V.NATURAL_GAS_FUEL: V.TRADED_SECTORS}
 TRADED_GAS_CCS = {V.NATURAL_GAS_FUEL: V.TRADED_SECTORS, V.NATURAL_GAS_CCS_FUEL: V.TRADED_CCS_SECTORS}
@@ -57,10 +57,15 @@ def by_region(collapsed: DataFrame) -> DataFrame:
     return rollup_sum(collapsed, ["scenario", "region", "fuel", "year"])
 
 
-def difference_with_net(grouped: DataFrame, category: str, families) -> DataFrame:
-    """Scenario differences by region group and category, with the group's net."""
+def difference_with_net(grouped: DataFrame, category: str, families, short: bool = True) -> DataFrame:
+    """Scenario differences by region group and category, with the group's net.
+
+    A category with many values takes ``short=False``: its net is summed and
+    joined back, so that no region group has to fit into one task.
+    """
     diff = diff_families(grouped, families, ["grouped_region", category, "year"])
-    return with_net(diff, ["baseline", "scenario_diff", "grouped_region", "year"]).drop("baseline")
+    net = with_net if short else attach_total
+    return net(diff, ["baseline", "scenario_diff", "grouped_region", "year"]).drop("baseline")
 
 
 LIMITED_TRADE_FAMILIES = [
@@ -69,9 +74,9 @@ LIMITED_TRADE_FAMILIES = [
 ]
 
 
-def limited_trade_difference(grouped: DataFrame, category: str = "fuel") -> DataFrame:
+def limited_trade_difference(grouped: DataFrame, category: str = "fuel", short: bool = True) -> DataFrame:
     """Limited-trade scenarios against the baseline of their own transition."""
-    return difference_with_net(grouped, category, LIMITED_TRADE_FAMILIES)
+    return difference_with_net(grouped, category, LIMITED_TRADE_FAMILIES, short)
 
 
 def transition_difference(grouped: DataFrame, category: str) -> DataFrame:

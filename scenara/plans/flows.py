@@ -105,9 +105,9 @@ def grouped_trade(gross: DataFrame, region_groups: DataFrame, sector_levels=tupl
     return flow_levels(with_net(rolled, ["scenario", "grouped_region", "year"]), sector_levels)
 
 
-def flow_differences(grouped: DataFrame, pairs=tuple(LIMITED_TRADE_PAIRS)) -> DataFrame:
+def flow_differences(grouped: DataFrame, pairs=tuple(LIMITED_TRADE_PAIRS), unique: bool = True) -> DataFrame:
     """Limited-trade scenarios against their baselines, with the net by region group."""
-    diff = compare_pairs(grouped, list(pairs), ["grouped_region", "trade", "sector", "year"])
+    diff = compare_pairs(grouped, list(pairs), ["grouped_region", "trade", "sector", "year"], unique=unique)
     return with_net(diff, ["scenario_diff", "grouped_region", "year"])
 
 

@@ -28,6 +28,9 @@ class Options:
     keep_ret_only: keeps series and years that only retire.
     power_net_factor: ``EJ_TWH_REPORTED`` reports the net of S7B in TWh.
     ensemble_gas_factor: ``1.0`` leaves the ensemble's gas in EJ in S12.
+    unique_vintages: the vintage tables have one row per series, vintage and year.
+    unique_flows: ``False`` pairs repeated rows of grouped flows as a full join
+        does, instead of stopping at them.
     """
 
     sector_levels: Sequence[str] = tuple(V.TRADE_SECTOR_LEVELS)
@@ -35,6 +38,8 @@ class Options:
     keep_ret_only: bool = False
     power_net_factor: float = 1.0
     ensemble_gas_factor: float = V.EJ_TCF
+    unique_vintages: bool = False
+    unique_flows: bool = True
     base_vintage: int = V.BASE_VINTAGE
     half_life: float = V.S_CURVE_HALF_LIFE
     steepness: float = V.S_CURVE_STEEPNESS
@@ -76,13 +81,18 @@ class Workspace:
 def _changes(ws: Workspace, vintages: str, keys: Sequence[str]) -> DataFrame:
     o = ws.options
     ageing = o.base_vintage, o.half_life, o.steepness, o.lifetime
-    return capacity.net_add_ret(ws[vintages], keys, *ageing, keep_ret_only=o.keep_ret_only)
+    kept = {"keep_ret_only": o.keep_ret_only, "unique": o.unique_vintages}
+    return capacity.net_add_ret(ws[vintages], keys, *ageing, **kept)
 
 
 def _flows(ws: Workspace, gross: str) -> DataFrame:
     return flows.grouped_flows(ws[gross], ws["region_groups"], ws.options.sector_levels)
 
 
+def _flow_diff(ws: Workspace, grouped: str) -> DataFrame:
+    return flows.flow_differences(ws[grouped], unique=ws.options.unique_flows)
+
+
 def _plain(ws: Workspace) -> DataFrame:
     return energy.collapse_gas(ws["primary_energy"], ws.options.collapsed_units)
 
@@ -102,8 +112,8 @@ DERIVED: dict[str, Callable[[Workspace], DataFrame]] = {
     "grouped_trade": lambda ws: flows.grouped_trade(ws["gross_trade"], ws["region_groups"], ws.options.sector_levels),
     "grouped_production": lambda ws: _flows(ws, "gross_production"),
     "grouped_consumption": lambda ws: _flows(ws, "gross_consumption"),
-    "production_difference": lambda ws: flows.flow_differences(ws["grouped_production"]),
-    "consumption_difference": lambda ws: flows.flow_differences(ws["grouped_consumption"]),
+    "production_difference": lambda ws: _flow_diff(ws, "grouped_production"),
+    "consumption_difference": lambda ws: _flow_diff(ws, "grouped_consumption"),
     "global_traded": lambda ws: flows.global_traded(ws["traded_flows"]),
     "global_domestic": lambda ws: flows.global_domestic(ws["regional_gas"]),
     "global_pipeline": lambda ws: flows.global_pipeline(ws["traded_flows"]),

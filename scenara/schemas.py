@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 from scenara import vocabulary as V
 
-_KINDS = {"year": T.IntegerType(), "region_id": T.IntegerType()}
+_KINDS = {"year": T.IntegerType()}
 _DOUBLES = {"value", "Bcm", "Tcf", "EJ", "SAR", "AR5", "AR4", "SARall", "AR5all", "AR4all"}
 
 
@@ -17,7 +17,7 @@ def table(*names: str) -> T.StructType:
     )
 
 
-REGION_MAPPING = table("region_id", "region", "grouped_region")
+REGION_MAPPING = table("region", "grouped_region")
 TECHNOLOGY_MAPPING = table("sector", "technology")
 GAS_FACTORS = table("ghg", "SAR", "AR5", "AR4", "SARall", "AR5all", "AR4all")
 LITERATURE_WORLD = table("scenario", "year", "Bcm", "Tcf", "EJ")

@@ -1,4 +1,5 @@
 from scenara.sources.tables import (  # noqa: F401
+    load_tables,
     read_csv_table,
     read_ensemble,
     read_gas_factors,

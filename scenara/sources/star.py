@@ -203,27 +203,29 @@ def order_rows(spark: SparkSession, sf_dir: str, wanted: set[str]) -> DataFrame:
 def long_rows(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
     """Order lines as scenario rows with the wanted fields and ``value``.
 
-    Only the dimensions that own a wanted field are joined. Lines and orders
+    Only the dimensions that own a wanted field are joined. Parts come first, so
+    that filters on their labels act before the lines are shuffled. Lines and orders
     both grow with the data, so they are merge joined and never broadcast.
     """
     wanted = set(fields)
     own = _taken(LINE_FIELDS, wanted)
     rows = _read(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_partkey", *own, "l_quantity AS value")
-    if wanted & {*ORDER_FIELDS, *CUSTOMER_FIELDS, *NATION_FIELDS}:
-        o = order_rows(spark, sf_dir, wanted)
-        rows = rows.hint("merge").join(o, rows["l_orderkey"] == o["o_orderkey"])
     labels = _taken(PART_FIELDS, wanted)
     if labels:
         p = _read(spark, sf_dir, "part").selectExpr("p_partkey", *labels)
         rows = rows.join(p, rows["l_partkey"] == p["p_partkey"])
+    if wanted & {*ORDER_FIELDS, *CUSTOMER_FIELDS, *NATION_FIELDS}:
+        o = order_rows(spark, sf_dir, wanted)
+        rows = rows.hint("merge").join(o, rows["l_orderkey"] == o["o_orderkey"])
     return rows.select(*fields, "value")
 
 
 def model_rows(spark: SparkSession, sf_dir: str, *fields: str, where: Column | None = None) -> DataFrame:
     """``long_rows`` summed to one row per key, as model output is.
 
-    The partial sums shrink the order lines before anything is shuffled, and
-    labels are packed on the few summed rows.
+    Lines are shuffled once to meet their orders, where a field of those is
+    wanted; partial sums shrink them before the shuffle of the sum, and labels
+    are packed on the few summed rows.
     """
     rows = long_rows(spark, sf_dir, *fields)
     if where is not None:

@@ -225,15 +225,8 @@ FOSSIL_CO2_VARIABLE = "Emissions|CO2|Energy and Industrial Processes"
 
 # unit factors
 EJ_TCF = 0.981
-EJ_BCFD = 0.981 * 1000 / 365
-EJ_MCF = EJ_TCF * 1e6
-EJ_TWH = 277.7777777
 EJ_TWH_REPORTED = 277.778
-EJ_QUAD = 0.95
-MTC_GTCO2 = 44 / (12 * 1000)
 CARBON_TO_CO2 = 44 / 12
-TG_GT = 1e12 / (1e9 * 1e6)
-USD1975_USD2021 = 1.18895 / 0.29829
 MJ_BTU = 947.777
 BTU_CF = 1 / 1027
 CF_TON_LNG = 1 / 48700

@@ -114,6 +114,37 @@ def test_net_add_ret_equals_step_by_step(spark, seed):
             assert a is None or math.isclose(a, b, abs_tol=1e-9)
 
 
+def test_repeated_rows_do_not_depend_on_order(spark):
+    """Several rows in a year of a series act as their sum, whatever their order."""
+    rng = random.Random(3)
+    data = [
+        (r, v, y, float(rng.randint(0, 40)))
+        for r in "abc"
+        for v in (2015, 2020, 2025)
+        for y in range(v, 2050, 5)
+        for _ in range(3)
+    ]
+    summed = {}
+    for r, v, y, q in data:
+        summed[r, v, y] = summed.get((r, v, y), 0.0) + q
+    want = step_by_step([(*k, q) for k, q in summed.items()])
+    for _ in range(3):
+        rng.shuffle(data)
+        got = capacity.net_add_ret(frame(spark, data).repartition(5), KEYS).collect()
+        assert {(g.region, g.year) for g in got} == set(want) and len(got) == len(want)
+        for g in got:
+            for a, b in zip((g.additions, g.retirements), want[g.region, g.year]):
+                assert math.isclose(a, b, abs_tol=1e-9)
+
+
+def test_unique_rows_save_a_shuffle(spark):
+    df = frame(spark, [("r", 2015, 2015, 1.0)])
+    plans = [
+        capacity.net_add_ret(df, KEYS, unique=u)._jdf.queryExecution().executedPlan().toString() for u in (False, True)
+    ]
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [3, 2]
+
+
 def test_netted_changes_exclude_each_other(spark):
     rng = random.Random(9)
     data = [(r, v, y, float(rng.randint(0, 40))) for r in "ab" for v in range(2015, 2050, 5) for y in range(v, 2055, 5)]

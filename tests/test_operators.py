@@ -221,6 +221,35 @@ def test_difference_equals_full_join(spark, rows, seed):
     assert sorted(got, key=order) == sorted(want, key=order)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_repeated_keys_equal_full_join(spark, rows, seed):
+    """Several rows under one key on both sides, unknown values and keys among them."""
+    rng = random.Random(seed)
+    data = [
+        (rng.choice("RDEXT"), rng.choice([None, *"abcd"]), rng.choice([None, float(rng.randint(-5, 9))]))
+        for _ in range(60)
+    ]
+    df = spark.createDataFrame(data, LONG)
+    cols = ("k", "scenario_diff", "scenario_ref", "value_diff", "value_ref", "value")
+    families = [(["D", "E"], "R"), (["X"], "T")]
+    order = lambda r: [str(v) for v in r]
+    for diffs, ref in families:
+        got = rows(diff_from_scenario(df, diffs, ref, ["k"], unique=False), *cols)
+        assert sorted(got, key=order) == sorted(_full_join(data, diffs, ref), key=order)
+    got = rows(diff_families(df, families, ["k"], unique=False), "baseline", *cols)
+    want = [(ref, *r) for diffs, ref in families for r in _full_join(data, diffs, ref)]
+    assert sorted(got, key=order) == sorted(want, key=order)
+    got = rows(compare_pairs(df, [("D", "R"), ("X", "T")], ["k"], unique=False), *cols)
+    want = [(r[0], s, *r[2:]) for s, ref in [("D", "R"), ("X", "T")] for r in _full_join(data, [s], ref)]
+    assert sorted(got, key=order) == sorted(want, key=order)
+
+
+def test_one_pass_difference_stops_at_repeats(spark):
+    df = spark.createDataFrame([("D", "a", 5.0), ("D", "a", None), ("R", "a", 1.0)], LONG)
+    with pytest.raises(Exception, match="repeats a comparison key"):
+        diff_from_scenario(df, ["D"], "R", ["k"]).collect()
+
+
 def test_hot_key_total(spark):
     """A third of all rows under one key."""
     df = spark.range(30_000).select(

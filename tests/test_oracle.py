@@ -82,6 +82,11 @@ def test_plans(spark, sf_dir):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
+def test_net_of_many_items_has_no_window(spark, sf_dir):
+    plan = QUERIES["diff_families_with_net"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
 def test_scan_reads_only_needed_columns(spark, sf_dir):
     plan = QUERIES["global_capacity"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     lines = [s for s in re.findall(r"ReadSchema: struct<([^>]*)>", plan) if "l_orderkey" in s]

@@ -1,9 +1,15 @@
 """Readers and writers."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from scenara import schemas
-from scenara.plans.marts import build_mart
+from scenara import vocabulary as V
+from scenara.plans.marts import MART_NAMES, build_mart
 from scenara.session import shuffle_partitions
 from scenara.sources import (
+    load_tables,
+    read_csv_table,
     read_ensemble,
     read_gas_factors,
     read_literature_co2,
@@ -12,9 +18,12 @@ from scenara.sources import (
     read_named_table,
     read_region_mapping,
     read_technology_mapping,
+    star,
     write_mart,
     write_named_table,
+    write_store,
 )
+from scenara.sources.tables import COMPARISON_READERS, MAPPING_READERS, table_name
 
 
 def csv_file(folder, name, lines, bom=False):
@@ -60,6 +69,80 @@ def test_ensemble_has_every_year(spark, tmp_path):
     assert row["1995"] == 1995.0 and row["1996"] is None and row["2100"] == 2100.0
 
 
+WORLD = ["scenario,year,Bcm,Tcf,EJ", "historical,2021,450,15.9,16.2"]
+
+
+def test_columns_are_found_by_name(spark, rows, tmp_path):
+    path = csv_file(tmp_path, "w.csv", ["EJ,note,year,Tcf,scenario,Bcm", "16.2,x,2021,15.9,historical,450"], True)
+    got = read_literature_world(spark, path)
+    assert got.columns == ["scenario", "year", "Bcm", "Tcf", "EJ"]
+    assert rows(got, *got.columns) == [("historical", 2021, 450.0, 15.9, 16.2)]
+    path = csv_file(tmp_path, "t.csv", ["technology,sector", "gas (CC),gas"])
+    assert rows(read_technology_mapping(spark, path), "technology", "sector") == [("gas (CC)", "gas")]
+
+
+def test_missing_column_raises(spark, tmp_path):
+    path = csv_file(tmp_path, "w.csv", ["scenario,year,Bcm,EJ", "historical,2021,450,16.2"])
+    with pytest.raises(ValueError, match="Tcf"):
+        read_literature_world(spark, path)
+
+
+def test_bad_number_stops_or_is_missing(spark, rows, tmp_path):
+    path = csv_file(tmp_path, "w.csv", [WORLD[0], "historical,2021,lots,15.9,16.2"])
+    with pytest.raises(Exception, match="lots"):
+        read_literature_world(spark, path).collect()
+    got = read_csv_table(spark, path, schemas.LITERATURE_WORLD, bad_numbers="null")
+    assert rows(got, "Bcm", "EJ") == [(None, 16.2)]
+    with pytest.raises(ValueError):
+        read_csv_table(spark, path, schemas.LITERATURE_WORLD, bad_numbers="maybe")
+
+
+def test_empty_and_na_are_missing(spark, rows, tmp_path):
+    path = csv_file(tmp_path, "w.csv", [WORLD[0], "NA,2021,NA,,16.2", ",2022,1,2,3", '"",2023,1,2,3'])
+    assert rows(read_literature_world(spark, path), "year", "scenario", "Bcm") == [
+        (2021, None, None),
+        (2022, None, 1.0),
+        (2023, None, 1.0),
+    ]
+
+
+def test_all_datasets_from_files(spark, sf_dir, tmp_path):
+    """The loader gives every name that some dataset asks for."""
+    built = star.model_tables(spark, sf_dir)
+    store = str(tmp_path / "store")
+    write_store(built, store)
+    paths = {}
+    for name in [*MAPPING_READERS, *COMPARISON_READERS, "ensemble"]:
+        df = built[name]()
+        if name == "gas_factors":
+            df = df.selectExpr("ghg", "AR5all", *[f"1.0 AS {c}" for c in ["SAR", "AR5", "AR4", "SARall", "AR4all"]])
+        paths[name] = str(tmp_path / name)
+        write_mart(df.select(*reversed(df.columns)), paths[name], "csv")
+    tables = load_tables(
+        spark,
+        store,
+        {n: paths[n] for n in MAPPING_READERS},
+        {n: paths[n] for n in COMPARISON_READERS},
+        paths["ensemble"],
+    )
+    for name in MART_NAMES:
+        assert build_mart(name, tables).columns == build_mart(name, built).columns
+    for name in ["3B", "S10", "S13"]:
+        got, want = build_mart(name, tables), build_mart(name, built)
+        same = [F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in want.dtypes]
+        assert got.count() == want.count() > 0
+        assert not got.select(*same).exceptAll(want.select(*same)).count()
+    with pytest.raises(KeyError):
+        load_tables(spark, store, {"regions": "x"})
+
+
+def test_tables_by_title():
+    assert {table_name(t) for t in V.TABLE_TITLES.values()} == set(schemas.NAMED_TABLES)
+    assert table_name("electricity") == "electricity"
+    with pytest.raises(KeyError):
+        table_name("elec gen")
+
+
 def test_named_store_reads_one_folder(spark, tmp_path):
     base = str(tmp_path / "store")
     final = spark.createDataFrame([("s", "r", "gas", 2020, 1.0)], schemas.NAMED_TABLES["final_energy"])
