@@ -34,12 +34,18 @@ def all_emissions(resource: DataFrame, sector: DataFrame, land: DataFrame, facto
     return union_by_name(co2_equivalent(union_by_name(by_subresource, sector), factors), land_use(land))
 
 
+def by_gas(emissions: DataFrame) -> DataFrame:
+    """World totals by gas, which all global series are read from."""
+    return rollup_sum(emissions, ["scenario", "GHG", "year"])
+
+
 def grouped_emissions(emissions: DataFrame, region_groups: DataFrame) -> DataFrame:
     mapped = attach_mapping(emissions, region_groups, "region")
     return rollup_sum(mapped, ["scenario", "grouped_region", "GHG", "sector", "year"])
 
 
 def global_emissions(emissions: DataFrame) -> DataFrame:
+    """All gases; like the two below it takes ``all_emissions`` or ``by_gas``."""
     return rollup_sum(emissions, ["scenario", "year"])
 
 
@@ -51,16 +57,21 @@ def global_non_co2(emissions: DataFrame) -> DataFrame:
     return rollup_sum(emissions.where(F.col("GHG") != "CO2"), ["scenario", "year"])
 
 
-def sector_rows(
-    resource: DataFrame, sector: DataFrame, factors: DataFrame, co2_only: bool, land: DataFrame | None = None
-) -> DataFrame:
-    """Scenario, sector, year, value rows; a resource stands as its own sector."""
-    parts = [
-        co2_equivalent(resource, factors).withColumn("sector", F.col("resource")),
-        co2_equivalent(sector, factors),
-    ]
-    if co2_only:
-        parts = [p.where(F.col("GHG") == "CO2") for p in parts]
+def sector_totals(resource: DataFrame, sector: DataFrame, factors: DataFrame) -> DataFrame:
+    """CO2-equivalents by scenario, sector, GHG and year; a resource stands as its own sector.
+
+    Incomplete rows drop out. Amounts are summed before they are weighed, so that
+    the look-up meets the few totals and serves both tables at once.
+    """
+    keys = ["scenario", "sector", "ghg", "year"]
+    parts = [complete_cases(resource.drop("Units")).withColumn("sector", F.col("resource")), complete_cases(sector.drop("Units"))]
+    rows = union_by_name(*[p.select(*keys, "value") for p in parts])
+    return co2_equivalent(rollup_sum(rows, keys), factors)
+
+
+def sector_rows(totals: DataFrame, co2_only: bool, land: DataFrame | None = None) -> DataFrame:
+    """Scenario, sector, year, value rows out of ``sector_totals``, with land use if given."""
+    parts = [totals.where(F.col("GHG") == "CO2") if co2_only else totals]
     if land is not None:
         parts.append(land_use(land))
     return union_by_name(*[p.select("scenario", "sector", "year", "value") for p in parts])
@@ -73,12 +84,12 @@ def by_group(rows: DataFrame, groups=None) -> DataFrame:
     return rollup_groups(rows, "sector", groups, ["scenario", "year"])
 
 
-def fossil_co2(resource: DataFrame, sector: DataFrame, factors: DataFrame) -> DataFrame:
+def fossil_co2(totals: DataFrame) -> DataFrame:
     """CO2 of fossil fuels and industry: the CO2 sector rows without land use.
 
     No published rule exists for this series; this definition is our own.
     """
-    return rollup_sum(sector_rows(resource, sector, factors, co2_only=True), ["scenario", "year"])
+    return rollup_sum(sector_rows(totals, co2_only=True), ["scenario", "year"])
 
 
 def gas_system_rows(technology: DataFrame, resource: DataFrame, factors: DataFrame) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenara import vocabulary as V
 from scenara.functions import warming_band
-from scenara.operators import attach_mapping, complete_cases, wide_to_long
+from scenara.operators import complete_cases, wide_to_long
 
 
 def year_columns(wide: DataFrame, years: Sequence[int] | None = None) -> list[str]:
@@ -31,6 +31,10 @@ def ensemble_long(wide: DataFrame, years: Sequence[int] | None = None) -> DataFr
     return wide_to_long(wide, year_columns(wide, years), ids=ids)
 
 
+def _band(year: int, cuts: Sequence[float]) -> Column:
+    return warming_band(F.col(f"`{year}`"), cuts).alias("temp_category")
+
+
 def warming_category(
     wide: DataFrame,
     variable: str = V.WARMING_VARIABLE,
@@ -38,22 +42,31 @@ def warming_category(
     cuts: Sequence[float] = tuple(V.WARMING_CUTS),
 ) -> DataFrame:
     """Band of each member's warming, read from the one year column."""
-    return wide.where(F.col("Variable") == variable).select(
-        "Model", "Scenario", warming_band(F.col(f"`{year}`"), cuts).alias("temp_category")
-    )
+    return wide.where(F.col("Variable") == variable).select("Model", "Scenario", _band(year, cuts))
 
 
 def extract_variable(
     wide: DataFrame,
     variable: str,
-    categories: DataFrame,
     years: Sequence[int] | None = None,
+    warming: str = V.WARMING_VARIABLE,
+    year: int = 2100,
+    cuts: Sequence[float] = tuple(V.WARMING_CUTS),
 ) -> DataFrame:
     """Complete long rows of one variable with the member's band.
 
-    The band is attached to the wide rows, before they multiply by the years.
+    A member's warming is a row of the same table, so both variables are read in
+    one pass and meet in a window of the member, which holds a row per region and
+    variable. As in a look-up, a row of a member with several warming rows stands
+    once for each. The band is attached to the wide rows, before they multiply by
+    the years.
     """
-    rows = attach_mapping(wide.where(F.col("Variable") == variable), categories, ["Model", "Scenario"])
+    member = Window.partitionBy("Model", "Scenario")
+    is_warming = F.col("Variable") == warming
+    band = F.collect_list(F.when(is_warming, F.struct(_band(year, cuts)))).over(member)
+    rows = wide.where(F.col("Variable").isin(variable, warming)).withColumn("_bands", band)
+    rows = rows.where(F.col("Variable") == variable).withColumn("_band", F.explode("_bands"))
+    rows = rows.withColumn("temp_category", F.col("_band.temp_category")).drop("_bands", "_band")
     return complete_cases(ensemble_long(rows, years))
 
 

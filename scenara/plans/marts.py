@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -162,45 +163,33 @@ DERIVED: dict[str, Callable[[Workspace], DataFrame]] = {
         ws["resource_emissions"], ws["sector_emissions"], ws["land_use_emissions"], ws["gas_factors"]
     ),
     "grouped_emissions": lambda ws: emissions.grouped_emissions(ws["all_emissions"], ws["region_groups"]),
-    "global_emissions": lambda ws: emissions.global_emissions(ws["all_emissions"]),
-    "global_co2": lambda ws: emissions.global_co2(ws["all_emissions"]),
-    "global_non_co2": lambda ws: emissions.global_non_co2(ws["all_emissions"]),
+    "emissions_by_gas": lambda ws: emissions.by_gas(ws["all_emissions"]),
+    "global_emissions": lambda ws: emissions.global_emissions(ws["emissions_by_gas"]),
+    "global_co2": lambda ws: emissions.global_co2(ws["emissions_by_gas"]),
+    "global_non_co2": lambda ws: emissions.global_non_co2(ws["emissions_by_gas"]),
+    "emissions_by_sector": lambda ws: emissions.sector_totals(
+        ws["resource_emissions"], ws["sector_emissions"], ws["gas_factors"]
+    ),
     "co2_by_group": lambda ws: emissions.by_group(
-        emissions.sector_rows(
-            ws["resource_emissions"],
-            ws["sector_emissions"],
-            ws["gas_factors"],
-            co2_only=True,
-            land=ws["land_use_emissions"],
-        )
+        emissions.sector_rows(ws["emissions_by_sector"], co2_only=True, land=ws["land_use_emissions"])
     ),
     "co2e_by_group": lambda ws: emissions.by_group(
-        emissions.sector_rows(
-            ws["resource_emissions"],
-            ws["sector_emissions"],
-            ws["gas_factors"],
-            co2_only=False,
-            land=ws["land_use_emissions"],
-        )
+        emissions.sector_rows(ws["emissions_by_sector"], co2_only=False, land=ws["land_use_emissions"])
     ),
     "gas_system_rows": lambda ws: emissions.gas_system_rows(
         ws["technology_emissions"], ws["resource_emissions"], ws["gas_factors"]
     ),
     "gas_by_group": lambda ws: emissions.gas_by_group(ws["gas_system_rows"]),
-    "fossil_co2": lambda ws: emissions.fossil_co2(
-        ws["resource_emissions"], ws["sector_emissions"], ws["gas_factors"]
-    ),
+    "fossil_co2": lambda ws: emissions.fossil_co2(ws["emissions_by_sector"]),
     "warming": lambda ws: ensemble.warming_category(ws["ensemble"]),
     "ensemble_gas": lambda ws: ensemble.overlay_extract(
-        ensemble.extract_variable(ws["ensemble"], V.PRIMARY_GAS_VARIABLE, ws["warming"])
+        ensemble.extract_variable(ws["ensemble"], V.PRIMARY_GAS_VARIABLE)
     ),
     "ensemble_co2": lambda ws: ensemble.overlay_extract(
-        ensemble.extract_variable(ws["ensemble"], V.FOSSIL_CO2_VARIABLE, ws["warming"])
+        ensemble.extract_variable(ws["ensemble"], V.FOSSIL_CO2_VARIABLE)
     ),
-    "ensemble_primary": lambda ws: ensemble.extract_variable(
-        ws["ensemble"], V.PRIMARY_ENERGY_VARIABLE, ws["warming"]
-    ),
-    "ensemble_gas_power": lambda ws: ensemble.extract_variable(ws["ensemble"], V.GAS_POWER_VARIABLE, ws["warming"]),
+    "ensemble_primary": lambda ws: ensemble.extract_variable(ws["ensemble"], V.PRIMARY_ENERGY_VARIABLE),
+    "ensemble_gas_power": lambda ws: ensemble.extract_variable(ws["ensemble"], V.GAS_POWER_VARIABLE),
 }
 
 # used by several datasets and already rolled up, so worth keeping in a full run
@@ -220,7 +209,8 @@ SHARED = {
     "import_cumulative_grouped",
     "primary_ccs_grouped",
     "primary_limited_trade",
-    "warming",
+    "emissions_by_gas",
+    "emissions_by_sector",
 }
 
 
@@ -482,8 +472,13 @@ def write_marts(
     names: Sequence[str] = tuple(MART_NAMES),
     kind: str = "parquet",
     options: Options = Options(),
+    threads: int = 4,
 ) -> None:
-    """Write datasets to ``base``, computing what they share once."""
+    """Write datasets to ``base``, computing what they share once.
+
+    Datasets do not depend on each other, so ``threads`` of them are written at a time.
+    """
     ws = Workspace(tables, checkpoint=True, options=options)
-    for name in names:
-        write_mart(build_mart(name, ws), f"{base.rstrip('/')}/{name}", kind)
+    built = {name: build_mart(name, ws) for name in names}
+    with ThreadPoolExecutor(threads) as pool:
+        list(pool.map(lambda name: write_mart(built[name], f"{base.rstrip('/')}/{name}", kind), built))

@@ -87,6 +87,19 @@ def test_net_of_many_items_has_no_window(spark, sf_dir):
     assert "Window" not in plan
 
 
+@pytest.mark.parametrize(
+    ("name", "scans", "merges"),
+    [("ensemble_gas", 1, 1), ("co2_by_sector", 1, 1), ("co2e_by_sector", 1, 1), ("global_emissions", 1, 1), ("mart_s13", 2, 2)],
+)
+def test_lines_are_joined_once(spark, sf_dir, name, scans, merges):
+    """Scans of the order lines and merge joins that an executed plan does not reuse."""
+    df = QUERIES[name](spark, sf_dir)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall(r"FileScan parquet \[l_orderkey", plan)) <= scans
+    assert plan.count("SortMergeJoin") <= merges
+
+
 def test_scan_reads_only_needed_columns(spark, sf_dir):
     plan = QUERIES["global_capacity"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     lines = [s for s in re.findall(r"ReadSchema: struct<([^>]*)>", plan) if "l_orderkey" in s]

@@ -1,5 +1,7 @@
 """Composite plans on hand-made tables, the options, and full dataset runs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,13 +101,14 @@ def test_land_use_survives_its_missing_columns(spark, rows):
     land = spark.createDataFrame([("s", "r", 2020, 12.0)], "scenario string, region string, year int, value double")
     got = rows(emissions.all_emissions(resource, sector, land, factors), "sector", "value")
     assert got == [("LUC", 44.0), ("cement", 3.7), ("coal 1", 3.7)]
-    groups = emissions.by_group(emissions.sector_rows(resource, sector, factors, True, land))
+    totals = emissions.sector_totals(resource, sector, factors)
+    groups = emissions.by_group(emissions.sector_rows(totals, True, land))
     assert rows(groups, "sector", "value") == [
         ("Agriculture and Land Use", 44.0),
         ("Industry", 3.7),
         ("Resource Production", 3.7),
     ]
-    assert rows(emissions.fossil_co2(resource, sector, factors), "value") == [(7.4,)]
+    assert rows(emissions.fossil_co2(totals), "value") == [(7.4,)]
 
 
 def test_ensemble_extract(spark, rows):
@@ -119,9 +122,27 @@ def test_ensemble_extract(spark, rows):
         ],
         "Model string, Scenario string, Region string, Variable string, Unit string, `2020` double, `2100` double",
     )
-    bands = ensemble.warming_category(wide)
-    got = ensemble.extract_variable(wide, V.PRIMARY_GAS_VARIABLE, bands)
+    got = ensemble.extract_variable(wide, V.PRIMARY_GAS_VARIABLE)
     assert rows(got, "Scenario", "year", "value", "temp_category") == [("a", 2020, 10.0, "B_1.5-2C")]
+    own = ensemble.extract_variable(wide, V.WARMING_VARIABLE)
+    assert rows(own, "Scenario", "year") == [("a", 2020), ("a", 2100)]
+
+
+def test_ensemble_extract_equals_look_up(spark):
+    """Members with two warming rows or none, missing members and cells."""
+    rng = random.Random(5)
+    cell = lambda: rng.choice([None, 0.5, 1.5, 2.5, 4.0])
+    variables = [V.WARMING_VARIABLE, V.PRIMARY_GAS_VARIABLE, "Population"]
+    data = [
+        (rng.choice(["m", "n", None]), rng.choice("abcd"), rng.choice(["World", "USA"]), rng.choice(variables), "K", cell(), cell())
+        for _ in range(80)
+    ]
+    names = "Model string, Scenario string, Region string, Variable string, Unit string, `2020` double, `2100` double"
+    wide = spark.createDataFrame(data, names)
+    got = ensemble.extract_variable(wide, V.PRIMARY_GAS_VARIABLE)
+    joined = wide.where(F.col("Variable") == V.PRIMARY_GAS_VARIABLE).join(ensemble.warming_category(wide), ["Model", "Scenario"], "left")
+    want = ensemble.ensemble_long(joined).dropna().select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
 
 
 # --- options ---------------------------------------------------------------
