@@ -1,19 +1,21 @@
-"""Near-duplicate classes by Order MinHash, verified by banded alignment.
+"""Near-duplicate classes by Order MinHash and MinHash, verified by banded alignment.
 
 Texts are sequences of words (runs free of ASCII white space, A-Z lower-cased).
 The k-mers are five-word shingles labelled by their occurrence. Each of
 ``SKETCHES`` sketches takes the ``PICKED`` smallest labelled k-mers and keeps
 their order in the text, so that a sketch is shared by texts with much content
-in the same order. Texts that are alike at 0.8 share a sketch with probability
-over 1 - 1e-7.
+in the same order. As many plain sketches of the set of shingles, and of the
+labelled ones, each hash the minima of ``PICKED`` random orders, wherever they
+stand. Whatever the order and the repeats, texts whose sets or labelled shingles
+are alike at 0.8 share none of these with probability 0.36 ** 16, about 8e-8.
 
 Texts with the same words are one node from the start. In every bucket of a
 sketch, members are first compared with the bucket's most central text (the one
 in the fullest buckets), one pair for a member. After that most buckets lie in
 one component. Buckets that do not are gone through in blocks of bounded size:
-texts of different components that share ``AGREE`` sketches (alike texts miss
-that once in 400,000 times) are compared exactly, in the task, in the first
-bucket they share, and only links are given out. No bucket is capped, and no list of all pairs is made.
+texts of different components are compared in the task, in the first bucket they
+share: by size, by an upper bound of their overlap from bitmaps, then exactly.
+Only links are given out. No bucket is capped, and no list of all pairs is made.
 
 A pair is linked if the aligned shingles are at least 0.8 of all its shingles,
 or, where content has moved, the sets of shingles have a Jaccard similarity of
@@ -41,8 +43,8 @@ from scenara.llm.common import NO_ID, Rolling, keyed, mix, slices, stored, text_
 SHINGLE, SIMILAR = 5, 0.8
 SKETCHES, PICKED = 16, 2
 SLICE = 1 << 20
-AGREE = 2
 BLOCK_ROWS = 1024
+MOST_BITS = 1 << 14
 ROUNDS = 60
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -50,6 +52,8 @@ LOWER[65:91] += 32
 _RANDOM = np.random.default_rng(20)
 SEEDS = _RANDOM.integers(1, 2**63, SKETCHES, dtype=np.uint64)
 ODD = _RANDOM.integers(1, 2**63, SKETCHES, dtype=np.uint64) | np.uint64(1)
+PLAIN_SEEDS = _RANDOM.integers(1, 2**63, (SKETCHES, PICKED), dtype=np.uint64)
+PLAIN_ODD = _RANDOM.integers(1, 2**63, (SKETCHES, PICKED), dtype=np.uint64) | np.uint64(1)
 MOST = np.uint64(2**64 - 1)
 
 
@@ -79,8 +83,8 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return every[at], out
 
 
-def labelled(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Shingles told apart by their occurrence within the row."""
+def occurrences(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How often each shingle stands before within its row."""
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     order = np.lexsort((shingles, row))
     s, r = shingles[order], row[order]
@@ -89,18 +93,29 @@ def labelled(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     first = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
     nth = np.empty(len(s), np.uint64)
     nth[order] = (np.arange(len(s)) - first).astype(np.uint64)
+    return nth
+
+
+def labelled(shingles: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    """Shingles told apart by their occurrence within the row."""
     return mix(shingles + nth * np.uint64(0x9E3779B97F4A7C15))
 
 
+def scrambled(labels: np.ndarray, seed: np.uint64, odd: np.uint64) -> np.ndarray:
+    """Places of the labels in a random order."""
+    v = (labels ^ seed) * odd
+    v ^= v >> np.uint64(32)
+    v *= np.uint64(0xD6E8FEB86659FD93)
+    return v
+
+
 def order_sketches(labels: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Rows by sketches: hashes of the smallest labels in text order; rows must not be empty."""
     begins, counts = offsets[:-1], np.diff(offsets)
     out = np.zeros((len(begins), SKETCHES), np.uint64)
     place = np.arange(len(labels))
     for j in range(SKETCHES):
-        v = (labels ^ SEEDS[j]) * ODD[j]
-        v ^= v >> np.uint64(32)
-        v *= np.uint64(0xD6E8FEB86659FD93)
+        v = scrambled(labels, SEEDS[j], ODD[j])
         picked = []
         for _ in range(PICKED):
             least = np.minimum.reduceat(v, begins)
@@ -116,6 +131,30 @@ def order_sketches(labels: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def plain_sketches(labels: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Rows by sketches: hashes of the minima of some random orders; rows must not be empty."""
+    out = np.zeros((len(offsets) - 1, SKETCHES), np.uint64)
+    for j in range(SKETCHES):
+        value = np.uint64(SKETCHES + j + 1)
+        for seed, odd in zip(PLAIN_SEEDS[j], PLAIN_ODD[j], strict=True):
+            value = mix(value + np.minimum.reduceat(scrambled(labels, seed, odd), offsets[:-1]))
+        out[:, j] = value
+    return out
+
+
+def all_sketches(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Order sketches, plain sketches of the sets and of the labelled shingles.
+
+    The set is the shingles labelled as first occurrences, so that the last two are
+    equal for a row without repeats.
+    """
+    nth = occurrences(shingles, offsets)
+    labels, first = labelled(shingles, nth), nth == 0
+    of_bags = plain_sketches(labels, offsets)
+    of_sets = of_bags if first.all() else plain_sketches(labels[first], np.append(0, np.cumsum(first))[offsets])
+    return np.hstack([order_sketches(labels, offsets), of_sets, of_bags])
+
+
 def sketch_rows(rows: DataFrame) -> DataFrame:
     """``doc_id``, ``k1``, ``k2``, identity of the words ``w1``, ``w2`` (null without words),
     number of words and sketches."""
@@ -133,7 +172,7 @@ def sketch_rows(rows: DataFrame) -> DataFrame:
                 full = np.flatnonzero(np.diff(s_at))
                 sketches: list[list[int] | None] = [None] * (b - a)
                 if len(full):
-                    got = order_sketches(labelled(shingles, s_at), np.append(s_at[full], s_at[-1])).view(np.int64)
+                    got = all_sketches(shingles, np.append(s_at[full], s_at[-1])).view(np.int64)
                     for i, values in zip(full.tolist(), got.tolist(), strict=True):
                         sketches[i] = values
                 half = lambda i: pa.array([None if x is None else int.from_bytes(x[i : i + 8], "big", signed=True) for x in ids], pa.int64())  # noqa: B023, E731
@@ -197,6 +236,23 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
+def bitmaps(bags: list[np.ndarray]) -> np.ndarray:
+    """A row of bits for each array: those its values fall on."""
+    bits = min(MOST_BITS, 1 << max(6, (2 * max(map(len, bags)) - 1).bit_length()))
+    out = np.zeros((len(bags), bits // 8), np.uint8)
+    for row, bag in zip(out, bags, strict=True):
+        hit = np.zeros(bits, bool)
+        hit[(bag & np.uint64(bits - 1)).astype(np.int64)] = True
+        row[:] = np.packbits(hit)
+    return out.view(np.uint64)
+
+
+def may_overlap(mine: np.ndarray, n: int, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether ``overlap`` can reach ``SIMILAR``: a bit of one side only is a value of that side only."""
+    most = np.minimum(n - np.bitwise_count(mine & ~others).sum(axis=1, dtype=np.int64), sizes - np.bitwise_count(others & ~mine).sum(axis=1, dtype=np.int64))
+    return most / np.maximum(1, n + sizes - most) >= SIMILAR
+
+
 def alike(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[bool, float]:
     """Whether two texts (words, shingles, labels) are linked, and the share of aligned shingles."""
     sets = overlap(np.unique(a[1]), np.unique(b[1]))
@@ -216,7 +272,7 @@ def texts_of(column: pa.Array, rolling: Rolling) -> Iterator[tuple[list[np.ndarr
     for a, b in slices(offsets, SLICE):
         words, at = word_hashes(data, offsets[a : b + 1], rolling)
         shingles, s_at = shingle_hashes(words, at)
-        labels = labelled(shingles, s_at)
+        labels = labelled(shingles, occurrences(shingles, s_at))
         cut = lambda x, y: [x[i:j] for i, j in zip(y[:-1].tolist(), y[1:].tolist(), strict=True)]
         yield cut(words, at), cut(shingles, s_at), cut(labels, s_at)
 
@@ -260,18 +316,17 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def links_across(rest: DataFrame) -> DataFrame:
     """Links between texts of different components that share a bucket.
 
-    ``rest`` has ``slot``, ``bucket``, ``size``, ``id``, ``component``, ``sketches`` and
-    ``text``. Buckets
+    ``rest`` has ``bucket``, ``size``, ``id``, ``component``, ``sketches`` and ``text``. Buckets
     are cut into blocks of about ``BLOCK_ROWS``; every two blocks of a bucket
     meet in a group of their own.
     """
     blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
     mine = F.pmod(F.hash("id"), F.col("blocks"))
     dealt = rest.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keys = ["slot", "bucket", "low", "high"]
-    grouped = dealt.select("slot", "bucket", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "id", "component", "sketches", "text")
+    keys = ["bucket", "low", "high"]
+    grouped = dealt.select("bucket", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "id", "component", "sketches", "text")
 
-    def compare(group: list[tuple], slot: int) -> list[tuple[int, int]]:
+    def compare(group: list[tuple], bucket: int) -> list[tuple[int, int]]:
         blocks, ids, comps, sketches, sets, labels = zip(*group, strict=True)
         root: dict[int, int] = {c: c for c in comps}
 
@@ -287,7 +342,7 @@ def links_across(rest: DataFrame) -> DataFrame:
         for bags, certain in ((sets, True), (labels, False)):
             sizes = np.array([len(x) for x in bags])
             order = np.argsort(sizes, kind="stable")
-            sizes, found = sizes[order], np.stack(sketches)[order]
+            sizes, found, bits = sizes[order], np.stack(sketches)[order], bitmaps(bags)[order]
             comp, part = np.array(comps)[order], np.array(blocks)[order]
             for i in range(1, len(order)):
                 first = int(np.searchsorted(sizes, int(np.ceil(SIMILAR * sizes[i] - 1e-9))))
@@ -298,8 +353,9 @@ def links_across(rest: DataFrame) -> DataFrame:
                 if not len(near):
                     continue
                 same = found[near] == found[i]
-                # a pair is compared in the first bucket it shares, if it shares another
-                near = near[(same.argmax(axis=1) == slot) & (same.sum(axis=1) >= AGREE)]
+                # a pair is compared in the first bucket it shares
+                near = near[(found[i][same.argmax(axis=1)] == bucket) & same.any(axis=1)]
+                near = near[may_overlap(bits[i], int(sizes[i]), bits[near], sizes[near])]
                 me = order[i]
                 for j in near.tolist():
                     you = order[j]
@@ -321,11 +377,11 @@ def links_across(rest: DataFrame) -> DataFrame:
         for batch in batches:
             bags = [x for _, shingles, labels in texts_of(batch.column("text"), rolling) for x in zip(shingles, labels, strict=True)]
             columns = [batch.column(c).to_pylist() for c in (*keys, "mine", "id", "component", "sketches")]
-            for i, (slot, bucket, low, high, mine, id_, component, sketches) in enumerate(zip(*columns, strict=True)):
-                if (slot, bucket, low, high) != key:
+            for i, (bucket, low, high, mine, id_, component, sketches) in enumerate(zip(*columns, strict=True)):
+                if (bucket, low, high) != key:
                     if group:
                         yield emit()
-                    key, group = (slot, bucket, low, high), []
+                    key, group = (bucket, low, high), []
                 group.append((mine, id_, component, np.array(sketches), np.unique(bags[i][0]), np.sort(bags[i][1])))
         if group:
             yield emit()
@@ -340,7 +396,7 @@ def near_classes(rows: DataFrame) -> DataFrame:
     worded = sketched.where(F.col("w1").isNotNull())
     nodes = worded.groupBy("w1", "w2").agg(F.min(F.struct("k1", "k2")).alias("one"), F.first("sketches").alias("sketches"))
     nodes = stored(nodes.select(F.monotonically_increasing_id().alias("id"), "w1", "w2", "one.*", "sketches"), "nodes")
-    entries = nodes.where(F.col("sketches").isNotNull()).select("id", F.posexplode("sketches").alias("slot", "bucket"))
+    entries = nodes.where(F.col("sketches").isNotNull()).select("id", F.explode(F.array_distinct("sketches")).alias("bucket"))
     full = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     entries = stored(entries.join(full, "bucket"), "buckets")
     involved = entries.groupBy("id").agg(F.sum("size").alias("weight"))

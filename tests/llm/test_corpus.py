@@ -177,6 +177,34 @@ def test_near_hot_bucket(spark, monkeypatch):
     assert got == brute.near_classes(rows)
 
 
+def test_near_moved_and_repeated(spark):
+    """Sets of shingles are alike, whatever the order and the number of repeats."""
+    rows = []
+    for i in range(0, 40, 2):
+        parts = [" ".join(f"r{i}p{p}w{w}" for w in range(40)) for p in range(25)]
+        rows += [(i, " ".join(parts)), (i + 1, " ".join(parts[::-1]))]
+    for i in range(40, 80, 2):
+        parts = [" ".join(f"r{i}p{p}w{w}" for w in range(100)) for p in range(4)]
+        rows += [(i, " ".join(parts)), (i + 1, " ".join(p for p in parts for _ in range(6)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute.near_classes(rows)
+    assert expected == {i: i - i % 2 for i in range(80)}
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.class_of_documents(docs).collect()} == expected
+
+
+def test_overlap_bound():
+    """The bound of the overlap never drops a pair that is alike."""
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 5, 40, 3000, 20000):
+        base = rng.integers(0, 2**63, n, dtype=np.uint64)
+        bags = [base] + [np.concatenate([base[int(n * cut) :], rng.integers(0, 2**63, new, dtype=np.uint64)]) for cut in (0, 0.1, 0.2, 0.5) for new in (0, n // 9, n)]
+        bits, sizes = near_dedup.bitmaps(bags), np.array([len(b) for b in bags])
+        may = near_dedup.may_overlap(bits[0], n, bits, sizes)
+        real = [near_dedup.overlap(base, b) >= near_dedup.SIMILAR for b in bags]
+        assert all(m or not r for m, r in zip(may, real, strict=True))
+        assert n > 5000 or n < 40 or list(may) == real
+
+
 @given(st.lists(st.integers(0, 4), max_size=14), st.lists(st.integers(0, 4), max_size=14), st.integers(0, 20))
 @settings(max_examples=300, deadline=None)
 def test_alignment(a, b, band):
