@@ -19,7 +19,8 @@ Only links are given out. No bucket is capped, and no list of all pairs is made.
 
 A pair is linked if the aligned shingles are at least 0.8 of all its shingles,
 or, where content has moved, the sets of shingles have a Jaccard similarity of
-0.8 or more. The alignment runs within the band that 0.8 allows. Classes are the
+0.8 or more. The alignment runs within the band that 0.8 allows, in memory that grows
+with the text, and only where the sets do not link the pair. Classes are the
 connected components, found by repeated joins of tables in the shared folder.
 
 Defined results: rows without a word (missing, empty or blank text) are classes
@@ -182,9 +183,13 @@ def sketch_rows(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "k1", "k2", "text").mapInArrow(run, schema)
 
 
-def matched_runs(a: list[int], b: list[int], band: int) -> list[int] | None:
-    """Lengths of the matched runs of an alignment with the fewest insertions and
-    deletions; None if it takes more than ``band`` of them."""
+def matched_runs(a: list[int], b: list[int], band: int) -> tuple[int, int] | None:
+    """Words matched by an alignment with the fewest insertions and deletions: those that
+    only open a run, and those that end a shingle within their run; None if it takes more
+    than ``band`` edits.
+
+    Each diagonal carries its sums along, so that memory grows with the band only.
+    """
     n, m = len(a), len(b)
     if abs(n - m) > band:
         return None
@@ -198,38 +203,28 @@ def matched_runs(a: list[int], b: list[int], band: int) -> list[int] | None:
     n, m = len(a), len(b)
     if not n or not m:
         # nothing is left between the ends but words of one side
-        return [start + stop] if not n and not m else [start, stop]
-    reach = {1: 0}
-    history = []
+        runs = [start + stop] if not n and not m else [start, stop]
+        ends = sum(max(0, r - SHINGLE + 1) for r in runs)
+        return sum(runs) - ends, ends
+    # by diagonal: place reached, length of the last run, shingles of the runs before it
+    reach, last, closed = {1: 0}, {1: 0}, {1: 0}
     for edits in range(min(band, n + m) + 1):
-        history.append(dict(reach))
         for k in range(-edits, edits + 1, 2):
             down = k == -edits or (k != edits and reach.get(k - 1, -1) < reach.get(k + 1, -1))
-            x = reach.get(k + 1, 0) if down else reach.get(k - 1, 0) + 1
+            come = k + 1 if down else k - 1
+            x = first = reach[come] if down else reach[come] + 1
             y = x - k
             while x < n and y < m and a[x] == b[y]:
                 x, y = x + 1, y + 1
-            reach[k] = x
+            # the first run goes on from the equal starts of both sides
+            closed[k] = closed[come] + max(0, last[come] - SHINGLE + 1) if edits else 0
+            reach[k], last[k] = x, x - first + (0 if edits else start)
             if x >= n and y >= m:
-                return _traced(history, n, m, start, stop)
+                ends = closed[k] + max(0, last[k] + stop - SHINGLE + 1)
+                return start + stop + (n + m - edits) // 2 - ends, ends
     return None
 
 
-def _traced(history: list[dict[int, int]], x: int, y: int, start: int, stop: int) -> list[int]:
-    runs, length = [], stop
-    for edits in range(len(history) - 1, 0, -1):
-        reach, k = history[edits], x - y
-        down = k == -edits or (k != edits and reach.get(k - 1, -1) < reach.get(k + 1, -1))
-        before_k = k + 1 if down else k - 1
-        before_x = reach[before_k]
-        before_y = before_x - before_k
-        middle = before_x if down else before_x + 1
-        runs.append(length + x - middle)
-        length, x, y = 0, before_x, before_y
-    runs.append(length + x + start)
-    return runs[::-1]
-
-
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of arrays without repeats."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -253,17 +248,17 @@ def may_overlap(mine: np.ndarray, n: int, others: np.ndarray, sizes: np.ndarray)
     return most / np.maximum(1, n + sizes - most) >= SIMILAR
 
 
-def alike(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[bool, float]:
-    """Whether two texts (words, shingles, labels) are linked, and the share of aligned shingles."""
-    sets = overlap(np.unique(a[1]), np.unique(b[1]))
-    if max(sets, overlap(a[2], b[2])) < SIMILAR:
-        return False, 0.0
+def alike(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> bool:
+    """Whether two texts (words, shingles, labels) are linked; aligned only if the sets do not link them."""
+    if overlap(np.unique(a[1]), np.unique(b[1])) >= SIMILAR:
+        return True
+    if overlap(a[2], b[2]) < SIMILAR:
+        return False
     total = len(a[1]) + len(b[1])
     band = int(total * (1 - 2 * SIMILAR / (1 + SIMILAR))) + 1
     runs = matched_runs(a[0].tolist(), b[0].tolist(), band)
-    same = sum(max(0, r - SHINGLE + 1) for r in runs or ())
-    aligned = same / max(1, total - same)
-    return aligned >= SIMILAR or sets >= SIMILAR, aligned
+    same = runs[1] if runs else 0
+    return same / max(1, total - same) >= SIMILAR
 
 
 def texts_of(column: pa.Array, rolling: Rolling) -> Iterator[tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]]:
@@ -278,7 +273,7 @@ def texts_of(column: pa.Array, rolling: Rolling) -> Iterator[tuple[list[np.ndarr
 
 
 def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """The pairs ``a``, ``b`` that are linked, with ``aligned``."""
+    """The pairs ``a``, ``b`` that are linked."""
     left = bodies.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = bodies.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.select("a", "b").join(left, "a").join(right, "b")
@@ -287,12 +282,10 @@ def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
         rolling = Rolling()
         for batch in batches:
             sides = [[x for part in texts_of(batch.column(name), rolling) for x in zip(*part, strict=True)] for name in ("text_a", "text_b")]
-            found = [alike(x, y) for x, y in zip(*sides, strict=True)]
-            keep = pa.array([k for k, _ in found], pa.bool_())
-            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array([s for _, s in found], pa.float64())], ["a", "b", "aligned"])
-            yield out.filter(keep)
+            keep = pa.array([alike(x, y) for x, y in zip(*sides, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(keep)
 
-    return joined.mapInArrow(run, "a long, b long, aligned double")
+    return joined.mapInArrow(run, "a long, b long")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:

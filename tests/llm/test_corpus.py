@@ -1,5 +1,6 @@
 """Operators over the whole corpus against brute force."""
 
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -219,6 +220,21 @@ def test_alignment(a, b, band):
         assert sum(runs) == common[-1][-1]
 
 
+def test_alignment_memory(monkeypatch):
+    """The trace does not keep a table for every edit; sets that link a pair need no alignment."""
+    band = 1500
+    a, b = list(range(2000)), list(range(5000, 7000))
+    tracemalloc.start()
+    assert near_dedup.matched_runs(a, b, band) is None
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4e6
+    assert near_dedup.matched_runs([*range(20), 98, *range(30, 40)], [*range(20), 99, *range(30, 40)], 4) == (8, 22)
+    monkeypatch.setattr(near_dedup, "matched_runs", None)
+    text = np.arange(1000, dtype=np.uint64)
+    assert near_dedup.alike((text, text, text), (text[::-1], text[::-1], text))
+
+
 @pytest.mark.parametrize("source", ["odd_docs", "documents"])
 def test_source_mix(request, source):
     docs = request.getfixturevalue(source)
