@@ -11,8 +11,9 @@ The scan is one pass without a shuffle; the automaton is a fixed small table.
 
 Defined results: A-Z is lower-cased, words are runs of digits, letters a-z and
 everything beyond ASCII. A missing or empty text has no words and no labels
-(empty strings), score 0. A tag without a readable expression counts as a tag
-only. Rows that repeat are scanned one by one.
+(empty strings), score 0. Every tag has an expression of its own, up to the next
+tag or the end of the line; inside parentheses it runs over line ends. A tag
+without a readable expression counts as a tag only. Rows that repeat are scanned one by one.
 """
 
 from __future__ import annotations
@@ -52,22 +53,28 @@ NO_WORD = bytes(c for c in range(128) if not (48 <= c <= 57 or 65 <= c <= 90 or
 TO_WORDS = bytes.maketrans(
     NO_WORD + b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b" " * len(NO_WORD) + b"abcdefghijklmnopqrstuvwxyz"
 )
-TAG_AT = re.compile(r"spdx[^a-z0-9]*license[^a-z0-9]*identifier[ \t]*:?[ \t]*([^\r\n]*)", re.I | re.A)
-TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+\-]*")
+#: The tag where the automaton finds it: whole words, only ASCII between them.
+TAG_AT = re.compile(r"(?<![0-9a-z\x80-\U0010ffff])spdx[^0-9a-z\x80-\U0010ffff]+license[^0-9a-z\x80-\U0010ffff]+identifier(?![0-9a-z\x80-\U0010ffff])", re.I | re.A)
+TOKEN = re.compile(r"\(|\)|[\r\n]|[A-Za-z0-9][A-Za-z0-9.+\-]*")
 BINDS = {"or": 1, "and": 2, "with": 3}
 
 
-def postfix(expression: str) -> list[str] | None:
-    """An expression in postfix form; None if it is not well formed.
+def postfix(text: str, start: int = 0, end: int | None = None) -> list[str] | None:
+    """The expression from ``start`` on in postfix form; None if it is not well formed.
 
-    Reading stops where a word follows an operand without an operator.
+    Reading stops at ``end``, at a line end outside parentheses, and where a word
+    follows an operand without an operator.
     """
     out: list[str] = []
     stack: list[str] = []
     operand = False
-    for token in TOKEN.findall(expression):
+    for match in TOKEN.finditer(text, start, len(text) if end is None else end):
+        token = match[0]
         low = token.lower()
-        if low in BINDS:
+        if token in "\r\n":
+            if "(" not in stack:
+                break
+        elif low in BINDS:
             if not operand:
                 return None
             while stack and stack[-1] != "(" and BINDS[stack[-1]] >= BINDS[low]:
@@ -139,8 +146,10 @@ def scan_text(text: str, found: ahocorasick.Automaton) -> tuple:
     word_of = lambda at: joined.count(" ", 0, at)
     expressions, permitted = [], None
     if tags:
-        for line in TAG_AT.findall(text):
-            if form := postfix(line):
+        spans = [m.span() for m in TAG_AT.finditer(text)]
+        # an expression ends where the next tag begins
+        for (_, start), end in zip(spans, [*(a for a, _ in spans[1:]), len(text)], strict=True):
+            if form := postfix(text, start, end):
                 value, names = evaluate(form)
                 labels |= names
                 expressions.append(" ".join(form))

@@ -32,6 +32,23 @@ def test_license_expressions(odd_docs):
     assert rows[13]["expressions"] == "" and rows[13]["score"] == 0.5
 
 
+@pytest.mark.parametrize(
+    ("text", "expressions", "labels", "permitted"),
+    [
+        ("/* SPDX-License-Identifier: MIT */ x=1 /* SPDX-License-Identifier: GPL-3.0-only */", "mit; gpl-3.0-only", "gpl,mit", False),
+        ("SPDX-License-Identifier: MIT SPDX-License-Identifier: (ISC OR MIT)", "mit; isc mit or", "isc,mit", True),
+        ("# SPDX-License-Identifier: (MIT OR\r\n#   GPL-2.0-only)\nAND more", "mit gpl-2.0-only or", "gpl,mit", True),
+        ("SPDX-License-Identifier: MIT\nOR GPL-2.0-only", "mit", "mit", True),
+        ("SPDX-License-Identifier:\nMIT", "", "", None),
+        ("SPDX-License-Identifier: (MIT\nSPDX-License-Identifier: ISC", "isc", "isc", True),
+        ("spdxlicenseidentifier: MIT xspdx license identifier: ISC SPDX License Identifier: BSD-3-Clause", "bsd-3-clause", "bsd", True),
+    ],
+)
+def test_license_tags(text, expressions, labels, permitted):
+    got = license_scan.scan_text(text, license_scan.automaton())
+    assert (got[7], got[5], got[8]) == (expressions, labels, permitted)
+
+
 @pytest.mark.parametrize(
     ("text", "form", "value"),
     [
