@@ -33,7 +33,7 @@ from scenara.llm.common import salted_rank, stored
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2.0
-STEPS, CLOSE = 40, 1e-7
+STEPS, HALVINGS, CLOSE = 40, 80, 1e-7
 ROWS_A_SALT = 1_000_000
 
 
@@ -74,7 +74,10 @@ def at_cap(target: Column, size: Column) -> Column:
 
 
 def multipliers(cells: DataFrame, targets: DataFrame) -> DataFrame:
-    """``targets`` with ``lam``: Newton steps on the dual, one job each."""
+    """``targets`` with ``lam``: Newton steps on the dual, one job each.
+
+    Sources not done after ``STEPS`` go on by halving their bracket.
+    """
     # smallest size over mean size bounds where every rate has reached the cap
     least = cells.where("size > 0").groupBy(F.col("source").alias("s")).agg(F.min("size").alias("least"))
     start = targets.join(least, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
@@ -86,9 +89,11 @@ def multipliers(cells: DataFrame, targets: DataFrame) -> DataFrame:
     )
     state = stored(state, "lam")
     entries = cells.withColumnRenamed("source", "s")
-    for _ in range(STEPS):
+    for step in range(STEPS + HALVINGS + 1):
         if not state.where(~F.col("done")).limit(1).count():
             break
+        if step == STEPS + HALVINGS:
+            raise RuntimeError("source multipliers did not settle")
         x = F.col("size") / F.col("mean")
         r = rate(F.col("lam"), x)
         words = F.col("cells_n") * F.col("size")
@@ -102,7 +107,7 @@ def multipliers(cells: DataFrame, targets: DataFrame) -> DataFrame:
         low = F.when(gap < 0, F.col("lam")).otherwise(F.col("low"))
         high = F.when(gap >= 0, F.col("lam")).otherwise(F.col("high"))
         newton = F.col("lam") - gap / F.col("slope")
-        inside = (F.col("slope") > 0) & (newton > low) & (newton < high)
+        inside = F.lit(step < STEPS) & (F.col("slope") > 0) & (newton > low) & (newton < high)
         done = F.col("done") | (F.abs(gap) <= CLOSE * F.col("target")) | (high - low < 1e-12)
         lam = F.when(done, F.col("lam")).when(inside, newton).otherwise((low + high) / 2)
         state = stored(joined.select("source", "source_size", "n", "target", "mean", lam.alias("lam"), low.alias("low"), high.alias("high"), done.alias("done")), "lam")

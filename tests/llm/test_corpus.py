@@ -235,6 +235,21 @@ def test_alignment_memory(monkeypatch):
     assert near_dedup.alike((text, text, text), (text[::-1], text[::-1], text))
 
 
+def test_source_mix_goes_on(spark, monkeypatch):
+    """Sources not done by Newton steps are halved on, and never pass in silence."""
+    cells = spark.createDataFrame([("a", 1, 50), ("a", 90, 3), ("b", 7, 20), ("b", 4000, 2)], "source string, size long, n long").coalesce(1).cache()
+    targets = source_mix.source_targets(cells).coalesce(1).cache()
+    monkeypatch.setattr(source_mix, "STEPS", 1)
+    monkeypatch.setattr(source_mix, "HALVINGS", 1)
+    with pytest.raises(RuntimeError):
+        source_mix.multipliers(cells, targets)
+    monkeypatch.setattr(source_mix, "HALVINGS", 80)
+    for r in source_mix.multipliers(cells, targets).collect():
+        own = [c for c in cells.collect() if c["source"] == r["source"]]
+        have = sum(c["n"] * c["size"] * min(2.0, np.exp(min(r["lam"] * c["size"] / r["mean"], 1.0))) for c in own)
+        assert r["done"] and (source_mix.CAP * r["source_size"] * (1 - 1e-9) <= r["target"] or abs(have - r["target"]) <= 1e-6 * r["target"])
+
+
 @pytest.mark.parametrize("source", ["odd_docs", "documents"])
 def test_source_mix(request, source):
     docs = request.getfixturevalue(source)
