@@ -8,8 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scenara.llm import chat_format, language_id, license_scan, near_dedup, packing, quality_rules, source_mix, substring_dedup, token_counts, top_k
+from scenara.llm import (
+    chat_format,
+    clustering,
+    decontamination,
+    language_id,
+    license_scan,
+    near_dedup,
+    packing,
+    quality_rules,
+    source_mix,
+    spelling,
+    substring_dedup,
+    token_counts,
+    top_k,
+)
 from scenara.llm.common import table
+from scenara.llm.oracle import CONTAMINATION, clusters
 
 TOKEN_LIMIT = 512
 
@@ -66,6 +81,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.digest(found)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+CLUSTERS, COMPONENTS, ROUNDS = 8, 64, 10
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    found = clustering.cluster(rows, "vec_id", "embedding", CLUSTERS, COMPONENTS, ROUNDS)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_substring_dedup": op2_substring_dedup,
@@ -77,10 +110,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_source_mix": op9_source_mix,
     "op10_quality_rules": op10_quality_rules,
+    "op11_decontamination": op11_decontamination,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_centroid_clusters": op13_centroid_clusters,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {
+    "op11_decontamination": CONTAMINATION,
+    "op13_centroid_clusters": clusters(CLUSTERS, COMPONENTS, ROUNDS),
     "op3_chat_format": r"""
         WITH source AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

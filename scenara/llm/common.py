@@ -21,10 +21,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage: a lost executor costs a reread, not a recomputation. The
     folder is the one the session names in ``spark.checkpoint.dir``.
     """
+    return stored_at(df, name)[0]
+
+
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``stored`` with the path, for tables that are ``removed`` when their successor is written."""
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table of ``stored_at`` that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

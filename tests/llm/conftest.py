@@ -48,7 +48,7 @@ def documents(spark, sf_dir):
 @pytest.fixture(scope="session")
 def duck(sf_dir):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     return con
 
