@@ -531,6 +531,29 @@ GROUP BY ALL"""
 SQL["not_in_keeps_unknown"] = f"""
 SELECT scenario, grouped_region, {strict('value')} FROM base LEFT JOIN region_groups USING (region)
 WHERE grouped_region IS NULL OR grouped_region NOT IN ('USA', 'China') GROUP BY scenario, grouped_region"""
+CTES["members"] = """SELECT nullif(scenario, 'Transition_LLS') AS scenario, nullif(word, 'hot') AS word FROM base WHERE ship_year = 1995 AND word > 'c'"""
+CTES["unnamed"] = "SELECT scenario, nullif(word, 'red') AS word, year, value FROM base"
+SQL["member_table_semi"] = rollup(
+    "(SELECT u.* FROM unnamed u WHERE EXISTS (SELECT 1 FROM members m WHERE m.scenario = u.scenario AND m.word = u.word))",
+    "scenario, word, year",
+)
+SQL["member_table_semi_nulls"] = rollup(
+    "(SELECT u.* FROM unnamed u WHERE EXISTS (SELECT 1 FROM members m WHERE m.word IS NOT DISTINCT FROM u.word))",
+    "scenario, word, year",
+)
+SQL["member_table_anti"] = rollup(
+    "(SELECT u.* FROM unnamed u WHERE NOT EXISTS (SELECT 1 FROM members m WHERE m.scenario = u.scenario AND m.word = u.word))",
+    "scenario, word, year",
+)
+SQL["member_table_anti_nulls"] = rollup(
+    "(SELECT u.* FROM unnamed u WHERE NOT EXISTS (SELECT 1 FROM members m "
+    "WHERE (m.word < 'n' OR m.word IS NULL) AND m.word IS NOT DISTINCT FROM u.word))",
+    "scenario, word, year",
+)
+SQL["member_table_store"] = rollup(
+    "(SELECT * FROM electricity WHERE scenario IN (SELECT scenario FROM base WHERE scenario LIKE '%LLS'))",
+    "scenario, technology, year",
+)
 SQL["snapshot_rows"] = f"""
 SELECT scenario, kind, vintage, year, {strict('value')} FROM base
 WHERE (year = 2050 OR (year = 2015 AND scenario = 'Reference')) AND scenario IN ('Reference', 'Transition')
@@ -616,6 +639,23 @@ SQL["diff_many_scenarios_gaps"] = diff("gappy_words", ["Reference_LLS", "Transit
 CTES["gappy_word_kinds"] = rollup("gappy", "scenario, region, word, kind, year")
 CTES["repeated_words"] = "SELECT scenario, region, word, year, value FROM gappy_word_kinds"
 SQL["diff_repeated_keys"] = diff("repeated_words", ["Reference_LLS", "Transition"], "Reference", WORD_KEYS)
+CTES["model_years"] = f"""
+SELECT scenario || '.' || CAST(ship_year AS VARCHAR) AS scenario, region, word, {strict('value')} FROM gappy GROUP BY 1, 2, 3"""
+PANEL = [f"{s}.{y}" for s in star.SCENARIO_CODES for y in range(1995, 2002)]
+SQL["diff_wide_panel"] = diff("model_years", PANEL[1:], PANEL[0], ["region", "word"])
+SQL["diff_wide_pairs"] = " UNION ALL ".join(diff("model_years", [s], ref, ["region", "word"], s) for s, ref in zip(PANEL, PANEL[1:], strict=False))
+CTES["limbs"] = """
+SELECT scenario, region, year, value IS NULL AS unknown, floor(s) AS u, (s - floor(s)) * 1048576 AS r
+FROM (SELECT *, value / 7 * 1048576 AS s FROM gappy)"""
+CTES["limb_sums"] = """
+SELECT scenario, region, year, bool_or(unknown) AS unknown, CAST(sum(CAST(u AS BIGINT)) AS BIGINT) AS u,
+  CAST(sum(CAST(floor(r) AS BIGINT)) AS BIGINT) AS m, CAST(sum(CAST(round_even((r - floor(r)) * 1048576, 0) AS BIGINT)) AS BIGINT) AS l
+FROM limbs GROUP BY scenario, region, year"""
+CTES["carried"] = "SELECT *, m + (l >> 20) AS m2, l & 1048575 AS l2 FROM limb_sums"
+SQL["exact_sum"] = """
+SELECT scenario, region, year, CASE WHEN NOT unknown THEN
+  (u + (m2 >> 20)) / 1048576.0::DOUBLE + ((m2 & 1048575) / 1099511627776.0::DOUBLE + l2 / 1152921504606846976.0::DOUBLE) END AS value
+FROM carried"""
 SQL["group_set_totals_gaps"] = " UNION ALL ".join(
     f"SELECT scenario, region, year, '{g}' AS sector, {strict('value')} FROM gappy WHERE word IN ({lit(m)}) "
     "GROUP BY scenario, region, year"
@@ -633,6 +673,19 @@ FROM (SELECT scenario, region, year, {strict('value')} FROM gappy GROUP BY scena
 )
 SQL["store_by_title"] = rollup("final_energy", "scenario, input, year")
 SQL["mapping_csv_scan"] = "SELECT * FROM region_groups"
+CTES["csv_cells"] = """
+SELECT scenario, CASE WHEN line = 6 THEN word || '?' ELSE CAST(year AS VARCHAR) END AS year, line = 6 AS bad_year,
+    CASE WHEN line = 7 OR word = 'old' THEN CAST(value AS VARCHAR) || 'kg' ELSE CAST(value AS VARCHAR) END AS value, line = 7 OR word = 'old' AS bad_value,
+    value AS amount
+FROM base"""
+SQL["csv_rejects"] = """
+SELECT 'good' AS kind, scenario, year AS text, sum(amount) AS value FROM csv_cells WHERE NOT bad_year AND NOT bad_value GROUP BY scenario, year
+UNION ALL SELECT 'year', NULL, year, CAST(count(*) AS DOUBLE) FROM csv_cells WHERE bad_year GROUP BY year
+UNION ALL SELECT 'value', NULL, value, CAST(count(*) AS DOUBLE) FROM csv_cells WHERE bad_value GROUP BY value"""
+SQL["ordered_dataset"] = f"""
+SELECT *, row_number() OVER (ORDER BY list_position([{lit(V.SCENARIO_BAR_LEVELS)}], scenario) NULLS LAST, scenario NULLS LAST,
+    list_position(['STANDARD', 'LARGE', 'MEDIUM', 'SMALL'], kind) NULLS LAST, kind NULLS LAST, year NULLS LAST, region NULLS LAST) - 1 AS position
+FROM (SELECT scenario, kind, year, region, {strict('value')} FROM base GROUP BY scenario, kind, year, region)"""
 SQL["ensemble_csv_scan"] = "SELECT * FROM ensemble"
 SQL["named_store_scan"] = rollup("electricity", "scenario, technology, year")
 SQL["csv_store_scan"] = "SELECT * FROM literature_production"

@@ -14,14 +14,17 @@ from pyspark.sql import functions as F
 
 from scenara import schemas
 from scenara import vocabulary as V
-from scenara.functions import floor_zero, if_else_strict, not_in, sum_strict, to_number
+from scenara.functions import floor_zero, if_else_strict, not_in, sum_exact, sum_strict, to_number
 from scenara.operators import (
     as_levels,
     attach_mapping,
     complete_cases,
+    compare_pairs,
     composite_key,
     convert_units,
     diff_from_scenario,
+    drop_members,
+    keep_members,
     relabel,
     rollup_groups,
     rollup_sum,
@@ -34,13 +37,18 @@ from scenara.plans import capacity, emissions, energy, ensemble
 from scenara.plans.marts import MART_NAMES, Options, Workspace, build_mart
 from scenara.session import checkpoint_folder
 from scenara.sources import (
+    good_rows,
+    read_csv_checked,
     read_csv_table,
     read_ensemble,
     read_named_table,
+    read_ordered,
     read_region_mapping,
+    rejected_cells,
     star,
     write_mart,
     write_named_table,
+    write_ordered,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,6 +159,53 @@ def not_in_keeps_unknown(spark, sf_dir):
     return rollup_sum(mapped.where(not_in("grouped_region", ["USA", "China"])), ["scenario", "grouped_region"])
 
 
+def _members(spark, sf_dir):
+    """A member table of scenarios and words with repeats and missing members: some words of the first year."""
+    rows = star.long_rows(spark, sf_dir, "scenario", "word", "ship_year")
+    early = rows.where((F.col("ship_year") == 1995) & (F.col("word") > "c")).select("scenario", "word")
+    blank = lambda c, v: F.when(F.col(c) != v, F.col(c)).alias(c)
+    return early.select(blank("scenario", "Transition_LLS"), blank("word", "hot"))
+
+
+def _unnamed(spark, sf_dir):
+    rows = star.long_rows(spark, sf_dir, "scenario", "word", "year")
+    return rows.withColumn("word", F.when(F.col("word") != "red", F.col("word")))
+
+
+@query
+def member_table_semi(spark, sf_dir):
+    kept = keep_members(_unnamed(spark, sf_dir), _members(spark, sf_dir), ["scenario", "word"])
+    return rollup_sum(kept, ["scenario", "word", "year"])
+
+
+@query
+def member_table_semi_nulls(spark, sf_dir):
+    kept = keep_members(_unnamed(spark, sf_dir), _members(spark, sf_dir), "word", nulls=True)
+    return rollup_sum(kept, ["scenario", "word", "year"])
+
+
+@query
+def member_table_anti(spark, sf_dir):
+    kept = drop_members(_unnamed(spark, sf_dir), _members(spark, sf_dir), ["scenario", "word"])
+    return rollup_sum(kept, ["scenario", "word", "year"])
+
+
+@query
+def member_table_anti_nulls(spark, sf_dir):
+    kept = drop_members(_unnamed(spark, sf_dir), _members(spark, sf_dir).where("word < 'n' OR word IS NULL"), "word", nulls=True)
+    return rollup_sum(kept, ["scenario", "word", "year"])
+
+
+@query
+def member_table_store(spark, sf_dir):
+    """A store read by a table of scenarios, which prunes its folders at run time."""
+    base = _scratch(spark)
+    write_named_table(star.electricity(spark, sf_dir), base, "electricity")
+    members = star.long_rows(spark, sf_dir, "scenario", "priority").where("scenario LIKE '%LLS'").select("scenario")
+    kept = keep_members(read_named_table(spark, base, "electricity"), members.distinct(), "scenario")
+    return rollup_sum(kept, ["scenario", "technology", "year"])
+
+
 @query
 def snapshot_rows(spark, sf_dir):
     """Equality, membership, range, column against column, and an OR of ANDs."""
@@ -301,6 +356,36 @@ def diff_repeated_keys(spark, sf_dir):
     return diff_from_scenario(finer, diffs, "Reference", ["region", "word", "year"], unique=False)
 
 
+def _model_years(spark, sf_dir):
+    """Each scenario and ship year as a scenario of its own, some values unknown."""
+    rows = _gappy(star.long_rows(spark, sf_dir, "scenario", "ship_year", "region", "word", "line"))
+    own = rows.withColumn("scenario", composite_key("scenario", "ship_year"))
+    return rollup_sum(own, ["scenario", "region", "word"])
+
+
+PANEL = [f"{s}.{y}" for s in star.SCENARIO_CODES for y in range(1995, 2002)]
+
+
+@query
+def diff_wide_panel(spark, sf_dir):
+    """Forty-one scenarios against one, in one scan and one shuffle."""
+    return diff_from_scenario(_model_years(spark, sf_dir), PANEL[1:], PANEL[0], ["region", "word"])
+
+
+@query
+def diff_wide_pairs(spark, sf_dir):
+    """Every scenario against the next one."""
+    pairs = list(zip(PANEL, PANEL[1:], strict=False))
+    return compare_pairs(_model_years(spark, sf_dir), pairs, ["region", "word"])
+
+
+@query
+def exact_sum(spark, sf_dir):
+    """Sums of sevenths, unrounded: their bits do not depend on the order of the lines."""
+    rows = _gappy(star.long_rows(spark, sf_dir, "scenario", "region", "year", "line"))
+    return rows.withColumn("value", F.col("value") / 7).groupBy("scenario", "region", "year").agg(sum_exact("value").alias("value"))
+
+
 # --- capacity by vintage ---------------------------------------------------
 
 
@@ -465,6 +550,35 @@ def ensemble_csv_scan(spark, sf_dir):
     return read_ensemble(spark, base)
 
 
+@query
+def csv_rejects(spark, sf_dir):
+    """Bad cells of a CSV with their column and text, read beside the good rows."""
+    base = _scratch(spark)
+    rows = star.long_rows(spark, sf_dir, "scenario", "word", "year", "line")
+    year = F.when(F.col("line") == 6, F.concat("word", F.lit("?"))).otherwise(F.col("year").cast("string"))
+    value = F.when((F.col("line") == 7) | (F.col("word") == "old"), F.concat(F.col("value"), F.lit("kg"))).otherwise(F.col("value").cast("string"))
+    write_mart(rows.select("scenario", year.alias("year"), value.alias("value")), base, "csv")
+    checked = read_csv_checked(spark, base, schemas.LITERATURE_CO2)
+    bad = rejected_cells(checked).where(F.col("file").startswith("part-"))
+    totals = rollup_sum(good_rows(checked), ["scenario", "year"]).select(
+        F.lit("good").alias("kind"), "scenario", F.col("year").cast("string").alias("text"), "value"
+    )
+    counts = bad.groupBy(F.col("column").alias("kind"), "text").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return totals.unionByName(counts.withColumn("scenario", F.lit(None).cast("string")))
+
+
+ORDERED = {"scenario": V.SCENARIO_BAR_LEVELS, "kind": ["STANDARD", "LARGE", "MEDIUM", "SMALL"], "year": None}
+
+
+@query
+def ordered_dataset(spark, sf_dir):
+    """A dataset written in level order over several files, each row read back with its place."""
+    base = _scratch(spark)
+    rows = star.long_rows(spark, sf_dir, "scenario", "kind", "year", "region")
+    write_ordered(rollup_sum(rows, ["year", "region", "kind", "scenario"]), base, ORDERED, 5)
+    return read_ordered(spark, base)
+
+
 # --- derived tables and finished datasets ----------------------------------
 
 

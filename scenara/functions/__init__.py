@@ -4,6 +4,7 @@ from scenara.functions.columns import (  # noqa: F401
     if_else_strict,
     not_in,
     s_curve,
+    sum_exact,
     sum_strict,
     to_number,
     warming_band,

@@ -24,6 +24,34 @@ def sum_strict(c: Column | str) -> Column:
     return F.when(F.count(c) == F.count(F.lit(1)), F.sum(c))
 
 
+PART_BITS = 20
+LARGEST_EXACT = float(2**42)
+
+
+def sum_exact(c: Column | str) -> Column:
+    """``sum_strict`` whose bits do not depend on the order of the rows.
+
+    Doubles round at each addition, so that plain sums change with the partitioning. Here a
+    value is split into whole multiples of 2**-20, 2**-40 and 2**-60, whose sums commute and are
+    put together once. What is below 2**-60 is rounded away; values of 2**42 and more,
+    not-a-number, and sums of parts that do not fit a long stop the query.
+    """
+    c = _col(c).cast("double")
+    step = F.lit(float(2**PART_BITS))
+    too_large = F.raise_error(F.lit("a value is too large for an exact sum")).cast("long")
+    fits = F.abs(c) < LARGEST_EXACT
+    scaled = F.when(fits, c * step)
+    upper = F.when(fits, F.floor(scaled)).when(c.isNotNull(), too_large)
+    rest = (scaled - F.floor(scaled)) * step
+    middle, lower = F.floor(rest), F.rint((rest - F.floor(rest)) * step).cast("long")
+    low = F.sum(lower)
+    mid = F.sum(middle) + F.shiftright(low, PART_BITS)
+    high = F.sum(upper) + F.shiftright(mid, PART_BITS)
+    under = lambda part, n: F.pmod(part, F.lit(2**PART_BITS)) / F.lit(float(2 ** (PART_BITS * n)))
+    total = high / step + (under(mid, 2) + under(low, 3))
+    return F.when(F.count(c) == F.count(F.lit(1)), total)
+
+
 def sum_strict_over(c: Column | str, window: WindowSpec) -> Column:
     """``sum_strict`` as a window expression."""
     c = _col(c)

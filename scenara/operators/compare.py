@@ -3,11 +3,16 @@
 Comparing scenarios is a full outer self-join in most tools. Here the table is
 aggregated once by the comparison keys, with one conditional sum per scenario,
 and the wanted pairs are read out of that row. That takes one scan and one
-shuffle with partial sums for any number of scenarios, and null keys meet
-because grouping treats them as equal. That form needs every (scenario, keys)
-combination once, as after a roll-up, and stops the query where one repeats.
-With ``unique=False`` repeated rows are paired with each other, as a full outer
-join pairs them.
+shuffle with partial sums, and null keys meet because grouping treats them as
+equal. Beyond ``WIDE`` scenarios, columns for each would make a plan that takes minutes
+to compile: then a small table names the families of each scenario, and rows are
+gathered by keys and family, still with one scan and one shuffle and with a plan of
+the same size for any number of scenarios.
+
+Both forms need every (scenario, keys) combination once, as after a roll-up, and
+stop the query where one repeats. With ``unique=False`` repeated rows are paired with
+each other, as a full outer join pairs them: one join serves all families, and so
+takes two scans for any number of them.
 """
 
 from __future__ import annotations
@@ -18,6 +23,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scenara.operators.rollup import local_table
+
+WIDE = 16
+REPEATED = "a scenario repeats a comparison key: roll up first, or set unique=False"
+
+#: Scenarios, their baseline, and the label of a row that only the baseline has.
+Family = tuple[Sequence[str], str, str | None]
+
 
 def _scenario_row(df: DataFrame, scenarios: Sequence[str], keys: Sequence[str], value: str) -> DataFrame:
     is_s = [F.col("scenario") == s for s in scenarios]
@@ -33,39 +46,74 @@ def _scenario_row(df: DataFrame, scenarios: Sequence[str], keys: Sequence[str],
 
 def _only(here: Column, value: str) -> Column:
     """The value of a group's one row that is ``here``."""
-    repeated = F.raise_error(F.lit("a scenario repeats a comparison key: roll up first, or set unique=False"))
+    repeated = F.raise_error(F.lit(REPEATED))
     return F.when(F.count_if(here) > 1, repeated).otherwise(F.sum(F.when(here, F.col(value))))
 
 
-def _joined(
-    df: DataFrame, scenarios: Sequence[str], ref: str, keys: Sequence[str], fill: str | None, value: str
-) -> DataFrame:
-    """Full outer join of the scenarios' rows with the baseline's, null keys meeting.
+def _roles(df: DataFrame, families: Sequence[Family]) -> DataFrame:
+    """One row for each family that a scenario is a member or the baseline of."""
+    rows = [(s, i, True, ref, fill) for i, (own, ref, fill) in enumerate(families) for s in own]
+    rows += [(ref, i, False, ref, fill) for i, (_, ref, fill) in enumerate(families)]
+    names = ["scenario", "_family", "_own", "baseline", "_fill"]
+    columns = dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))
+    roles = local_table(df.sparkSession, columns)
+    return roles.withColumn("_fill", F.col("_fill").cast("string"))
 
-    Two joins, matched rows and baseline rows without a partner, as AQE splits
-    hot partitions of these but not of a full outer join.
-    """
-    own = df.where(F.col("scenario").isin(list(scenarios))).select(
-        *keys, F.col("scenario").alias("scenario_diff"), F.col(value).alias("value_diff")
+
+def _difference(own: Column, ref: Column) -> list[Column]:
+    """``value_diff``, ``value_ref`` and ``value``, a missing value counting as zero."""
+    diff, base = F.coalesce(own, F.lit(0.0)), F.coalesce(ref, F.lit(0.0))
+    return [diff.alias("value_diff"), base.alias("value_ref"), (diff - base).alias("value")]
+
+
+def _joined(df: DataFrame, families: Sequence[Family], keys: Sequence[str], value: str) -> DataFrame:
+    """Full outer join of all families' rows with their baselines', null keys meeting."""
+    roles = df.join(_roles(df, families), "scenario")
+    own = roles.where("_own").select("_family", *keys, "baseline", F.col("scenario").alias("_s"), F.col(value).alias("_v"))
+    base = roles.where("NOT _own").select(
+        F.col("_family").alias("_f"), *[F.col(k).alias(f"_{k}") for k in keys], F.col("baseline").alias("_ref"), "_fill", F.col(value).alias("_w")
+    )
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.col("_family") == F.col("_f"))
+    here = F.col("_family").isNotNull()
+    return own.join(base, same, "full_outer").select(
+        *[F.when(here, F.col(k)).otherwise(F.col(f"_{k}")).alias(k) for k in keys],
+        F.coalesce("baseline", "_ref").alias("baseline"),
+        F.when(here, F.col("_s")).otherwise(F.col("_fill")).alias("scenario_diff"),
+        F.col("_ref").alias("scenario_ref"),
+        *_difference(F.col("_v"), F.col("_w")),
     )
-    base = df.where(F.col("scenario") == ref).select(
-        *[F.col(k).alias(f"_{k}") for k in keys],
-        F.col("scenario").alias("scenario_ref"),
-        F.col(value).alias("value_ref"),
+
+
+def _gathered(df: DataFrame, families: Sequence[Family], keys: Sequence[str], value: str, all_pairs: bool) -> DataFrame:
+    """The same for unique rows and any number of scenarios, gathered by keys and family.
+
+    ``all_pairs`` gives every scenario of a family a row where only the baseline has the
+    key; otherwise the family gets one, if none of its scenarios has it.
+    """
+    entry = F.struct(F.col("scenario").alias("s"), F.col(value).alias("v"))
+    rows = df.join(_roles(df, families), "scenario").groupBy(*keys, "_family", "baseline", "_fill").agg(
+        F.collect_list(F.when(F.col("_own"), entry)).alias("_rows"),
+        F.count_if(~F.col("_own")).alias("_refs"),
+        F.sum(F.when(~F.col("_own"), F.col(value))).alias("_ref"),
     )
-    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    matched = own.join(base, same, "left").select(*keys, "scenario_diff", "scenario_ref", "value_diff", "value_ref")
-    alone = base.join(own.select(*keys), same, "left_anti").select(
-        *[F.col(f"_{k}").alias(k) for k in keys],
-        F.lit(fill).cast("string").alias("scenario_diff"),
-        "scenario_ref",
-        F.lit(0.0).alias("value_diff"),
-        "value_ref",
+    present = F.transform("_rows", lambda r: r["s"])
+    once = (F.size(F.array_distinct(present)) == F.size("_rows")) & (F.col("_refs") <= 1)
+    rows = rows.withColumn("_rows", F.when(once, F.col("_rows")).otherwise(F.raise_error(F.lit(REPEATED))))
+    alone = lambda s: F.struct(s.alias("s"), F.lit(None).cast(df.schema[value].dataType).alias("v"))
+    none = F.slice("_rows", 1, 0)
+    if all_pairs:
+        members = {"_family": list(range(len(families))), "_members": [list(own) for own, *_ in families]}
+        rows = rows.join(local_table(df.sparkSession, members), "_family")
+        absent = F.transform(F.array_except("_members", present), alone)
+        rest = F.when(F.col("_refs") > 0, absent).otherwise(none)
+        rows = rows.withColumn("_rows", F.concat("_rows", rest))
+    else:
+        rows = rows.withColumn("_rows", F.when(F.size("_rows") > 0, F.col("_rows")).otherwise(F.array(alone(F.col("_fill")))))
+    found = rows.select(*keys, "baseline", "_refs", "_ref", F.inline("_rows").alias("_s", "_v"))
+    ref = F.when(F.col("_refs") > 0, F.col("baseline"))
+    return found.select(
+        *keys, "baseline", F.col("_s").alias("scenario_diff"), ref.alias("scenario_ref"), *_difference(F.col("_v"), F.col("_ref"))
     )
-    diff, known = F.coalesce("value_diff", F.lit(0.0)), F.coalesce("value_ref", F.lit(0.0))
-    both = matched.unionByName(alone).withColumns({"value_diff": diff, "value_ref": known})
-    rows = both.withColumn("value", F.col("value_diff") - F.col("value_ref"))
-    return rows.select(*keys, F.lit(ref).alias("baseline"), *MEASURES)
 
 
 def _cell(scenario: Column, has: Column, value: Column, ref: str, ref_has: Column, ref_value: Column) -> Column:
@@ -94,9 +142,11 @@ def compare_pairs(
     A key missing on one side of a pair counts as zero there.
     """
     if not unique:
-        parts = [_joined(df, [s], ref, keys, s, value) for s, ref in pairs]
-        return reduce(DataFrame.unionByName, parts).drop("baseline")
+        return _joined(df, [([s], ref, s) for s, ref in pairs], keys, value).drop("baseline")
     scenarios = list(dict.fromkeys(s for pair in pairs for s in pair))
+    if len(scenarios) > WIDE:
+        by_ref = {ref: [s for s, r in pairs if r == ref] for _, ref in pairs}
+        return _gathered(df, [(own, ref, None) for ref, own in by_ref.items()], keys, value, True).drop("baseline")
     at = {s: i for i, s in enumerate(scenarios)}
     rows = _scenario_row(df, scenarios, keys, value)
     cells = [
@@ -126,10 +176,12 @@ def diff_families(
 
     ``baseline`` names the family a row belongs to.
     """
+    named = [(diffs, ref, fill_scenario) for diffs, ref in families]
     if not unique:
-        parts = [_joined(df, diffs, ref, keys, fill_scenario, value) for diffs, ref in families]
-        return reduce(DataFrame.unionByName, parts)
+        return _joined(df, named, keys, value)
     scenarios = list(dict.fromkeys(s for diffs, ref in families for s in [*diffs, ref]))
+    if len(scenarios) > WIDE:
+        return _gathered(df, named, keys, value, False)
     has = {s: F.col(f"_has{i}") for i, s in enumerate(scenarios)}
     val = {s: F.col(f"_val{i}") for i, s in enumerate(scenarios)}
     cells = []

@@ -6,14 +6,15 @@ from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenara import vocabulary as V
 from scenara.operators import as_levels, composite_key, union_by_name
 from scenara.plans import capacity, emissions, energy, ensemble, flows
 from scenara.session import checkpoint_folder
-from scenara.sources import write_mart
+from scenara.sources import write_mart, write_ordered
+from scenara.sources.tables import finished
 
 Table = DataFrame | Callable[[], DataFrame]
 
@@ -54,11 +55,15 @@ class Workspace:
     are built on demand and remembered. With ``checkpoint`` every shared
     intermediate is computed once and kept in the session's checkpoint folder,
     which pays off when many datasets are written in one run and lets a run
-    survive lost executors.
+    survive lost executors. With a folder ``shared`` they are written there instead, and
+    one that a stopped run has finished is read again.
     """
 
-    def __init__(self, tables: Mapping[str, Table], checkpoint: bool = False, options: Options = Options()):
+    def __init__(
+        self, tables: Mapping[str, Table], checkpoint: bool = False, options: Options = Options(), shared: str | None = None
+    ):
         self.options = options
+        self._shared = shared
         self._tables = tables
         self._checkpoint = checkpoint
         self._known: dict[str, DataFrame] = {}
@@ -73,6 +78,11 @@ class Workspace:
             table = self._tables[name]
             return table() if callable(table) else table
         df = DERIVED[name](self)
+        if self._shared and name in SHARED:
+            path = f"{self._shared}/{name}"
+            if not finished(df.sparkSession, path):
+                df.write.mode("overwrite").parquet(path)
+            return df.sparkSession.read.schema(df.schema).parquet(path)
         if self._checkpoint and name in SHARED:
             checkpoint_folder(df.sparkSession)
             df = df.checkpoint()
@@ -466,6 +476,16 @@ def build_mart(name: str, tables: Workspace | Mapping[str, Table]) -> DataFrame:
     return df.select(*dims, *[_measure(c, f, ws.options).alias(out) for out, (c, f) in mart.measures.items()])
 
 
+def mart_order(name: str, options: Options = Options()) -> dict[str, Sequence[str] | None]:
+    """The order of a dataset's rows: its columns one after the other, those with declared
+    levels by these."""
+    if name in OVERLAYS:
+        return dict.fromkeys(["series", *OVERLAYS[name][0]])
+    mart = MARTS[name]
+    levels = {c: getattr(options, v) if isinstance(v, str) else v for c, v in mart.levels.items()}
+    return {c: levels.get(c) for c in mart.dims}
+
+
 def write_marts(
     tables: Mapping[str, Table],
     base: str,
@@ -473,12 +493,29 @@ def write_marts(
     kind: str = "parquet",
     options: Options = Options(),
     threads: int = 4,
+    files: int | None = None,
+    resume: bool = False,
 ) -> None:
     """Write datasets to ``base``, computing what they share once.
 
     Datasets do not depend on each other, so ``threads`` of them are written at a time.
+    With ``files`` each is written in its declared order to that many files at most.
+    With ``resume`` shared tables are kept below ``base`` and a run over the same inputs and
+    options goes on where an earlier one stopped: what carries the committer's marker,
+    shared table or dataset, is not computed again.
     """
-    ws = Workspace(tables, checkpoint=True, options=options)
-    built = {name: build_mart(name, ws) for name in names}
+    base = base.rstrip("/")
+    ws = Workspace(tables, checkpoint=True, options=options, shared=f"{base}/_shared" if resume else None)
+    spark = SparkSession.active()
+    left = [name for name in names if not (resume and finished(spark, f"{base}/{name}"))]
+    built = {name: build_mart(name, ws) for name in left}
+
+    def write(name: str) -> None:
+        path = f"{base}/{name}"
+        if files is None:
+            write_mart(built[name], path, kind)
+        else:
+            write_ordered(built[name], path, mart_order(name, options), files, kind)
+
     with ThreadPoolExecutor(threads) as pool:
-        list(pool.map(lambda name: write_mart(built[name], f"{base.rstrip('/')}/{name}", kind), built))
+        list(pool.map(write, built))

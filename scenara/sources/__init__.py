@@ -1,5 +1,8 @@
+from scenara.sources.ordered import read_ordered, write_ordered  # noqa: F401
 from scenara.sources.tables import (  # noqa: F401
+    good_rows,
     load_tables,
+    read_csv_checked,
     read_csv_table,
     read_ensemble,
     read_gas_factors,
@@ -10,6 +13,7 @@ from scenara.sources.tables import (  # noqa: F401
     read_region_mapping,
     read_store,
     read_technology_mapping,
+    rejected_cells,
     write_mart,
     write_named_table,
     write_store,

@@ -51,6 +51,37 @@ def read_csv_table(spark: SparkSession, path: str, schema: StructType, bad_numbe
     return _declared(_text_columns(spark, path), schema, path, bad_numbers)
 
 
+def read_csv_checked(spark: SparkSession, path: str, schema: StructType, rejects: str = "_rejects") -> DataFrame:
+    """``read_csv_table`` that keeps bad cells beside the rows, in one read.
+
+    A bad cell is missing in its row, and ``rejects`` lists its file, column and text;
+    it is empty for a good row. ``good_rows`` and ``rejected_cells`` tell the two apart.
+    """
+    text = _text_columns(spark, path).select("*", F.col("_metadata.file_name").alias(rejects))
+    missing = [n for n in schema.names if n not in text.columns]
+    if missing:
+        raise ValueError(f"{path} lacks the columns {missing}")
+    cells = []
+    for f in schema.fields:
+        if not isinstance(f.dataType, StringType):
+            cell = F.col(f"`{f.name}`")
+            bad = cell.isNotNull() & cell.try_cast(f.dataType).isNull()
+            entry = F.struct(F.col(rejects).alias("file"), F.lit(f.name).alias("column"), cell.alias("text"))
+            cells.append(F.when(bad, entry))
+    found = F.array_compact(F.array(*cells)) if cells else F.array().cast("array<struct<file:string,column:string,text:string>>")
+    return text.select(*[_typed(f, "null") for f in schema.fields], found.alias(rejects))
+
+
+def good_rows(checked: DataFrame, rejects: str = "_rejects") -> DataFrame:
+    """Rows of ``read_csv_checked`` without a bad cell."""
+    return checked.where(F.size(rejects) == 0).drop(rejects)
+
+
+def rejected_cells(checked: DataFrame, rejects: str = "_rejects") -> DataFrame:
+    """``file``, ``column`` and ``text`` of every bad cell of ``read_csv_checked``."""
+    return checked.select(F.inline(rejects))
+
+
 def read_region_mapping(spark: SparkSession, path: str) -> DataFrame:
     """``region`` to ``grouped_region``."""
     return read_csv_table(spark, path, schemas.REGION_MAPPING)
@@ -171,6 +202,12 @@ def load_tables(
     return tables
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` was committed: its marker is the committer's own."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
 def write_mart(df: DataFrame, path: str, kind: str = "parquet") -> None:
     """Write a finished dataset as ``parquet`` or ``csv`` part files."""
     writer = df.write.mode("overwrite")
