@@ -11,6 +11,11 @@ from scenara.llm.common import table
 from scenara.session import checkpoint_folder
 
 
+#: Repeated passages of over fifty words are to go. Fifty words of prose are about 300 bytes, of
+#: short words 200; the query of the operator alone has a window of 400 bytes, which misses most.
+PASSAGE_BYTES = 200
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the current policy of the quality rules keeps."""
     return quality_rules.kept_documents(docs)
@@ -22,8 +27,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings of 400 bytes that occur more than once."""
-    return substring_dedup.trimmed_documents(docs)
+    """Documents without the strings of ``PASSAGE_BYTES`` bytes that occur more than once."""
+    return substring_dedup.trimmed_documents(docs, PASSAGE_BYTES)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
