@@ -42,6 +42,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """All columns of ``docs`` in the struct ``row``, whatever their names, beside ``columns``."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(row, *[c.alias(name) for name, c in columns.items()])
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` out of ``row``."""
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """``docs`` narrowed to ``doc_id``, ``text`` and a row key ``k1``, ``k2``.
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenara.llm.common import NO_ID, Rolling, keyed, mix, slices, stored, text_buffer, word_spans
+from scenara.llm.common import NO_ID, Rolling, keyed, mix, packed, slices, stored, text_buffer, unpacked, word_spans
 
 SHINGLE, SIMILAR = 5, 0.8
 SKETCHES, PICKED = 16, 2
@@ -425,7 +425,6 @@ def class_of_documents(docs: DataFrame) -> DataFrame:
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """One document of each class, with its own columns."""
     placed = near_classes(keyed(docs))
-    chosen = placed.select(F.col("class_k1").alias("_k1"), F.col("class_k2").alias("_k2")).distinct()
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keys = docs.withColumn("_k1", F.coalesce(F.col("doc_id"), F.lit(NO_ID))).withColumn("_k2", F.xxhash64(text))
-    return keys.join(chosen, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"]).select(*docs.columns)
+    chosen = placed.select(F.col("class_k1").alias("k1"), F.col("class_k2").alias("k2")).distinct()
+    keys = packed(docs, k1=F.coalesce(F.col("doc_id"), F.lit(NO_ID)), k2=F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    return unpacked(keys.join(chosen, ["k1", "k2"]).dropDuplicates(["k1", "k2"]), docs)

@@ -22,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scenara.llm.common import packed, unpacked
+
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 
@@ -143,7 +145,8 @@ def passes(failed: Column, policy: Policy) -> Column:
 
 def kept_documents(docs: DataFrame, policy: Policy = CORPUS) -> DataFrame:
     """The documents that a policy keeps, with their own columns only."""
-    return with_ledger(docs, "_ledger_").where(passes(F.col("_ledger_.failed"), policy)).drop("_ledger_")
+    judged = with_ledger(packed(docs, text=F.col("text")), "ledger")
+    return unpacked(judged.where(passes(F.col("ledger.failed"), policy)), docs)
 
 
 def ablations(entries: DataFrame, policy: Policy) -> DataFrame:

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scenara.llm.common import salted_rank, stored
+from scenara.llm.common import packed, salted_rank, stored, unpacked
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2.0
@@ -145,8 +145,7 @@ def mix_plan(sizes: DataFrame) -> DataFrame:
 
 def sized(docs: DataFrame) -> DataFrame:
     """``docs`` with its size ``_size`` and a hash ``_k`` that orders equal sizes."""
-    out = docs.withColumn("_size", word_count(F.col("text"))).withColumn("_k", F.xxhash64("doc_id", "text"))
-    return out if "source" in docs.columns else out.withColumn("source", F.lit(None).cast("string"))
+    return docs.withColumn("_size", word_count(F.col("text"))).withColumn("_k", F.xxhash64("doc_id", "text"))
 
 
 def spread(rows: DataFrame, plan: DataFrame, columns: list[str], salts: int) -> DataFrame:
@@ -175,8 +174,9 @@ def mix_counts(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with their own columns."""
-    rows = sized(docs)
+    source = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
+    rows = sized(packed(docs, doc_id=F.col("doc_id"), text=F.col("text"), source=source)).drop("text")
     sizes = stored(rows.select("source", F.col("_size").alias("size")), "words")
     plan = stored(mix_plan(sizes), "plan")
-    chosen = spread(rows, plan, docs.columns, max(8, sizes.count() // ROWS_A_SALT)).where(F.col("_mix.copies") > 0)
-    return chosen.withColumn("_mix", F.explode(F.sequence(F.lit(1), F.col("_mix.copies").cast("int")))).drop("_mix")
+    chosen = spread(rows, plan, ["row"], max(8, sizes.count() // ROWS_A_SALT)).where(F.col("_mix.copies") > 0)
+    return unpacked(chosen.select("row", F.explode(F.sequence(F.lit(1), F.col("_mix.copies").cast("int")))), docs)

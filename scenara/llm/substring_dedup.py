@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from scenara.llm.common import NO_ID, Rolling, slices, stored, text_buffer
 
@@ -286,7 +287,8 @@ def cut_documents(docs: DataFrame, window: int, group_runs: int, as_text: bool)
     """``docs`` (from ``prepared``) as ``row``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept``:
     the remaining bytes, or as text without the bytes of characters cut in two."""
     joined = docs.join(repeated_runs(docs, window, group_runs), ["k1", "k2"], "left")
-    schema = f"row {docs.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}"
+    sizes = [StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
+    schema = StructType([docs.schema["row"], *sizes, StructField("kept", StringType() if as_text else BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,7 +321,11 @@ def removal_digest(docs: DataFrame, window: int = WINDOW, group_runs: int = GROU
 
 
 def trimmed_documents(docs: DataFrame, window: int = WINDOW, group_runs: int = GROUP_RUNS) -> DataFrame:
-    """``docs`` with repeated strings removed from ``text``; ``n_chars``, if there, follows."""
+    """``docs`` with repeated strings removed from ``text``; ``n_chars``, if there, follows.
+
+    ``window`` is the shortest string that counts, in bytes: repeated passages of fifty
+    words are found at about 200.
+    """
     cut = cut_documents(prepared(docs), window, group_runs, True)
     values = {c: F.col(f"row.`{c}`") for c in docs.columns if c != "text"} | {"text": F.col("kept")}
     if "n_chars" in values:

@@ -35,8 +35,9 @@ def odd_docs(spark, odd_rows):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     base = spark.createDataFrame(odd_rows, schema)
     names = ["k1", "k2", "rank", "size", "n", "target", "copies", "failed", "kept", "token", "block", "id", "runs", "class_id", "n_words", "score"]
+    names += ["_size", "_k", "_rank", "_salt", "_row", "_n", "_mix", "_s", "_z", "_c", "_k1", "_k2", "_ledger_", "row", "ledger", "a.b"]
     for name in names:
-        base = base.selectExpr("*", f"'x' AS {name}")
+        base = base.selectExpr("*", f"'x' AS `{name}`")
     return base
 
 

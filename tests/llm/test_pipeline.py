@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import brute
 import corpus_pipeline
@@ -42,7 +43,7 @@ def test_stages(spark, documents, sf_dir, tmp_path):
     docs = after("substring_dedup")
     got = {r["doc_id"]: r for r in docs.collect()}
     assert docs.columns == documents.columns and len(got) == len(rows)
-    for r, (n_bytes, n_removed, *_) in zip(rows, brute.removed([r["text"] for r in rows], 400), strict=True):
+    for r, (n_bytes, n_removed, *_) in zip(rows, brute.removed([r["text"] for r in rows], corpus_pipeline.PASSAGE_BYTES), strict=True):
         assert len((got[r["doc_id"]]["text"] or "").encode()) == n_bytes - n_removed
 
     before = Counter(got)
@@ -59,6 +60,39 @@ def test_stages(spark, documents, sf_dir, tmp_path):
         assert len(part) == r["length"] and zlib.crc32(part.tobytes()) == r["ids_crc32"]
 
 
+def test_stage_finds_passages_of_fifty_words(spark, sf_dir):
+    """Passages of 51 to 60 words in two otherwise different texts each go; texts of their own stay."""
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(3, 7)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passages = [prose(n) for n in range(51, 61)]
+    texts = [f"{prose(80)} {p} {prose(70)}" for p in passages for _ in range(2)]
+    clean = [prose(400) for _ in range(20)]
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts + clean)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in dict(corpus_pipeline.STAGES)["substring_dedup"](spark, docs, sf_dir).collect()}
+    for i, (_, text, *_) in enumerate(rows):
+        if i < len(texts):
+            assert passages[i // 2] not in got[i]["text"] and len(got[i]["text"]) < len(text) - 200
+        else:
+            assert got[i]["text"] == text
+        assert got[i]["n_chars"] == len(got[i]["text"])
+
+
+def test_stages_keep_columns_of_any_name(spark, odd_docs, sf_dir):
+    """What a stage keeps has the values it came with, whatever its columns are called."""
+    docs = odd_docs.withColumn("text", F.when(F.col("doc_id") < 4, F.col("text")).otherwise(F.lit("line\n")))
+    given = {tuple(r) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        result = stage(spark, docs, sf_dir)
+        got = result.collect()
+        assert result.columns == docs.columns and got, name
+        if name != "substring_dedup":
+            assert {tuple(r) for r in got} <= given, name
+        else:
+            assert {r[3:] for r in got} <= {r[3:] for r in given} or all(r["a.b"] == "x" for r in got), name
+
+
 def test_stages_without_rows(spark, odd_docs, sf_dir):
     docs = odd_docs.where("false")
     for name, stage in corpus_pipeline.STAGES:
