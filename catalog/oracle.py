@@ -688,6 +688,11 @@ SELECT *, row_number() OVER (ORDER BY list_position([{lit(V.SCENARIO_BAR_LEVELS)
 FROM (SELECT scenario, kind, year, region, {strict('value')} FROM base GROUP BY scenario, kind, year, region)"""
 SQL["ensemble_csv_scan"] = "SELECT * FROM ensemble"
 SQL["named_store_scan"] = rollup("electricity", "scenario, technology, year")
+SQL["refreshed_scenario"] = rollup(
+    "(SELECT scenario, technology, year, CASE WHEN scenario LIKE '%LLS' THEN 2 * value ELSE value END AS value FROM electricity)",
+    "scenario, technology, year",
+)
+SQL["lookup_checked"] = SQL["rollup_region"]
 SQL["csv_store_scan"] = "SELECT * FROM literature_production"
 SQL["land_use"] = rounded("SELECT * FROM land_use", ["value"])
 SQL["ensemble_long"] = "SELECT * FROM ensemble_long"

@@ -18,6 +18,7 @@ from scenara.functions import floor_zero, if_else_strict, not_in, sum_exact, sum
 from scenara.operators import (
     as_levels,
     attach_mapping,
+    attach_unique,
     complete_cases,
     compare_pairs,
     composite_key,
@@ -43,7 +44,9 @@ from scenara.sources import (
     read_ensemble,
     read_named_table,
     read_ordered,
+    read_refreshed,
     read_region_mapping,
+    refresh_scenarios,
     rejected_cells,
     star,
     write_mart,
@@ -273,6 +276,14 @@ def rollup_region(spark, sf_dir):
     return rollup_sum(mapped, ["scenario", "grouped_region", "year"])
 
 
+@query
+def lookup_checked(spark, sf_dir):
+    """The same with a look-up that stops the query where it repeats a key."""
+    rows = star.long_rows(spark, sf_dir, "scenario", "region", "year")
+    mapped = attach_unique(rows, star.region_groups(spark, sf_dir), "region")
+    return rollup_sum(mapped, ["scenario", "grouped_region", "year"])
+
+
 @query
 def two_level_rollup(spark, sf_dir):
     by_region = rollup_sum(star.final_energy(spark, sf_dir), ["scenario", "region", "input", "year"])
@@ -514,6 +525,17 @@ def named_store_scan(spark, sf_dir):
     return rollup_sum(read_named_table(spark, base, "electricity"), ["scenario", "technology", "year"])
 
 
+@query
+def refreshed_scenario(spark, sf_dir):
+    """A stored table read after some of its scenarios were replaced."""
+    base = _scratch(spark)
+    table = star.electricity(spark, sf_dir)
+    refresh_scenarios(table, base, "electricity")
+    newer = table.where("scenario LIKE '%LLS'").withColumn("value", F.col("value") * 2)
+    refresh_scenarios(newer, base, "electricity")
+    return rollup_sum(read_refreshed(spark, base, "electricity"), ["scenario", "technology", "year"])
+
+
 @query
 def csv_store_scan(spark, sf_dir):
     """Write a literature series as CSV, read it with its declared schema."""

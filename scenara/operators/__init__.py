@@ -1,3 +1,4 @@
+from scenara.operators.audit import LookupAudit, attach_unique, unique_mapping  # noqa: F401
 from scenara.operators.compare import compare_pairs, diff_families, diff_from_scenario  # noqa: F401
 from scenara.operators.membership import drop_members, keep_members  # noqa: F401
 from scenara.operators.reshape import (  # noqa: F401

@@ -18,3 +18,4 @@ from scenara.sources.tables import (  # noqa: F401
     write_named_table,
     write_store,
 )
+from scenara.sources.versions import current_versions, drop_unused, read_refreshed, refresh_scenarios  # noqa: F401
