@@ -630,6 +630,7 @@ CHANGES = ["additions", "retirements", "add_adj", "ret_adj"]
 CUMULATIVE = ["cum_additions", "cum_retirements"]
 SQL["net_add_ret_keep_all"] = rounded("SELECT * FROM export_changes_all", CHANGES)
 SQL["retirements_repeated_rows"] = rounded("SELECT * FROM import_changes", CHANGES)
+SQL["retirements_any_years"] = SQL["retirements_repeated_rows"]
 SQL["net_add_ret_gaps"] = rounded("SELECT * FROM gappy_changes", CHANGES)
 SQL["cumulative_add_ret_gaps"] = rounded("SELECT * FROM gappy_cumulative", CHANGES + CUMULATIVE)
 CTES["gappy_kinds"] = rollup("gappy", "scenario, region, kind, year")

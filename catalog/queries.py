@@ -444,6 +444,16 @@ def retirements_repeated_rows(spark, sf_dir):
     fields = ("scenario", "region", "imported", "kind", "vintage", "year")
     rows = star.model_rows(spark, sf_dir, *fields, where=F.col("vintage") <= F.col("year"))
     rows = rows.withColumnRenamed("imported", "technology").withColumn("Units", F.lit("EJ"))
+    rows = convert_units(rows, V.EJ_MTPA, "MTPA")
+    return rounded(capacity.net_add_ret(rows, capacity.IMPORT_KEYS, years=star.MODEL_YEARS))
+
+
+@query
+def retirements_any_years(spark, sf_dir):
+    """The same summed by year first, for tables whose years are not known beforehand."""
+    fields = ("scenario", "region", "imported", "noun", "vintage", "year")
+    rows = star.model_rows(spark, sf_dir, *fields, where=F.col("vintage") <= F.col("year"))
+    rows = rows.withColumnRenamed("imported", "technology").withColumn("Units", F.lit("EJ"))
     return rounded(capacity.net_add_ret(convert_units(rows, V.EJ_MTPA, "MTPA"), capacity.IMPORT_KEYS))
 
 

@@ -5,7 +5,8 @@ Units. Rows of a finer grain are first summed (strictly) to one row per series,
 vintage and year, so that results never depend on the order of rows. Each
 window is then one vintage of one series and holds no more rows than there are
 years; all of them share one partitioning and one sort. ``unique=True`` states
-that a table has such rows already and saves the shuffle of that sum.
+that a table has such rows already and saves the shuffle of that sum; ``years``
+names the model's years and lets that sum share the shuffle of the windows.
 """
 
 from __future__ import annotations
@@ -45,9 +46,29 @@ def cumulative_capacity(totals: DataFrame) -> DataFrame:
     return totals.withColumn("cum_value", cumsum_strict("value", ["Units", "scenario", "sector", "region", "output"]))
 
 
-def _one_row(df: DataFrame, keys: Sequence[str], unique: bool) -> DataFrame:
-    """One row per series, vintage and year; partial sums run before the shuffle."""
-    return df if unique else rollup_sum(df, [*keys, "vintage", "year"])
+def _one_row(df: DataFrame, keys: Sequence[str], unique: bool, years: Sequence[int] | None) -> DataFrame:
+    """One row per series, vintage and year; partial sums run before the shuffle.
+
+    With ``years`` a vintage's years are slots of one aggregate by series and vintage, so that
+    the sums stay where the windows need them and no second shuffle follows. A row of another
+    year stops the query.
+    """
+    if unique:
+        return df
+    if years is None:
+        return rollup_sum(df, [*keys, "vintage", "year"])
+    slots = []
+    for year in years:
+        here = F.col("year") == year
+        found, value = F.count(F.when(here, F.lit(1))), F.when(here, F.col("value"))
+        total = F.when(F.count(value) == found, F.sum(value))
+        slots.append(F.struct(F.lit(year).alias("year"), total.alias("value"), found.alias("found")))
+    stray = F.count(F.when(~F.coalesce(F.col("year").isin(list(years)), F.lit(False)), F.lit(1)))
+    sums = df.groupBy(*keys, "vintage").agg(F.array(*slots).alias("_slots"), stray.alias("_stray"))
+    other = F.raise_error(F.lit("a row's year is not among the years given")).cast("boolean")
+    rows = sums.where(F.when(F.col("_stray") > 0, other).otherwise(True))
+    rows = rows.select(*keys, "vintage", F.explode("_slots").alias("_slot"))
+    return rows.where("_slot.found > 0").select(*keys, "vintage", "_slot.year", "_slot.value")
 
 
 def _by_year(keys: Sequence[str]) -> WindowSpec:
@@ -86,10 +107,14 @@ def additions(df: DataFrame, base_vintage: int = V.BASE_VINTAGE) -> DataFrame:
 
 
 def retirements(
-    df: DataFrame, keys: Sequence[str], base_vintage: int = V.BASE_VINTAGE, unique: bool = False
+    df: DataFrame,
+    keys: Sequence[str],
+    base_vintage: int = V.BASE_VINTAGE,
+    unique: bool = False,
+    years: Sequence[int] | None = None,
 ) -> DataFrame:
     """Decrease of each vintage from the year before."""
-    rows = _one_row(df.where(F.col("vintage") >= base_vintage), keys, unique)
+    rows = _one_row(df.where(F.col("vintage") >= base_vintage), keys, unique, years)
     return _with_retired(rows, keys, "retirements")
 
 
@@ -101,9 +126,10 @@ def natural_retirements(
     steepness: float = V.S_CURVE_STEEPNESS,
     lifetime: float = V.S_CURVE_LIFETIME,
     unique: bool = False,
+    years: Sequence[int] | None = None,
 ) -> DataFrame:
     """Expected stock of the base vintage along the S-curve and its yearly decrease."""
-    rows = _one_row(df.where(F.col("vintage") == base_vintage), keys, unique)
+    rows = _one_row(df.where(F.col("vintage") == base_vintage), keys, unique, years)
     return _with_natural(rows, keys, half_life, steepness, lifetime)
 
 
@@ -124,6 +150,7 @@ def net_add_ret(
     lifetime: float = V.S_CURVE_LIFETIME,
     keep_ret_only: bool = False,
     unique: bool = False,
+    years: Sequence[int] | None = None,
 ) -> DataFrame:
     """Netted additions and early retirements by series and year.
 
@@ -132,11 +159,11 @@ def net_add_ret(
     such rows are left out unless ``keep_ret_only``.
 
     One shuffle ages the vintages, one sums them, after the sum of repeated rows
-    unless they are ``unique``: neither the expected stock
+    unless they are ``unique`` or ``years`` are given: neither the expected stock
     nor the additions need a join.
     """
     is_new = F.col("vintage") > base_vintage
-    rows = _one_row(df.where(F.col("vintage") >= base_vintage), keys, unique)
+    rows = _one_row(df.where(F.col("vintage") >= base_vintage), keys, unique, years)
     aged = _with_retired(rows, keys, "_retired")
     aged = _with_natural(aged, keys, half_life, steepness, lifetime)
     # only the base vintage is expected to retire

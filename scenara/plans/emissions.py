@@ -2,13 +2,79 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenara import vocabulary as V
+from scenara.functions import sum_strict
 from scenara.operators import attach_mapping, complete_cases, rollup_groups, rollup_sum, union_by_name
 
 
+#: keys of the three tables that ``emission_grains`` makes in one pass
+GRAINS = {
+    "resource": ["scenario", "region", "resource", "subresource", "ghg", "year"],
+    "sector": ["scenario", "region", "sector", "ghg", "year"],
+    "land": ["scenario", "region", "year"],
+}
+
+
+def emission_grains(rows: DataFrame) -> DataFrame:
+    """Resource, sector and land-use amounts out of one table of emissions, by ``grain``.
+
+    One aggregate over grouping sets: the rows are read and joined once, each set sums
+    partially before the one shuffle. Keys that a grain does not have are null.
+    """
+    keys = ["scenario", "region", "resource", "subresource", "sector", "ghg", "year"]
+    is_sector, is_resource = F.grouping("sector") == 0, F.grouping("resource") == 0
+    grain = F.when(is_sector, "sector").when(is_resource, "resource").otherwise("land")
+    sets = [[F.col(k) for k in of] for of in GRAINS.values()]
+    return rows.groupingSets(sets, *keys).agg(sum_strict("value").alias("value"), grain.alias("grain"))
+
+
+def _complete_or_land(grains: DataFrame) -> DataFrame:
+    """Rows with all keys of their grain and a value; land-use rows as they are."""
+    whole = [
+        (F.col("grain") == name) & reduce(Column.__and__, [F.col(c).isNotNull() for c in [*GRAINS[name], "value"]])
+        for name in ("resource", "sector")
+    ]
+    return grains.where((F.col("grain") == "land") | whole[0] | whole[1])
+
+
+def _weighed(rows: DataFrame, factors: DataFrame, factor_col: str) -> DataFrame:
+    """Amounts of all grains as CO2-equivalents; rows of a gas without a factor drop out."""
+    land = F.col("grain") == "land"
+    factor = factors.select(F.col("ghg").alias("GHG"), F.col(factor_col).alias("_factor"))
+    named = rows.withColumnRenamed("ghg", "GHG").withColumn("_land", land)
+    weighed = attach_mapping(named, factor, "GHG").where(F.col("_land") | F.col("_factor").isNotNull())
+    scale = F.when(F.col("_land"), F.lit(V.CARBON_TO_CO2)).otherwise(F.col("_factor"))
+    return (
+        weighed.withColumn("value", F.col("value") * scale)
+        .withColumn("Units", F.when(F.col("_land"), "MtCO2").otherwise("MTCO2e"))
+        .withColumn("GHG", F.when(F.col("_land"), "CO2").otherwise(F.col("GHG")))
+        .drop("_factor", "_land")
+    )
+
+
+def all_from_grains(grains: DataFrame, factors: DataFrame, factor_col: str = "AR5all") -> DataFrame:
+    """``all_emissions`` out of ``emission_grains``, without a union."""
+    sector = F.when(F.col("grain") == "resource", F.col("subresource")).when(F.col("grain") == "sector", F.col("sector"))
+    rows = _complete_or_land(grains).withColumn("sector", F.coalesce(sector, F.lit(V.LAND_USE_SECTOR)))
+    weighed = _weighed(rows, factors, factor_col)
+    return weighed.select("Units", "scenario", "region", "sector", "GHG", "year", "value")
+
+
+def totals_from_grains(grains: DataFrame, factors: DataFrame, factor_col: str = "AR5all") -> DataFrame:
+    """``sector_totals`` out of ``emission_grains``, with land use as rows of ``grain`` land."""
+    sector = F.when(F.col("grain") == "resource", F.col("resource")).when(F.col("grain") == "sector", F.col("sector"))
+    rows = _complete_or_land(grains).withColumn("sector", F.coalesce(sector, F.lit(V.LAND_USE_SECTOR)))
+    # amounts of one gas meet across resources and sectors before they are weighed
+    source = F.when(F.col("grain") == "land", "land").otherwise("sector").alias("grain")
+    sums = rollup_sum(rows.select("scenario", "sector", "ghg", "year", source, "value"), ["scenario", "sector", "ghg", "year", "grain"])
+    return _weighed(sums, factors, factor_col).select("Units", "scenario", "sector", "GHG", "year", "grain", "value")
+
+
 def land_use(df: DataFrame) -> DataFrame:
     """Land-use carbon as CO2 by region."""
     return (

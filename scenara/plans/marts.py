@@ -31,6 +31,8 @@ class Options:
     power_net_factor: ``EJ_TWH_REPORTED`` reports the net of S7B in TWh.
     ensemble_gas_factor: ``1.0`` leaves the ensemble's gas in EJ in S12.
     unique_vintages: the vintage tables have one row per series, vintage and year.
+    vintage_years: the years of the vintage tables; repeated rows are then summed
+        in the shuffle that ageing needs anyway.
     unique_flows: ``False`` pairs repeated rows of grouped flows as a full join
         does, instead of stopping at them.
     """
@@ -41,6 +43,7 @@ class Options:
     power_net_factor: float = 1.0
     ensemble_gas_factor: float = V.EJ_TCF
     unique_vintages: bool = False
+    vintage_years: Sequence[int] | None = None
     unique_flows: bool = True
     base_vintage: int = V.BASE_VINTAGE
     half_life: float = V.S_CURVE_HALF_LIFE
@@ -68,6 +71,9 @@ class Workspace:
         self._checkpoint = checkpoint
         self._known: dict[str, DataFrame] = {}
 
+    def __contains__(self, name: str) -> bool:
+        return name in self._tables or name in DERIVED
+
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._known:
             self._known[name] = self._build(name)
@@ -92,7 +98,7 @@ class Workspace:
 def _changes(ws: Workspace, vintages: str, keys: Sequence[str]) -> DataFrame:
     o = ws.options
     ageing = o.base_vintage, o.half_life, o.steepness, o.lifetime
-    kept = {"keep_ret_only": o.keep_ret_only, "unique": o.unique_vintages}
+    kept = {"keep_ret_only": o.keep_ret_only, "unique": o.unique_vintages, "years": o.vintage_years}
     return capacity.net_add_ret(ws[vintages], keys, *ageing, **kept)
 
 
@@ -112,6 +118,30 @@ def _ccs(ws: Workspace) -> DataFrame:
     return energy.collapse_gas_ccs(ws["primary_energy_ccs"], ws.options.collapsed_units)
 
 
+def _all_emissions(ws: Workspace) -> DataFrame:
+    if "emission_grains" in ws:
+        return emissions.all_from_grains(ws["emission_grains"], ws["gas_factors"])
+    inputs = [ws[name] for name in ("resource_emissions", "sector_emissions", "land_use_emissions", "gas_factors")]
+    return emissions.all_emissions(*inputs)
+
+
+def _emissions_by_sector(ws: Workspace) -> DataFrame:
+    if "emission_grains" in ws:
+        return emissions.totals_from_grains(ws["emission_grains"], ws["gas_factors"])
+    return emissions.sector_totals(ws["resource_emissions"], ws["sector_emissions"], ws["gas_factors"])
+
+
+def _by_group(ws: Workspace, co2_only: bool) -> DataFrame:
+    # totals made in one pass hold the land-use rows already
+    land = None if "emission_grains" in ws else ws["land_use_emissions"]
+    return emissions.by_group(emissions.sector_rows(ws["emissions_by_sector"], co2_only, land))
+
+
+def _fossil_co2(ws: Workspace) -> DataFrame:
+    totals = ws["emissions_by_sector"]
+    return emissions.fossil_co2(totals.where(F.col("grain") != "land") if "emission_grains" in ws else totals)
+
+
 DERIVED: dict[str, Callable[[Workspace], DataFrame]] = {
     "global_resources": lambda ws: energy.global_resources(ws["resource_production"]),
     "traded_flows": lambda ws: flows.traded_flows(ws["traded_gas"]),
@@ -169,28 +199,20 @@ DERIVED: dict[str, Callable[[Workspace], DataFrame]] = {
         ws["resource_production"], ws["literature_region_groups"]
     ),
     "gas_use_for_literature": lambda ws: energy.gas_use_for_literature(_ccs(ws), ws["literature_region_groups"]),
-    "all_emissions": lambda ws: emissions.all_emissions(
-        ws["resource_emissions"], ws["sector_emissions"], ws["land_use_emissions"], ws["gas_factors"]
-    ),
+    "all_emissions": _all_emissions,
     "grouped_emissions": lambda ws: emissions.grouped_emissions(ws["all_emissions"], ws["region_groups"]),
     "emissions_by_gas": lambda ws: emissions.by_gas(ws["all_emissions"]),
     "global_emissions": lambda ws: emissions.global_emissions(ws["emissions_by_gas"]),
     "global_co2": lambda ws: emissions.global_co2(ws["emissions_by_gas"]),
     "global_non_co2": lambda ws: emissions.global_non_co2(ws["emissions_by_gas"]),
-    "emissions_by_sector": lambda ws: emissions.sector_totals(
-        ws["resource_emissions"], ws["sector_emissions"], ws["gas_factors"]
-    ),
-    "co2_by_group": lambda ws: emissions.by_group(
-        emissions.sector_rows(ws["emissions_by_sector"], co2_only=True, land=ws["land_use_emissions"])
-    ),
-    "co2e_by_group": lambda ws: emissions.by_group(
-        emissions.sector_rows(ws["emissions_by_sector"], co2_only=False, land=ws["land_use_emissions"])
-    ),
+    "emissions_by_sector": _emissions_by_sector,
+    "co2_by_group": lambda ws: _by_group(ws, co2_only=True),
+    "co2e_by_group": lambda ws: _by_group(ws, co2_only=False),
     "gas_system_rows": lambda ws: emissions.gas_system_rows(
         ws["technology_emissions"], ws["resource_emissions"], ws["gas_factors"]
     ),
     "gas_by_group": lambda ws: emissions.gas_by_group(ws["gas_system_rows"]),
-    "fossil_co2": lambda ws: emissions.fossil_co2(ws["emissions_by_sector"]),
+    "fossil_co2": _fossil_co2,
     "warming": lambda ws: ensemble.warming_category(ws["ensemble"]),
     "ensemble_gas": lambda ws: ensemble.overlay_extract(
         ensemble.extract_variable(ws["ensemble"], V.PRIMARY_GAS_VARIABLE)

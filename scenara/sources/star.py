@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from scenara import vocabulary as V
 from scenara.operators import local_table
+from scenara.plans import emissions
 
 # return flag and line status of each scenario
 SCENARIO_CODES = {
@@ -117,6 +118,10 @@ def model_year(date: str) -> str:
     return f"CAST(IF(year({date}) = 2001, 2050, 2015 + (year({date}) - 1995) * 5) AS INT)"
 
 
+#: every year that ``model_year`` gives for the dates of the orders and lines, 1992 to 2001
+MODEL_YEARS = [*range(2000, 2045, 5), 2050]
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(STAR_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
@@ -303,27 +308,22 @@ def resource_production(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.lit("EJ").alias("Units"), *rows.columns)
 
 
-def _emitted(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
-    """Emissions by the wanted fields, out of one base for resources, sectors and land use.
-
-    The rows come out of an ``explode``, below which no reader's filter moves. So
-    the base is the same plan for all readers within a query, which then scans
-    and joins the lines once and reuses the sum's shuffle.
-    """
-    keys = ["scenario", "region", "emitter", "resource", "kind", "gas", "year"]
-    base = model_rows(spark, sf_dir, *keys)
-    rows = base.select(F.explode(F.array(F.struct(*keys, "value"))).alias("row")).select("row.*")
-    return rows.groupBy(*fields).agg(F.sum("value").alias("value"))
+def emission_grains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resource, sector and land-use emissions out of one pass over the order lines."""
+    labels = {"emitter": "sector", "gas": "ghg"}
+    rows = long_rows(spark, sf_dir, "scenario", "region", "emitter", "resource", "kind", "gas", "year")
+    packed = F.concat("resource", F.lit(" "), F.lower("kind"))
+    return emissions.emission_grains(rows.withColumnsRenamed(labels).withColumn("subresource", packed))
 
 
 def sector_emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _emitted(spark, sf_dir, "scenario", "region", "emitter", "gas", "year")
+    rows = model_rows(spark, sf_dir, "scenario", "region", "emitter", "gas", "year")
     rows = rows.withColumnsRenamed({"emitter": "sector", "gas": "ghg"})
     return rows.select(F.lit("Tg").alias("Units"), *rows.columns)
 
 
 def resource_emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _emitted(spark, sf_dir, "scenario", "region", "resource", "kind", "gas", "year").select(
+    return model_rows(spark, sf_dir, "scenario", "region", "resource", "kind", "gas", "year").select(
         F.lit("Tg").alias("Units"),
         "scenario",
         "region",
@@ -347,7 +347,7 @@ def technology_emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def land_use_emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _emitted(spark, sf_dir, "scenario", "region", "year")
+    return model_rows(spark, sf_dir, "scenario", "region", "year")
 
 
 def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -445,5 +445,6 @@ BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def model_tables(spark: SparkSession, sf_dir: str) -> dict[str, Callable[[], DataFrame]]:
-    """Loaders of every model table, by name."""
-    return {name: partial(build, spark, sf_dir) for name, build in BUILDERS.items()}
+    """Loaders of every model table, by name, and of the emissions that one pass makes at all grains."""
+    builders = {**BUILDERS, "emission_grains": emission_grains}
+    return {name: partial(build, spark, sf_dir) for name, build in builders.items()}

@@ -145,6 +145,26 @@ def test_unique_rows_save_a_shuffle(spark):
     assert [p.count("Exchange hashpartitioning") for p in plans] == [3, 2]
 
 
+def test_known_years_save_a_shuffle(spark):
+    """Sums of repeats in slots by year equal those by row, gaps included, with two shuffles."""
+    rng, years = random.Random(5), list(range(2015, 2050, 5))
+    data = [
+        (r, v, y, None if rng.random() < 0.05 else float(rng.randint(0, 40)))
+        for r in ("a", "b", None)
+        for v in years
+        for y in range(v, 2050, 5)
+        for _ in range(rng.randint(0, 3))
+    ]
+    df = frame(spark, data).repartition(3)
+    slots, plain = (capacity.net_add_ret(df, KEYS, years=y) for y in (years, None))
+    assert sorted(map(str, slots.collect())) == sorted(map(str, plain.collect())) != []
+    plan = slots._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 2
+    for year in (2016, None):
+        with pytest.raises(Exception, match="not among the years"):
+            capacity.retirements(frame(spark, [*data, ("a", 2015, year, 1.0)]), KEYS, years=years).collect()
+
+
 def test_netted_changes_exclude_each_other(spark):
     rng = random.Random(9)
     data = [(r, v, y, float(rng.randint(0, 40))) for r in "ab" for v in range(2015, 2050, 5) for y in range(v, 2055, 5)]

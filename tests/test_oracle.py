@@ -89,7 +89,7 @@ def test_net_of_many_items_has_no_window(spark, sf_dir):
 
 @pytest.mark.parametrize(
     ("name", "scans", "merges"),
-    [("ensemble_gas", 1, 1), ("co2_by_sector", 1, 1), ("co2e_by_sector", 1, 1), ("global_emissions", 1, 1), ("mart_s13", 2, 2)],
+    [("ensemble_gas", 1, 1), ("co2_by_sector", 1, 1), ("co2e_by_sector", 1, 1), ("global_emissions", 1, 1), ("grouped_emissions", 1, 1), ("co2_equivalent", 1, 1), ("mart_s13", 2, 2)],
 )
 def test_lines_are_joined_once(spark, sf_dir, name, scans, merges):
     """Scans of the order lines and merge joins that an executed plan does not reuse."""
@@ -100,6 +100,14 @@ def test_lines_are_joined_once(spark, sf_dir, name, scans, merges):
     assert plan.count("SortMergeJoin") <= merges
 
 
+def test_emissions_take_one_branch(spark, sf_dir):
+    """No union of the three kinds of emissions; land use alone reads no part and no gas."""
+    plan = QUERIES["co2e_by_sector"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and "Expand" in plan and plan.count("FileScan parquet [l_orderkey") == 1
+    plan = QUERIES["land_use"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "p_partkey" not in plan and "o_orderpriority" not in plan
+
+
 def test_scan_reads_only_needed_columns(spark, sf_dir):
     plan = QUERIES["global_capacity"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     lines = [s for s in re.findall(r"ReadSchema: struct<([^>]*)>", plan) if "l_orderkey" in s]
