@@ -57,18 +57,26 @@ def _one_row(df: DataFrame, keys: Sequence[str], unique: bool, years: Sequence[i
         return df
     if years is None:
         return rollup_sum(df, [*keys, "vintage", "year"])
-    slots = []
-    for year in years:
-        here = F.col("year") == year
-        found, value = F.count(F.when(here, F.lit(1))), F.when(here, F.col("value"))
-        total = F.when(F.count(value) == found, F.sum(value))
-        slots.append(F.struct(F.lit(year).alias("year"), total.alias("value"), found.alias("found")))
-    stray = F.count(F.when(~F.coalesce(F.col("year").isin(list(years)), F.lit(False)), F.lit(1)))
-    sums = df.groupBy(*keys, "vintage").agg(F.array(*slots).alias("_slots"), stray.alias("_stray"))
+    if len(years) > 63:
+        raise ValueError("at most 63 years, one bit of a long for each")
+    number = F.array_position(F.array(*map(F.lit, years)), F.col("year")).cast("int") - 1
+    rows = df.withColumn("_at", F.nullif(number, F.lit(-1)))
+    bit = F.expr("shiftleft(1L, _at)")
+    sums = rows.groupBy(*keys, "vintage").agg(
+        *[F.sum(F.when(F.col("_at") == i, F.col("value"))).alias(f"_sum{i}") for i in range(len(years))],
+        F.bit_or(bit).alias("_found"),
+        F.coalesce(F.bit_or(F.when(F.col("value").isNull(), bit)), F.lit(0)).alias("_unknown"),
+        F.count(F.when(F.col("_at").isNull(), F.lit(1))).alias("_stray"),
+    )
+    has = lambda mask, i: F.col(mask).bitwiseAND(F.lit(1 << i)) != 0
+    slots = [
+        F.struct(F.lit(y).alias("year"), F.when(~has("_unknown", i), F.col(f"_sum{i}")).alias("value"), has("_found", i).alias("found"))
+        for i, y in enumerate(years)
+    ]
     other = F.raise_error(F.lit("a row's year is not among the years given")).cast("boolean")
     rows = sums.where(F.when(F.col("_stray") > 0, other).otherwise(True))
-    rows = rows.select(*keys, "vintage", F.explode("_slots").alias("_slot"))
-    return rows.where("_slot.found > 0").select(*keys, "vintage", "_slot.year", "_slot.value")
+    rows = rows.select(*keys, "vintage", F.explode(F.array(*slots)).alias("_slot"))
+    return rows.where("_slot.found").select(*keys, "vintage", "_slot.year", "_slot.value")
 
 
 def _by_year(keys: Sequence[str]) -> WindowSpec:

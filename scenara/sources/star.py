@@ -309,9 +309,12 @@ def resource_production(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def emission_grains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Resource, sector and land-use emissions out of one pass over the order lines."""
+    """Resource, sector and land-use emissions out of one pass over the order lines.
+
+    Lines are summed by all keys first, so that only those few sums are repeated by grain.
+    """
     labels = {"emitter": "sector", "gas": "ghg"}
-    rows = long_rows(spark, sf_dir, "scenario", "region", "emitter", "resource", "kind", "gas", "year")
+    rows = model_rows(spark, sf_dir, "scenario", "region", "emitter", "resource", "kind", "gas", "year")
     packed = F.concat("resource", F.lit(" "), F.lower("kind"))
     return emissions.emission_grains(rows.withColumnsRenamed(labels).withColumn("subresource", packed))
 
