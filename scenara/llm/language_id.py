@@ -9,7 +9,8 @@ probabilities are the means over its windows, weighted by their bytes.
 
 The weights (under 200 kB) go to every task; texts are not shuffled. The sample
 is chosen by hash on ids alone and has at most ``SAMPLE_DOCS`` rows a language,
-``SAMPLE_ALL`` in all and ``SAMPLE_CHARS`` characters of each.
+``SAMPLE_ALL`` in all (twice that, if ids repeat), and ``SAMPLE_WINDOWS`` windows of each, spread
+evenly from the first to the last of its whole text; short windows are learned from too.
 
 Defined results: ``und`` and score 0 where the text is missing, empty or has no
 letter, or where no labelled row exists. Rows without ``doc_id`` are not held
@@ -22,12 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenara.llm.common import slices, text_buffer
 
-SAMPLE_DOCS, SAMPLE_ALL, SAMPLE_CHARS = 250, 20_000, 2048
+SAMPLE_DOCS, SAMPLE_ALL, SAMPLE_WINDOWS = 250, 20_000, 8
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -115,27 +116,38 @@ def held_out(docs: DataFrame) -> DataFrame:
     return docs.withColumn("held_out", F.coalesce(remainder == 0, F.lit(False)))
 
 
-def training_sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """Bounded list of (lang, text), chosen by a hash of the id within each language."""
+def spread_windows(text: str) -> Column:
+    """At most ``SAMPLE_WINDOWS`` of the text's byte windows, from all of its length."""
+    data = F.col(text).cast("binary")
+    count = F.ceil(F.octet_length(text) / WINDOW)
+    taken = F.least(count, F.lit(SAMPLE_WINDOWS))
+    at = lambda i: F.floor(i * (count - 1) / F.greatest(taken - 1, F.lit(1))) * WINDOW
+    windows = F.transform(F.sequence(F.lit(0), taken.cast("int") - 1), lambda i: F.substring(data, at(i).cast("int") + 1, F.lit(WINDOW)))
+    return F.when(count > 0, windows).otherwise(F.array().cast("array<binary>"))
+
+
+def training_sample(docs: DataFrame) -> list[tuple[str, bytes]]:
+    """Bounded list of (lang, window), the documents chosen by a hash of the id within each language."""
     known = held_out(docs.select("doc_id", "lang")).where(~F.col("held_out") & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
     ranked = known.withColumn("h", F.xxhash64("doc_id")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
     chosen = ranked.where(F.col("r") <= SAMPLE_DOCS).orderBy("r", "lang").limit(SAMPLE_ALL).select("doc_id").distinct()
-    texts = docs.select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    texts = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     # at most SAMPLE_ALL ids: a bounded build side
-    got = texts.join(F.broadcast(chosen), "doc_id").distinct().orderBy("doc_id", "lang", "text").limit(2 * SAMPLE_ALL)
-    return [(r["lang"], r["text"]) for r in got.collect()]
+    got = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", spread_windows("text").alias("windows"))
+    got = got.distinct().orderBy("doc_id", "lang", "windows").limit(2 * SAMPLE_ALL)
+    return [(r["lang"], bytes(w)) for r in got.collect() for w in r["windows"]]
 
 
-def train(sample: list[tuple[str, str]]) -> tuple[list[str], ByteNetwork | None]:
+def train(sample: list[tuple[str, bytes]]) -> tuple[list[str], ByteNetwork | None]:
     names = sorted({lang for lang, _ in sample})
     if not names:
         return [], None
-    data, offsets = text_buffer(pa.array([text for _, text in sample], pa.string()))
-    x, row, used = windows_of(data, offsets)
+    data = np.frombuffer(b"".join(window for _, window in sample), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(window) for _, window in sample])])
+    x, row, _ = windows_of(data, offsets)
     y = np.array([names.index(lang) for lang, _ in sample])[row]
     network = ByteNetwork(len(names))
-    whole = used >= min(64, WINDOW)
-    network.fit(x[whole], y[whole]) if whole.any() else network.fit(x, y)
+    network.fit(x, y)
     return names, network
 
 

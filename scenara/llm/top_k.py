@@ -10,7 +10,9 @@ these are scored exactly, and those at or above the cutoff are ranked.
 Vectors are packed into blocks of bounded size. Query blocks meet all candidate
 blocks in an equi-join on (query block, share of the candidates), so both sides
 may grow without being broadcast, and no task holds more than a few blocks.
-Components become floor(256 * x), so that all sums are exact integers.
+Components become floor(256 * x). Blocks whose scores stay below 2**53 are multiplied as doubles,
+which is exact for them; blocks of larger components as 64-bit integers. Scores
+that might not fit a long stop the query.
 
 Defined results: vectors that are missing, empty or hold a missing or
 non-finite component take no part; vectors of different length are not compared.
@@ -67,6 +69,17 @@ def blocks_of(vectors: DataFrame) -> DataFrame:
     return vectors.select("id", "q").mapInArrow(run, BLOCKS)
 
 
+def integral(queries: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The blocks in a type whose products and sums are exact."""
+    largest = lambda cells: int(np.abs(cells).max(initial=0))
+    bound = queries.shape[1] * largest(queries) * largest(items)
+    if bound < 2**53:
+        return queries, items
+    if bound >= 2**63:
+        raise OverflowError("scores of these components may not fit a long")
+    return queries.astype(np.int64), items.astype(np.int64)
+
+
 def partial_scores(queries: np.ndarray, items: np.ndarray) -> list[np.ndarray]:
     """One matrix for each slice of the coordinates; their sum is the score."""
     return [queries[:, part] @ items[:, part].T for part in np.array_split(np.arange(queries.shape[1]), min(SLICES, queries.shape[1]))]
@@ -91,7 +104,7 @@ def above_cutoff(queries: np.ndarray, items: np.ndarray, own: np.ndarray, cutoff
     parts = partial_scores(queries, items)
     reach = np.zeros(parts[0].shape, bool)
     for part in parts:
-        reach |= part >= np.floor(cutoff / len(parts))[:, None]
+        reach |= part >= (cutoff // len(parts))[:, None]
     reach &= ~own
     q, c = np.nonzero(reach)
     score = np.einsum("ij,ij->i", queries[q], items[c]) if len(parts[0]) * len(q) < 2**22 else sum(p[q, c] for p in parts)
@@ -112,8 +125,9 @@ def scored_pairs(pairs: DataFrame, k: int) -> DataFrame:
                 left = np.frombuffer(value("q_cells"), np.float64).reshape(-1, dim)
                 right = np.frombuffer(value("cells"), np.float64).reshape(-1, dim)
                 own = ids[:, None] == items[None, :]
+                left, right = integral(left, right)
                 if late:
-                    q, c, score = above_cutoff(left, right, own, np.array(value("cutoff"), np.float64))
+                    q, c, score = above_cutoff(left, right, own, np.array(value("cutoff"), np.int64))
                 else:
                     q, c, score = first_lists(left, right, own, k)
                     order = np.lexsort((-score, q))
@@ -145,9 +159,9 @@ def top_k(rows: DataFrame, is_query: Column, vector: str = "vector", k: int = 5)
     by_query = Window.partitionBy("query_key").orderBy(F.col("score").desc(), "vec_id")
     kth = first.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
     cut = kth.groupBy("query_key").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("low"))
-    lowest = F.lit(-(2.0**60))
+    lowest = F.lit(-(2**63) + 1)
     each = packed.select("q_block", F.posexplode("q_keys").alias("at", "query_key")).join(cut, "query_key", "left")
-    cutoffs = each.groupBy("q_block").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce(F.col("low").cast("double"), lowest).alias("low")))), lambda s: s["low"]).alias("cutoff"))
+    cutoffs = each.groupBy("q_block").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce("low", lowest).alias("low")))), lambda s: s["low"]).alias("cutoff"))
     later = stored(spread.join(cutoffs, "q_block"), "cutoffs")
     second = scored_pairs(wide.join(later, ["q_block", "dim", "share"]), k)
     ranked = second.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import brute
 from scenara.llm import near_dedup, packing, source_mix, substring_dedup, token_counts, tokens, top_k
@@ -290,3 +291,28 @@ def test_top_k_odd(spark):
         (0, 1): (1, 0), (0, 2): (2, 0), (50, 1): (8, 256 * 256 * 8), (100, 1): (10, 128 * 256 - 128 * 25), (100, 2): (0, 0),
     }
     assert top_k.top_k(df.where("false"), df["id"] % 50 == 0).count() == 0
+
+
+def test_top_k_large_components(spark):
+    """Scores beyond 2**53 are exact; those beyond a long stop the query."""
+    rng = np.random.default_rng(5)
+    cells = rng.integers(-(2**28), 2**28, (40, 4))
+    cells[1], cells[2] = cells[0] + [0, 0, 0, 1], cells[0]
+    rows = [(i, [float(c) / 256 for c in v]) for i, v in enumerate(cells)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    got = [tuple(r) for r in top_k.top_k(df, df["id"] % 20 == 0).orderBy("query_id", "rank").collect()]
+    want = []
+    for q in (0, 20):
+        scored = sorted((-sum(int(a) * int(b) for a, b in zip(cells[q], v, strict=True)), i) for i, v in enumerate(cells) if i != q)
+        want += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored[:5], 1)]
+    assert got == want and max(s for *_, s in got) > 2**53
+    # whole blocks stay exact up to the bound of a long
+    with pytest.raises(Exception, match="may not fit a long"):
+        top_k.top_k(spark.createDataFrame([(0, [2.0**40]), (1, [2.0**40])], df.schema), F.col("id") == 0).collect()
+
+
+def test_top_k_repeated_id_with_other_vectors(spark):
+    """Each vector of a repeated id is a query of its own; none is a candidate of its id."""
+    df = spark.createDataFrame([(0, [1.0]), (0, [-1.0]), (1, [2.0]), (2, [-2.0])], "id long, vector array<double>")
+    got = sorted(tuple(r) for r in top_k.top_k(df, df["id"] == 0, k=1).collect())
+    assert got == [(0, 1, 1, 2 * 65536), (0, 1, 2, 2 * 65536)]

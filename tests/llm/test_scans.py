@@ -1,6 +1,7 @@
 """License scan, quality rules, chat format and language ID."""
 
 import math
+import zlib
 
 import pytest
 
@@ -142,6 +143,51 @@ def test_language_held_out(documents):
     assert all(0 <= r["score"] <= 1 and not math.isnan(r["score"]) for r in got.values())
 
 
+def test_language_equals_plain_loops(spark, documents):
+    """Predictions against a forward pass written out value by value."""
+    names, network = language_id.train(language_id.training_sample(documents))
+    *filters, out, bias = network.weights
+    texts = ["", "ok", "Straße über " * 3, "the cat sat on the mat. " * 30, "12 34", None, "a" * 256, "b" * 257]
+
+    def forward(window):
+        cells = [b + 32 if 65 <= b <= 90 else b for b in window] + [32] * (language_id.WINDOW - len(window))
+        hidden = []
+        for table in filters:
+            width = len(table)
+            for f in range(language_id.FILTERS):
+                places = (sum(float(table[j][cells[i + j]][f]) for j in range(width)) for i in range(len(cells) - width + 1))
+                hidden.append(max(0.0, max(places)))
+        z = [sum(h * float(out[i][c]) for i, h in enumerate(hidden)) + float(bias[c]) for c in range(len(names))]
+        e = [math.exp(v - max(z)) for v in z]
+        return [v / sum(e) for v in e]
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(df, names, network).collect()}
+    for i, text in enumerate(texts):
+        if not any(c.isalpha() for c in text or ""):
+            assert got[i] == ("und", 0.0)
+            continue
+        data = text.encode()
+        mean = [0.0] * len(names)
+        for a in range(0, len(data), language_id.WINDOW):
+            window = data[a : a + language_id.WINDOW]
+            mean = [m + p * len(window) / len(data) for m, p in zip(mean, forward(window), strict=True)]
+        assert got[i][0] == names[mean.index(max(mean))]
+        assert math.isclose(got[i][1], max(mean), abs_tol=1e-4)
+
+
+def test_language_sample_takes_windows_of_whole_texts(spark):
+    """The last window of a long text is learned from, and a short text; a repeated id keeps both languages."""
+    long = "x" * 10_000 + "end"
+    df = spark.createDataFrame([(i, t, lang) for i in range(20) for t, lang in ((long, "a"), ("hi", "b"))], "doc_id long, text string, lang string")
+    sample = language_id.training_sample(df)
+    assert {lang for lang, _ in sample} == {"a", "b"}
+    assert ("a", long.encode()[-(len(long) % 256) :]) in sample and ("b", b"hi") in sample
+    held = {i for i in range(20) if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert sum(lang == "b" for lang, _ in sample) == 20 - len(held)
+    assert max(len(w) for _, w in sample) <= language_id.WINDOW
+
+
 def test_language_odd(odd_docs):
     names, network = language_id.train(language_id.training_sample(odd_docs))
     got = [(r["doc_id"], r["lang_pred"], r["score"]) for r in language_id.identify(odd_docs, names, network).collect()]
