@@ -1,15 +1,18 @@
 """Exact top-k inner products by a uniform threshold in three phases.
 
 The coordinates of a vector are dealt to ``SLICES`` lists; an item's score is
-the sum of its partial scores. First, every list gives its best items for a query
-and these are scored; the k-th best of all is a cutoff that no member of the
-true top k can miss. Second, an item that reaches the cutoff has a partial score
-of at least cutoff / slices in some list; only such items are collected. Third,
-these are scored exactly, and those at or above the cutoff are ranked.
-
-Vectors are packed into blocks of bounded size. Query blocks meet all candidate
-blocks in an equi-join on (query block, share of the candidates), so both sides
-may grow without being broadcast, and no task holds more than a few blocks.
+the sum of its partial scores. First, the lists of one block in ``SEED`` give their best
+items for a query and these are scored: the k-th best of them is a cutoff that no
+member of the true top k can miss, whichever blocks it came from. Second, an item
+that reaches the cutoff has a partial score of at least cutoff / slices in some
+list; over all blocks, only such items are collected. Third, these are scored
+exactly, and the k best of each block that reach the cutoff are ranked. A pair is so
+scored once, and twice in the seed blocks only; a loose cutoff costs time, not rows.
+
+Vectors are packed into blocks bounded in rows and bytes. Query blocks and candidate
+blocks meet in the cells of a grid: a query block is sent once for each column, a
+candidate block once for each row, and a cell holds a few blocks of either. Both sides
+may grow without being broadcast.
 Components become floor(256 * x). Blocks whose scores stay below 2**53 are multiplied as doubles,
 which is exact for them; blocks of larger components as 64-bit integers. Scores
 that might not fit a long stop the query.
@@ -33,7 +36,9 @@ from pyspark.sql import functions as F
 from scenara.llm.common import stored
 
 SLICES = 4
-BLOCK = 2048
+BLOCK, BLOCK_BYTES = 2048, 4 << 20
+SEED = 16
+CELL = 4
 SCALE = 256
 
 BLOCKS = "block long, dim int, ids array<long>, cells binary"
@@ -48,7 +53,7 @@ def usable(rows: DataFrame, vector: str) -> DataFrame:
 
 
 def blocks_of(vectors: DataFrame) -> DataFrame:
-    """Vectors of one length packed into blocks of at most ``BLOCK`` rows."""
+    """Vectors of one length packed into blocks of at most ``BLOCK`` rows and ``BLOCK_BYTES``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -59,8 +64,9 @@ def blocks_of(vectors: DataFrame) -> DataFrame:
             start = np.concatenate([[0], np.cumsum(sizes)])
             for dim in np.unique(sizes):
                 rows = np.flatnonzero(sizes == dim)
-                for i in range(0, len(rows), BLOCK):
-                    part = rows[i : i + BLOCK]
+                most = max(1, min(BLOCK, BLOCK_BYTES // (8 * int(dim))))
+                for i in range(0, len(rows), most):
+                    part = rows[i : i + most]
                     cells = flat[(start[part][:, None] + np.arange(dim)[None, :])]
                     columns = [pa.array([number]), pa.array([dim], pa.int32()), pa.array([ids.take(pa.array(part)).to_pylist()], pa.list_(pa.int64())), pa.array([cells.astype(np.float64).tobytes()], pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, ["block", "dim", "ids", "cells"])
@@ -113,7 +119,7 @@ def above_cutoff(queries: np.ndarray, items: np.ndarray, own: np.ndarray, cutoff
 
 
 def scored_pairs(pairs: DataFrame, k: int) -> DataFrame:
-    """Hits of one phase from joined blocks; a column ``cutoff`` selects the later phases."""
+    """The k best hits of each query in each block, of one phase; a column ``cutoff`` selects the later ones."""
     late = "cutoff" in pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,9 +136,10 @@ def scored_pairs(pairs: DataFrame, k: int) -> DataFrame:
                     q, c, score = above_cutoff(left, right, own, np.array(value("cutoff"), np.int64))
                 else:
                     q, c, score = first_lists(left, right, own, k)
-                    order = np.lexsort((-score, q))
-                    rank = np.arange(len(q)) - np.searchsorted(q[order], q[order])
-                    q, c, score = (x[order][rank < k] for x in (q, c, score))
+                # no more than k of a block can be among the k best of all
+                order = np.lexsort((items[c], -score, q))
+                rank = np.arange(len(q)) - np.searchsorted(q[order], q[order])
+                q, c, score = (x[order][rank < k] for x in (q, c, score))
                 columns = [pa.array(ids[q]), pa.array(keys[q]), pa.array(items[c]), pa.array(score.astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, [p.split()[0] for p in HITS.split(", ")])
 
@@ -150,19 +157,28 @@ def top_k(rows: DataFrame, is_query: Column, vector: str = "vector", k: int = 5)
     packed = blocks_of(asked).withColumn("q_keys", F.lit(None).cast("array<long>"))
     # keys follow from ids and cells; queries of one id and another vector stay apart
     packed = stored(packed.drop("q_keys").select(F.col("block").alias("q_block"), "dim", F.col("ids").alias("q_ids"), F.transform("ids", lambda x, i: F.xxhash64(F.lit(0), x, F.col("block"), i)).alias("q_keys"), F.col("cells").alias("q_cells")), "queries")
-    shares = max(1, candidates.count() // 4)
-    spread = packed.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    numbers = packed.select("q_block", "dim")
-    dealt = candidates.withColumn("share", F.pmod(F.hash("block"), F.lit(shares)).cast("int"))
-    wide = dealt.join(numbers, "dim")
-    first = scored_pairs(wide.join(spread, ["q_block", "dim", "share"]), k)
+    numbers = candidates.select("block", "dim")
+    # every length has a seed block
+    least = numbers.groupBy("dim").agg(F.min("block").alias("least"))
+    seed = (F.pmod(F.xxhash64("block"), F.lit(SEED)) == 0) | (F.col("block") == F.col("least"))
+    seeds = numbers.join(least, "dim").where(seed).select("block")
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Query blocks and candidate blocks of one length, in the cells of a grid."""
+        rows, columns = (max(1, side.count() // CELL) for side in (left, right))
+        place = lambda name, n: F.pmod(F.hash(name), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        sent = left.withColumn("row", place("q_block", rows)).withColumn("column", every(columns))
+        return right.withColumn("column", place("block", columns)).withColumn("row", every(rows)).join(sent, ["row", "column", "dim"])
+
+    first = scored_pairs(met(packed, candidates.join(seeds, "block")), k)
     by_query = Window.partitionBy("query_key").orderBy(F.col("score").desc(), "vec_id")
     kth = first.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
     cut = kth.groupBy("query_key").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("low"))
     lowest = F.lit(-(2**63) + 1)
     each = packed.select("q_block", F.posexplode("q_keys").alias("at", "query_key")).join(cut, "query_key", "left")
     cutoffs = each.groupBy("q_block").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce("low", lowest).alias("low")))), lambda s: s["low"]).alias("cutoff"))
-    later = stored(spread.join(cutoffs, "q_block"), "cutoffs")
-    second = scored_pairs(wide.join(later, ["q_block", "dim", "share"]), k)
+    later = stored(packed.join(cutoffs, "q_block"), "cutoffs")
+    second = scored_pairs(met(later, candidates), k)
     ranked = second.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

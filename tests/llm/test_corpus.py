@@ -316,3 +316,20 @@ def test_top_k_repeated_id_with_other_vectors(spark):
     df = spark.createDataFrame([(0, [1.0]), (0, [-1.0]), (1, [2.0]), (2, [-2.0])], "id long, vector array<double>")
     got = sorted(tuple(r) for r in top_k.top_k(df, df["id"] == 0, k=1).collect())
     assert got == [(0, 1, 1, 2 * 65536), (0, 1, 2, 2 * 65536)]
+
+
+def test_top_k_in_many_cells(spark, monkeypatch):
+    """Many blocks of several lengths, with vectors far larger in some blocks than in the others."""
+    monkeypatch.setattr(top_k, "BLOCK", 16)
+    monkeypatch.setattr(top_k, "CELL", 2)
+    rng = np.random.default_rng(8)
+    vectors = [rng.normal(size=8 if i % 7 else 3) * (30 if i // 50 == 3 else 1) for i in range(500)]
+    vectors[41] = vectors[40]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, vector array<double>").repartition(3)
+    got = [tuple(r) for r in top_k.top_k(df, df["id"] % 4 == 0).orderBy("query_id", "rank").collect()]
+    cells = [np.floor(256 * v).astype(int) for v in vectors]
+    want = []
+    for q in range(0, 500, 4):
+        scored = sorted((-int(cells[q] @ v), i) for i, v in enumerate(cells) if i != q and len(v) == len(cells[q]))
+        want += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored[:5], 1)]
+    assert got == want
