@@ -13,7 +13,9 @@ leaves is carried to the next size, so that a source misses its target by about
 its smallest documents. Copies go to the documents of a size by rank; ranks are
 salted, so a source or size may hold any share of the rows.
 
-Tables by source (one row each) are ordered in one task; they hold no documents.
+Sources are numbered by ranges and their targets found from sums over the table of
+sources, so that there may be as many of them as there are hosts. One task rounds the
+distinct sizes of one source: a source of w words has at most sqrt(2 * w) of them.
 
 Defined results: a missing text has size 0 and takes 0 words; a missing source
 is a source of its own, sorted last; an empty table gives an empty result.
@@ -35,6 +37,7 @@ WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2.0
 STEPS, HALVINGS, CLOSE = 40, 80, 1e-7
 ROWS_A_SALT = 1_000_000
+RANGES = 64
 
 
 def word_count(text: Column) -> Column:
@@ -42,27 +45,43 @@ def word_count(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), "[ \\t-\\r]+"), "")).cast("long")
 
 
+def numbered(rows: DataFrame, parts: int = RANGES) -> DataFrame:
+    """``rows`` with ``place``, from 0, by code point of ``source``, null last.
+
+    Ranges of sources are numbered apart and shifted by the counts of the ranges
+    before them, so that one task orders no more than ``parts`` counts.
+    """
+    order = F.col("source").asc_nulls_last()
+    ranged = stored(rows.repartitionByRange(parts, order).withColumn("range", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("held"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select("range", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("shift"))
+    within = F.row_number().over(Window.partitionBy("range").orderBy(order)) - 1
+    return ranged.withColumn("place", within).join(shifts, "range").withColumn("place", F.col("place") + F.col("shift")).select(*rows.columns, "place")
+
+
 def source_targets(sizes: DataFrame) -> DataFrame:
     """``source``, ``source_size``, ``n``, ``target`` from rows of source, size, n.
 
-    The level t with sum(min(2 * size, weight * t)) = total is where resharing
-    the excess by weight ends; sources sorted by their cap over their weight give
-    it from running sums.
+    Every round shares what the stopped sources leave by the weights of the others, until no
+    more stop: the level per weight only rises, from sums of whole numbers, one job a round.
     """
     per = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n"))
-    turn = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(WEIGHTS)
-    weighed = per.withColumn("weight", F.get(F.array(*[F.lit(float(w)) for w in WEIGHTS]), turn))
-    weighed = weighed.withColumn("cap", CAP * F.col("source_size"))
-    before = Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (SHARE * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    found = weighed.withColumn("ratio", F.col("cap") / F.col("weight")).withColumn("level", level)
-    place = F.row_number().over(Window.orderBy("ratio", F.col("source").asc_nulls_last()))
-    first = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("place", "level"))).over(everything)
-    found = found.withColumn("place", place).withColumn("t", first["level"])
-    target = F.least(F.col("cap"), F.col("weight") * F.coalesce(F.col("t"), F.lit(0.0)))
-    return found.select("source", "source_size", "n", target.alias("target"))
+    weight = F.get(F.array(*[F.lit(w) for w in WEIGHTS]), F.col("place") % len(WEIGHTS))
+    weighed = stored(numbered(per).select("source", "source_size", "n", weight.alias("weight")), "weights")
+    level, held = 0.0, -1
+    while True:
+        stops = F.col("weight") * F.lit(level) > CAP * F.col("source_size")
+        sums = weighed.agg(
+            F.sum("source_size").alias("every"), F.sum(F.when(stops, F.col("source_size"))).alias("stopped"),
+            F.sum(F.when(~stops, F.col("weight"))).alias("sharing"), F.count(F.when(stops, 1)).alias("held"),
+        ).first()
+        if sums["held"] == held or not sums["sharing"]:
+            break
+        held = sums["held"]
+        level = (SHARE * (sums["every"] or 0) - CAP * (sums["stopped"] or 0)) / sums["sharing"]
+    target = F.least(CAP * F.col("source_size"), F.col("weight") * F.lit(level))
+    return weighed.select("source", "source_size", "n", target.alias("target"))
 
 
 def rate(lam: Column, x: Column) -> Column:

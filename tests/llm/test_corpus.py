@@ -274,6 +274,22 @@ def test_source_mix(request, source):
         assert Counter(map(tuple, again)) == Counter(map(tuple, rows))
 
 
+def test_source_targets_of_many_sources(spark):
+    """Sources by the thousand, sizes over many magnitudes: the targets of resharing round by round."""
+    rng = np.random.default_rng(3)
+    sizes = {f"host{i}\u00e9" if i % 2 else f"Host {i}": int(10 ** rng.uniform(0, 7)) for i in range(5000)}
+    sizes |= {None: 12345, "": 7, "empty": 0}
+    cells = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, size long, n long").repartition(8)
+    got = {r["source"]: r["target"] for r in source_mix.source_targets(cells).collect()}
+    want = brute.targets(sizes)
+    assert got.keys() == want.keys() and all(abs(got[s] - t) <= 1e-9 * t for s, t in want.items())
+    none = spark.createDataFrame([("a", 0, 3), (None, 0, 1)], cells.schema)
+    assert {r["source"]: r["target"] for r in source_mix.source_targets(none).collect()} == {"a": 0.0, None: 0.0}
+    plan = source_mix.numbered(cells.select("source")).orderBy("place").collect()
+    assert [r["place"] for r in plan] == list(range(len(sizes))) and plan[-1]["source"] is None
+    assert [r["source"].encode() for r in plan[:-1]] == sorted(s.encode() for s in sizes if s is not None)
+
+
 def test_source_mix_documents(odd_docs):
     mixed = source_mix.mixed_documents(odd_docs)
     assert mixed.columns == odd_docs.columns and mixed.count() > 0
