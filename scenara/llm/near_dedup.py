@@ -12,9 +12,10 @@ are alike at 0.8 share none of these with probability 0.36 ** 16, about 8e-8.
 Texts with the same words are one node from the start. In every bucket of a
 sketch, members are first compared with the bucket's most central text (the one
 in the fullest buckets), one pair for a member. After that most buckets lie in
-one component. Buckets that do not are gone through in blocks of bounded size:
-texts of different components are compared in the task, in the first bucket they
-share: by size, by an upper bound of their overlap from bitmaps, then exactly.
+one component. Buckets that do not are gone through in blocks of bounded size, twice. First
+without texts: a member stays if another of a different component, in the first bucket
+they share, passes by size and by an upper bound of the overlap from stored bitmaps. Then
+the texts of those that stay are compared in the task, by the same bounds and exactly.
 Only links are given out. No bucket is capped, and no list of all pairs is made.
 
 A pair is linked if the aligned shingles are at least 0.8 of all its shingles,
@@ -44,8 +45,8 @@ from scenara.llm.common import NO_ID, Rolling, keyed, mix, packed, slices, store
 SHINGLE, SIMILAR = 5, 0.8
 SKETCHES, PICKED = 16, 2
 SLICE = 1 << 20
-BLOCK_ROWS = 1024
-MOST_BITS = 1 << 14
+BLOCK_ROWS, BLOCK_BYTES = 1024, 8 << 20
+MOST_BITS = 1 << 17
 ROUNDS = 60
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -143,14 +144,12 @@ def plain_sketches(labels: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def all_sketches(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def all_sketches(labels: np.ndarray, first: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Order sketches, plain sketches of the sets and of the labelled shingles.
 
     The set is the shingles labelled as first occurrences, so that the last two are
     equal for a row without repeats.
     """
-    nth = occurrences(shingles, offsets)
-    labels, first = labelled(shingles, nth), nth == 0
     of_bags = plain_sketches(labels, offsets)
     of_sets = of_bags if first.all() else plain_sketches(labels[first], np.append(0, np.cumsum(first))[offsets])
     return np.hstack([order_sketches(labels, offsets), of_sets, of_bags])
@@ -158,8 +157,9 @@ def all_sketches(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def sketch_rows(rows: DataFrame) -> DataFrame:
     """``doc_id``, ``k1``, ``k2``, identity of the words ``w1``, ``w2`` (null without words),
-    number of words and sketches."""
-    schema = "doc_id long, k1 long, k2 long, w1 long, w2 long, words int, sketches array<long>"
+    number of words, sketches, and of the set of shingles and of the labelled ones (null
+    if none repeats) the size and the bitmap."""
+    schema = "doc_id long, k1 long, k2 long, w1 long, w2 long, words int, sketches array<long>, kinds int, set_bits binary, bag_bits binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
@@ -172,13 +172,22 @@ def sketch_rows(rows: DataFrame) -> DataFrame:
                 shingles, s_at = shingle_hashes(hashes, at)
                 full = np.flatnonzero(np.diff(s_at))
                 sketches: list[list[int] | None] = [None] * (b - a)
+                kinds, set_bits, bag_bits = ([None] * (b - a) for _ in range(3))
                 if len(full):
-                    got = all_sketches(shingles, np.append(s_at[full], s_at[-1])).view(np.int64)
-                    for i, values in zip(full.tolist(), got.tolist(), strict=True):
+                    offsets_of = np.append(s_at[full], s_at[-1])
+                    nth = occurrences(shingles, offsets_of)
+                    labels = labelled(shingles, nth)
+                    got = all_sketches(labels, nth == 0, offsets_of).view(np.int64)
+                    for at_full, (i, values) in enumerate(zip(full.tolist(), got.tolist(), strict=True)):
+                        x, y = offsets_of[at_full : at_full + 2]
+                        bag, once = labels[x:y], nth[x:y] == 0
+                        kinds[i] = int(once.sum())
                         sketches[i] = values
+                        set_bits[i] = bitmap(bag[once], width(kinds[i])).tobytes()
+                        bag_bits[i] = None if kinds[i] == y - x else bitmap(bag, width(int(y - x))).tobytes()
                 half = lambda i: pa.array([None if x is None else int.from_bytes(x[i : i + 8], "big", signed=True) for x in ids], pa.int64())  # noqa: B023, E731
-                columns = [*(batch.column(c).slice(a, b - a) for c in ("doc_id", "k1", "k2")), half(0), half(8), pa.array(np.diff(at), pa.int32()), pa.array(sketches, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "w1", "w2", "words", "sketches"])
+                columns = [*(batch.column(c).slice(a, b - a) for c in ("doc_id", "k1", "k2")), half(0), half(8), pa.array(np.diff(at), pa.int32()), pa.array(sketches, pa.list_(pa.int64())), pa.array(kinds, pa.int32()), pa.array(set_bits, pa.binary()), pa.array(bag_bits, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
 
     return rows.select("doc_id", "k1", "k2", "text").mapInArrow(run, schema)
 
@@ -231,15 +240,22 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
+def width(n: int) -> int:
+    """Bits of the bitmap of ``n`` values: a power of two."""
+    return min(MOST_BITS, 1 << max(6, (2 * n - 1).bit_length()))
+
+
+def bitmap(bag: np.ndarray, bits: int) -> np.ndarray:
+    """The bits that the values fall on, in bytes. Its halves joined by or are the bitmap of half the width."""
+    hit = np.zeros(bits, bool)
+    hit[(bag & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(hit)
+
+
 def bitmaps(bags: list[np.ndarray]) -> np.ndarray:
-    """A row of bits for each array: those its values fall on."""
-    bits = min(MOST_BITS, 1 << max(6, (2 * max(map(len, bags)) - 1).bit_length()))
-    out = np.zeros((len(bags), bits // 8), np.uint8)
-    for row, bag in zip(out, bags, strict=True):
-        hit = np.zeros(bits, bool)
-        hit[(bag & np.uint64(bits - 1)).astype(np.int64)] = True
-        row[:] = np.packbits(hit)
-    return out.view(np.uint64)
+    """A row of bits for each array, all of one width."""
+    bits = width(max(map(len, bags)))
+    return np.stack([bitmap(bag, bits) for bag in bags]).view(np.uint64)
 
 
 def may_overlap(mine: np.ndarray, n: int, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -306,18 +322,110 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.select("id").join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
+BLOCK_PAIR = ["bucket", "low", "high"]
+
+
+def in_block_pairs(members: DataFrame, columns: list[str]) -> DataFrame:
+    """The members, once for every two blocks of their bucket that theirs is one of, sorted by them.
+
+    ``members`` has ``bucket``, ``id``, ``load`` (bytes) and ``columns``. Buckets are cut into blocks
+    of about ``BLOCK_ROWS`` rows or ``BLOCK_BYTES``, whichever gives more.
+    """
+    whole = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.sum("load").alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int")
+    mine = F.pmod(F.hash("id"), F.col("blocks"))
+    dealt = members.join(whole, "bucket").withColumn("blocks", blocks).withColumn("mine", mine)
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    named = met.select("bucket", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "id", *columns)
+    return named.repartition(*BLOCK_PAIR).sortWithinPartitions(*BLOCK_PAIR)
+
+
+def candidates_of(sizes: np.ndarray, comps: np.ndarray, blocks: np.ndarray, found: np.ndarray, bucket: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For members in order of size: those before of a size that allows a link, of another component
+    and block (if there are two), that share this bucket first."""
+    across = len(set(blocks.tolist())) > 1
+    for i in range(1, len(sizes)):
+        first = int(np.searchsorted(sizes, int(np.ceil(SIMILAR * sizes[i] - 1e-9))))
+        apart = comps[first:i] != comps[i]
+        if across:
+            apart &= blocks[first:i] != blocks[i]
+        near = np.flatnonzero(apart) + first
+        if len(near):
+            same = found[near] == found[i]
+            # a pair is compared in the first bucket it shares
+            near = near[(found[i][same.argmax(axis=1)] == bucket) & same.any(axis=1)]
+        if len(near):
+            yield i, near
+
+
+def with_partner(group: list[tuple], bucket: int) -> set[int]:
+    """Ids of the members whose bitmaps allow a link with another one."""
+    *numbers, sketches, set_bits, bag_bits = zip(*group, strict=True)
+    blocks, ids, comps, kinds, counts = (np.array(x, np.int64) for x in numbers)
+    found, set_bits, bag_bits = np.stack(sketches), np.array(set_bits, object), np.array(bag_bits, object)
+    repeats = np.array([x is not None for x in bag_bits])
+    out: set[int] = set()
+    for sizes, bits in ((kinds, set_bits), (counts, np.where(repeats, bag_bits, set_bits))):
+        order = np.argsort(sizes, kind="stable")
+        sizes, bits = sizes[order], bits[order]
+        wide = np.array([len(x) for x in bits])
+        # in order of size, bitmaps of one width are neighbours
+        starts = {int(w): int(np.searchsorted(wide, w)) for w in np.unique(wide)}
+        rows = {w: np.stack([np.frombuffer(x, np.uint64) for x in bits[wide == w]]) for w in starts}
+        for i, near in candidates_of(sizes, comps[order], blocks[order], found[order], bucket):
+            w = int(wide[i])
+            cut, mine = starts[w], rows[w][i - starts[w]]
+            # sizes that allow a link lie in two widths at most
+            sides = [(near[near >= cut], mine, w)]
+            if near[0] < cut:
+                sides.append((near[near < cut], np.bitwise_or(*mine.reshape(2, -1)), w // 2))
+            for close, own, at in sides:
+                if len(close):
+                    close = close[may_overlap(own, int(sizes[i]), rows[at][close - starts[at]], sizes[close])]
+                if len(close):
+                    out.add(int(ids[order[i]]))
+                    out.update(ids[order[close]].tolist())
+        # without repeats the labelled shingles are the sets
+        if not repeats.any():
+            break
+    return out
+
+
+def members_to_compare(rest: DataFrame) -> DataFrame:
+    """``bucket`` and ``id`` of the members that may be linked with one of another component.
+
+    ``rest`` has ``bucket``, ``id``, ``component``, ``sketches``, ``kinds``, ``words`` and the bitmaps;
+    no text is needed, and at most one row a member and pair of blocks is given out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group = None, []
+
+        def emit() -> pa.RecordBatch:
+            ids = sorted(with_partner(group, key[0])) if len({g[2] for g in group}) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(ids), pa.int64()), pa.array(ids, pa.int64())], ["bucket", "id"])
+
+        for batch in batches:
+            names = (*BLOCK_PAIR, "mine", "id", "component", "sketches", "kinds", "words", "set_bits", "bag_bits")
+            for bucket, low, high, mine, id_, component, sketches, kinds, words, *bits in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if (bucket, low, high) != key:
+                    if group:
+                        yield emit()
+                    key, group = (bucket, low, high), []
+                group.append((mine, id_, component, kinds, words - SHINGLE + 1, np.array(sketches), *bits))
+        if group:
+            yield emit()
+
+    load = F.octet_length("set_bits") + F.coalesce(F.octet_length("bag_bits"), F.lit(0)) + 8 * F.size("sketches")
+    pairs = in_block_pairs(rest.withColumn("load", load.cast("long")), ["component", "sketches", "kinds", "words", "set_bits", "bag_bits"])
+    return pairs.mapInArrow(run, "bucket long, id long").distinct()
+
+
 def links_across(rest: DataFrame) -> DataFrame:
     """Links between texts of different components that share a bucket.
 
-    ``rest`` has ``bucket``, ``size``, ``id``, ``component``, ``sketches`` and ``text``. Buckets
-    are cut into blocks of about ``BLOCK_ROWS``; every two blocks of a bucket
-    meet in a group of their own.
+    ``rest`` has ``bucket``, ``id``, ``component``, ``sketches`` and ``text``.
     """
-    blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
-    mine = F.pmod(F.hash("id"), F.col("blocks"))
-    dealt = rest.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keys = ["bucket", "low", "high"]
-    grouped = dealt.select("bucket", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "id", "component", "sketches", "text")
 
     def compare(group: list[tuple], bucket: int) -> list[tuple[int, int]]:
         blocks, ids, comps, sketches, sets, labels = zip(*group, strict=True)
@@ -330,24 +438,13 @@ def links_across(rest: DataFrame) -> DataFrame:
             return c
 
         out: list[tuple[int, int]] = []
-        across = len(set(blocks)) > 1
         # sets of shingles first, as those links always hold; then labelled ones
         for bags, certain in ((sets, True), (labels, False)):
             sizes = np.array([len(x) for x in bags])
             order = np.argsort(sizes, kind="stable")
             sizes, found, bits = sizes[order], np.stack(sketches)[order], bitmaps(bags)[order]
             comp, part = np.array(comps)[order], np.array(blocks)[order]
-            for i in range(1, len(order)):
-                first = int(np.searchsorted(sizes, int(np.ceil(SIMILAR * sizes[i] - 1e-9))))
-                apart = comp[first:i] != comp[i]
-                if across:
-                    apart &= part[first:i] != part[i]
-                near = np.flatnonzero(apart) + first
-                if not len(near):
-                    continue
-                same = found[near] == found[i]
-                # a pair is compared in the first bucket it shares
-                near = near[(found[i][same.argmax(axis=1)] == bucket) & same.any(axis=1)]
+            for i, near in candidates_of(sizes, comp, part, found, bucket):
                 near = near[may_overlap(bits[i], int(sizes[i]), bits[near], sizes[near])]
                 me = order[i]
                 for j in near.tolist():
@@ -369,7 +466,7 @@ def links_across(rest: DataFrame) -> DataFrame:
 
         for batch in batches:
             bags = [x for _, shingles, labels in texts_of(batch.column("text"), rolling) for x in zip(shingles, labels, strict=True)]
-            columns = [batch.column(c).to_pylist() for c in (*keys, "mine", "id", "component", "sketches")]
+            columns = [batch.column(c).to_pylist() for c in (*BLOCK_PAIR, "mine", "id", "component", "sketches")]
             for i, (bucket, low, high, mine, id_, component, sketches) in enumerate(zip(*columns, strict=True)):
                 if (bucket, low, high) != key:
                     if group:
@@ -379,7 +476,8 @@ def links_across(rest: DataFrame) -> DataFrame:
         if group:
             yield emit()
 
-    return grouped.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    pairs = in_block_pairs(rest.withColumn("load", F.octet_length("text").cast("long")), ["component", "sketches", "text"])
+    return pairs.mapInArrow(run, "a long, b long")
 
 
 def near_classes(rows: DataFrame) -> DataFrame:
@@ -387,8 +485,9 @@ def near_classes(rows: DataFrame) -> DataFrame:
     smallest row key of the class."""
     sketched = stored(sketch_rows(rows), "sketches")
     worded = sketched.where(F.col("w1").isNotNull())
-    nodes = worded.groupBy("w1", "w2").agg(F.min(F.struct("k1", "k2")).alias("one"), F.first("sketches").alias("sketches"))
-    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("id"), "w1", "w2", "one.*", "sketches"), "nodes")
+    made = ["sketches", "kinds", "words", "set_bits", "bag_bits"]
+    nodes = worded.groupBy("w1", "w2").agg(F.min(F.struct("k1", "k2")).alias("one"), F.first(F.struct(*made)).alias("made"))
+    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("id"), "w1", "w2", "one.*", "made.*"), "nodes")
     entries = nodes.where(F.col("sketches").isNotNull()).select("id", F.explode(F.array_distinct("sketches")).alias("bucket"))
     full = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     entries = stored(entries.join(full, "bucket"), "buckets")
@@ -402,9 +501,11 @@ def near_classes(rows: DataFrame) -> DataFrame:
     pairs = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = stored(verified(pairs, bodies), "links")
     first = stored(components(nodes, links), "components")
-    placed = entries.join(first, "id")
+    placed = entries.join(first, "id").select("bucket", "id", "component")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
-    rest = placed.join(mixed.select("bucket"), "bucket").join(bodies.select("id", "text"), "id").join(nodes.select("id", "sketches"), "id")
+    rest = placed.join(mixed.select("bucket"), "bucket").join(nodes.select("id", *made), "id")
+    hopeful = stored(members_to_compare(rest), "members")
+    rest = hopeful.join(first, "id").join(bodies.select("id", "text"), "id").join(nodes.select("id", "sketches"), "id")
     more = verified(links_across(rest).distinct(), bodies)
     links = stored(links.select("a", "b").union(more.select("a", "b")), "links")
     final = components(nodes, links)

@@ -207,6 +207,40 @@ def test_overlap_bound():
         assert n > 5000 or n < 40 or list(may) == real
 
 
+def test_members_with_partners():
+    """No member of a pair that the sets or the labelled shingles link is left out, whatever its bitmap's width."""
+    rng = np.random.default_rng(9)
+    group, bags = [], []
+    for i in range(150):
+        n = int(rng.integers(20, 300))
+        if i % 3:
+            base = bags[-1]
+            kept = base[rng.random(len(base)) < rng.choice([0.75, 0.85, 0.95])]
+            bag = np.concatenate([kept, rng.integers(0, 2**63, int(rng.integers(0, 20)), dtype=np.uint64)])
+        else:
+            bag = rng.integers(0, 2**63, n, dtype=np.uint64)
+        if i % 5 == 0:
+            bag = np.concatenate([bag, bag[: len(bag) // 2]])
+        offsets = np.array([0, len(bag)])
+        nth = near_dedup.occurrences(bag, offsets)
+        labels = near_dedup.labelled(bag, nth)
+        once, again = labels[nth == 0], bool(nth.any())
+        bits = [near_dedup.bitmap(x, near_dedup.width(len(x))).tobytes() for x in (once, labels)]
+        group.append((0, i, i, len(once), len(labels), np.array([7, 8]), bits[0], bits[1] if again else None))
+        bags.append(bag)
+    once = [np.unique(b) for b in bags]
+    every = [near_dedup.labelled(b, near_dedup.occurrences(b, np.array([0, len(b)]))) for b in bags]
+    linked = {
+        i for a in range(150) for b in range(a)
+        if max(near_dedup.overlap(once[a], once[b]), near_dedup.overlap(every[a], every[b])) >= near_dedup.SIMILAR
+        for i in (a, b)
+    }
+    got = near_dedup.with_partner(group, 7)
+    assert len(linked) > 20 and linked <= got < set(range(150))
+    # a pair is looked at in the first bucket it shares
+    assert not near_dedup.with_partner(group, 8)
+
+
 @given(st.lists(st.integers(0, 4), max_size=14), st.lists(st.integers(0, 4), max_size=14), st.integers(0, 20))
 @settings(max_examples=300, deadline=None)
 def test_alignment(a, b, band):
