@@ -383,3 +383,29 @@ def test_top_k_in_many_cells(spark, monkeypatch):
         scored = sorted((-int(cells[q] @ v), i) for i, v in enumerate(cells) if i != q and len(v) == len(cells[q]))
         want += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored[:5], 1)]
     assert got == want
+
+
+def test_top_k_broadcasts_no_blocks(spark, monkeypatch):
+    """Blocks that are sent to many cells are small as files and large as rows; none goes through the driver."""
+    monkeypatch.setattr(top_k, "BLOCK", 16)
+    monkeypatch.setattr(top_k, "CANDIDATE_BYTES", 1 << 10)
+    df = spark.range(400).selectExpr("id", "array(double(id % 9), double(id % 7)) AS vector")
+    plan = top_k.top_k(df, df["id"] % 4 == 0)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and "Broadcast" not in plan
+
+
+def test_top_k_grid_is_bounded_in_bytes():
+    """Neither side is copied more often than the other side's bytes ask for, beside what keeps the cores busy."""
+    mb = 1 << 20
+    assert top_k.grid((0, 0), (0, 0), 6) == (1, 1)
+    assert top_k.grid((1, mb), (27, 7 * mb), 6) == (1, 7)
+    rows, columns = top_k.grid((150, 38 * mb), (7500, 1900 * mb), 6)
+    assert (rows, columns) == (2, 30)
+    assert columns * 38 + rows * 1900 < 6 * 1024
+
+
+def test_top_k_of_narrow_and_wide_blocks():
+    for largest, width in ((2**15 - 1, 2), (2**15, 4), (2**31 - 1, 4), (2**31, 8), (2**60, 8)):
+        cells = np.array([[0.0, -largest], [largest, 1.0]])
+        kept = top_k.narrowed(cells)
+        assert kept.itemsize == width and (top_k.unpacked(kept.tobytes(), width, 2) == cells).all()
