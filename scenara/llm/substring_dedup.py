@@ -5,7 +5,8 @@ grams (the leftmost, if equal) is its anchor, so equal windows have equal grams
 the same place. Consecutive windows of a text with one anchor form a run, and runs
 of one gram value meet in a group; windows of different groups differ.
 
-1. Runs are hashed (128 bits: gram and text) and counted. A run whose text occurs twice is covered as
+1. Runs are hashed (128 bits: gram and text). Those whose gram occurs once are left out; the others
+   are counted. A run whose text occurs twice is covered as
    a whole, whatever the size of its group of copies; one of each kind goes on.
 2. In each group that has two or more kinds, the contexts right of the anchors are sorted
    (a sparse suffix array) with their common prefixes; a stack scan gives the tree
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from scenara.llm.common import NO_ID, Rolling, slices, stored, text_buffer
+from scenara.llm.common import NO_ID, Rolling, removed, slices, stored, stored_at, text_buffer
 
 WINDOW, GRAM = 400, 32
 PART_BYTES = 1 << 20
@@ -250,9 +251,22 @@ def repeats_by_hash(contexts: DataFrame, window: int) -> DataFrame:
     return hits.groupBy("gram", "kind").agg(F.collect_list(one).alias("ranges"))
 
 
+def met_runs(runs: DataFrame) -> DataFrame:
+    """The runs whose gram stands at two places at least: no other can share a window.
+
+    Grams are counted with partial sums of their own, so that the rows of a run,
+    several times as wide, are sent once and only few of them again.
+    """
+    runs, path = stored_at(runs, "runs")
+    twice = runs.groupBy("gram").agg(F.sum(F.size("starts")).alias("places")).where("places > 1").drop("places")
+    met = stored(runs.join(twice, "gram", "left_semi"), "met-runs")
+    removed(runs.sparkSession, path)
+    return met
+
+
 def repeated_runs(docs: DataFrame, window: int = WINDOW, group_runs: int = GROUP_RUNS) -> DataFrame:
     """From ``docs`` (from ``prepared``), ``k1``, ``k2``, ``runs``: the ranges of repeated window starts by document."""
-    runs = stored(find_runs(docs, window), "runs")
+    runs = met_runs(find_runs(docs, window))
     kinds = runs.groupBy("gram", "kind").agg(
         F.sum(F.size("starts")).alias("copies"),
         F.min(F.struct("k1", "k2", F.get("starts", F.lit(0)).alias("start"))).alias("one"),

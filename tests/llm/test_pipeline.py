@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import brute
 import corpus_pipeline
-from scenara.llm import license_scan, packing, quality_rules, tokens
+from scenara.llm import license_scan, packing, quality_rules, substring_dedup, tokens
 
 
 def kept_by_rules(text):
@@ -79,6 +79,27 @@ def test_stage_finds_passages_of_fifty_words(spark, sf_dir):
         assert got[i]["n_chars"] == len(got[i]["text"])
 
 
+def test_repeated_strings_hold_only_runs_that_meet(spark, sf_dir, monkeypatch):
+    """Runs whose anchor stands nowhere else are not counted by kind, sent or stored again."""
+    rng = np.random.default_rng(9)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n))
+    passage = prose(60)
+    texts = [f"{prose(300)} {passage if i < 2 else prose(60)} {prose(300)}" for i in range(20)]
+    rows, write = {}, substring_dedup.stored_at
+
+    def counted(df, name):
+        out = write(df, name)
+        rows[name] = out[0].count()
+        return out
+
+    monkeypatch.setattr(substring_dedup, "stored_at", counted)
+    monkeypatch.setattr(substring_dedup, "stored", lambda df, name: counted(df, name)[0])
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in dict(corpus_pipeline.STAGES)["substring_dedup"](spark, docs, sf_dir).collect()}
+    assert all((t == got[i]) == (i > 1) and (passage in t) == (i < 2) and passage not in got[i] for i, t in enumerate(texts))
+    assert rows["kinds"] < rows["runs"] / 10
+
+
 def test_stages_keep_columns_of_any_name(spark, odd_docs, sf_dir):
     """What a stage keeps has the values it came with, whatever its columns are called."""
     docs = odd_docs.withColumn("text", F.when(F.col("doc_id") < 4, F.col("text")).otherwise(F.lit("line\n")))
