@@ -34,7 +34,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.removal_digest(table(spark, sf_dir, "documents"))
+    return substring_dedup.removal_digest(table(spark, sf_dir, "documents"), passage=corpus_pipeline.PASSAGE_BYTES)
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,11 @@ of one gram value meet in a group; windows of different groups differ.
    hashed one by one and counted with partial sums, which is exact as well.
 4. Covered bytes are united by document and removed.
 
+A second, shorter window (``passage``) may be asked for beside the first. What it covers
+is counted, not removed. Both go through the steps above together: a place that is the
+anchor of runs of both sizes sends one row to step 1, and the last bit of a gram tells
+the groups of the two sizes apart after it.
+
 Defined results: a missing text is the empty text; texts shorter than a window
 stay as they are; rows that repeat (equal id and text) are copies of each other;
 long texts are scanned in overlapping parts.
@@ -30,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
@@ -44,6 +49,8 @@ BATCH_RUNS = 20_000
 
 RUNS = "gram long, kind long, k1 long, k2 long, starts array<int>, windows int, anchor int"
 RUN_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32()]
+BOTH_RUNS = "gram long, k1 long, k2 long, places array<int>, kind long, windows int, anchor int, short_kind long, short_windows int, short_anchor int"
+BOTH_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), *[pa.int64(), pa.int32(), pa.int32()] * 2]
 
 
 def names(schema: str) -> list[str]:
@@ -100,23 +107,77 @@ def find_runs(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("k1", "k2", "text").mapInArrow(run, RUNS)
 
 
-CONTEXTS = "gram long, kind long, anchor int, windows int, context binary"
+def runs_of_both(data: np.ndarray, window: int, passage: int, rolling: Rolling, most: int = LONG_PART) -> Iterator[tuple]:
+    """Anchor's place and gram, then kind, windows and anchor within the run, for runs of ``window`` and of ``passage`` bytes.
+
+    A size that has no run at the place has 0 windows. A part owns the windows of either size that start in it.
+    """
+    step = most - window + 1
+    for shift in range(0, max(0, len(data) - passage + 1), step):
+        part = data[shift : shift + most]
+        raw = part.tobytes()
+        grams = rolling.grams(rolling.prefix(part), GRAM)
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for side, (least, size) in enumerate(((window, len(part)), (passage, min(len(part), step + passage - 1)))):
+            if size >= least:
+                for p, n, at in zip(*(x.tolist() for x in anchored_runs(grams[: size - GRAM + 1], size, least)), strict=True):
+                    kind = hashlib.blake2b(raw[p : p + n + least - 1], digest_size=8).digest()
+                    found.setdefault(at, [(0, 0, 0), (0, 0, 0)])[side] = (int.from_bytes(kind, "big", signed=True), n, at - p)
+        values = grams.view(np.int64)
+        for at, (long, short) in found.items():
+            yield at + shift, int(values[at]), *long, *short
+
+
+def find_both_runs(docs: DataFrame, window: int, passage: int) -> DataFrame:
+    """One row for each document, gram and pair of kinds of run that share an anchor, with its places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling = Rolling()
+        for batch in batches:
+            data, offsets = text_buffer(batch.column("text"))
+            k1, k2 = batch.column("k1").to_pylist(), batch.column("k2").to_pylist()
+            for a, b in slices(offsets, PART_BYTES):
+                found: dict[tuple, list[int]] = {}
+                for row in range(a, b):
+                    for place, *both in runs_of_both(data[offsets[row] : offsets[row + 1]], window, passage, rolling):
+                        found.setdefault((row, *both), []).append(place)
+                columns = list(zip(*((gram, k1[r], k2[r], places, *both) for (r, gram, *both), places in found.items()), strict=True)) or [()] * len(BOTH_KINDS)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, BOTH_KINDS, strict=True)], names(BOTH_RUNS))
+
+    return docs.select("k1", "k2", "text").mapInArrow(run, BOTH_RUNS)
+
+
+def apart(runs: DataFrame, window: int, passage: int) -> DataFrame:
+    """The runs of ``find_both_runs`` one by one, with their ``window``; the last bit of ``gram`` is the size."""
+
+    def side(bit: int, prefix: str, size: int) -> DataFrame:
+        kind, windows, anchor = (F.col(prefix + c) for c in ("kind", "windows", "anchor"))
+        columns = {
+            "gram": F.col("gram").bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(bit)), "kind": kind, "k1": F.col("k1"), "k2": F.col("k2"),
+            "starts": F.transform("places", lambda at: at - anchor), "windows": windows, "anchor": anchor, "window": F.lit(size),
+        }
+        return runs.where(windows > 0).select(*[c.alias(name) for name, c in columns.items()])
+
+    return side(0, "", window).unionByName(side(1, "short_", passage))
+
 
+CONTEXTS = "gram long, kind long, anchor int, windows int, window int, context binary"
 
-def contexts_of(docs: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
+
+def contexts_of(docs: DataFrame, chosen: DataFrame, window: int | Column) -> DataFrame:
     """The bytes of chosen runs, one for each gram and kind."""
-    wanted = chosen.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "kind", "anchor", "windows", "start")).alias("runs"))
+    wanted = chosen.withColumn("window", F.lit(window)).groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "kind", "anchor", "windows", "window", "start")).alias("runs"))
     joined = docs.join(wanted, ["k1", "k2"])
     # all columns are read, so that this shuffle of the texts serves the last join too
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
             rows = []
             for text, runs in zip(batch.column("text"), batch.column("runs"), strict=True):
                 raw = (text.as_py() or "").encode()
                 for r in runs.as_py():
-                    rows.append((r["gram"], r["kind"], r["anchor"], r["windows"], raw[r["start"] : r["start"] + r["windows"] + window - 1]))
+                    rows.append((r["gram"], r["kind"], r["anchor"], r["windows"], r["window"], raw[r["start"] : r["start"] + r["windows"] + r["window"] - 1]))
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names(CONTEXTS))
 
@@ -199,14 +260,14 @@ FOUND = "gram long, kind long, ranges array<struct<first:int,last:int>>"
 RANGES = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
 
-def repeats_in_groups(contexts: DataFrame, window: int) -> DataFrame:
+def repeats_in_groups(contexts: DataFrame) -> DataFrame:
     """Repeated window starts of each kind; groups arrive sorted by gram."""
 
     def emit(groups: list[tuple[int, list]]) -> pa.RecordBatch:
         rows = []
         for gram, members in groups:
             if len(members) > 1:
-                for (kind, *_), ranges in zip(members, covered_starts([m[1:] for m in members], window), strict=True):
+                for (kind, *_), ranges in zip(members, covered_starts([m[2:] for m in members], members[0][1]), strict=True):
                     if ranges:
                         rows.append((gram, kind, [{"first": a, "last": b} for a, b in ranges]))
         columns = list(zip(*rows, strict=True)) or [(), (), ()]
@@ -217,7 +278,7 @@ def repeats_in_groups(contexts: DataFrame, window: int) -> DataFrame:
         groups: list[tuple[int, list]] = []
         held = 0
         for batch in batches:
-            for gram, *member in zip(*(batch.column(c).to_pylist() for c in ("gram", "kind", "anchor", "windows", "context")), strict=True):
+            for gram, *member in zip(*(batch.column(c).to_pylist() for c in ("gram", "kind", "window", "anchor", "windows", "context")), strict=True):
                 if not groups or groups[-1][0] != gram:
                     if held >= BATCH_RUNS:
                         yield emit(groups)
@@ -232,13 +293,13 @@ def repeats_in_groups(contexts: DataFrame, window: int) -> DataFrame:
     return contexts.repartition("gram").sortWithinPartitions("gram", "kind").mapInArrow(run, FOUND)
 
 
-def repeats_by_hash(contexts: DataFrame, window: int) -> DataFrame:
+def repeats_by_hash(contexts: DataFrame) -> DataFrame:
     """The same for groups of any size: every window is hashed and counted."""
     schema = "gram long, kind long, at int, h1 long, h2 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for gram, kind, windows, context in zip(*(batch.column(c).to_pylist() for c in ("gram", "kind", "windows", "context")), strict=True):
+            for gram, kind, windows, window, context in zip(*(batch.column(c).to_pylist() for c in ("gram", "kind", "windows", "window", "context")), strict=True):
                 digests = b"".join(hashlib.blake2b(context[i : i + window], digest_size=16).digest() for i in range(windows))
                 h = np.frombuffer(digests, np.int64).reshape(-1, 2)
                 columns = [pa.array(np.full(windows, gram)), pa.array(np.full(windows, kind)), pa.array(np.arange(windows, dtype=np.int32)), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())]
@@ -251,41 +312,45 @@ def repeats_by_hash(contexts: DataFrame, window: int) -> DataFrame:
     return hits.groupBy("gram", "kind").agg(F.collect_list(one).alias("ranges"))
 
 
-def met_runs(runs: DataFrame) -> DataFrame:
+def met_runs(runs: DataFrame, places: str = "starts") -> DataFrame:
     """The runs whose gram stands at two places at least: no other can share a window.
 
     Grams are counted with partial sums of their own, so that the rows of a run,
     several times as wide, are sent once and only few of them again.
     """
     runs, path = stored_at(runs, "runs")
-    twice = runs.groupBy("gram").agg(F.sum(F.size("starts")).alias("places")).where("places > 1").drop("places")
+    twice = runs.groupBy("gram").agg(F.sum(F.size(places)).alias("places")).where("places > 1").drop("places")
     met = stored(runs.join(twice, "gram", "left_semi"), "met-runs")
     removed(runs.sparkSession, path)
     return met
 
 
-def repeated_runs(docs: DataFrame, window: int = WINDOW, group_runs: int = GROUP_RUNS) -> DataFrame:
+def repeated_runs(docs: DataFrame, window: int = WINDOW, group_runs: int = GROUP_RUNS, passage: int | None = None) -> DataFrame:
     """From ``docs`` (from ``prepared``), ``k1``, ``k2``, ``runs``: the ranges of repeated window starts by document."""
-    runs = met_runs(find_runs(docs, window))
+    if passage is None:
+        runs = met_runs(find_runs(docs, window)).withColumn("window", F.lit(window))
+    else:
+        runs = apart(met_runs(find_both_runs(docs, window, passage), "places"), window, passage)
     kinds = runs.groupBy("gram", "kind").agg(
         F.sum(F.size("starts")).alias("copies"),
         F.min(F.struct("k1", "k2", F.get("starts", F.lit(0)).alias("start"))).alias("one"),
         F.first("windows").alias("windows"),
         F.first("anchor").alias("anchor"),
+        F.first("window").alias("window"),
     )
     kinds = stored(kinds, "kinds")
     groups = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    chosen = kinds.join(groups, "gram").select("gram", "kind", "one.*", "windows", "anchor", "kinds")
-    small = contexts_of(docs, chosen.where(F.col("kinds") <= group_runs), window)
-    large = contexts_of(docs, chosen.where(F.col("kinds") > group_runs), window)
-    found = repeats_in_groups(small, window)
+    chosen = kinds.join(groups, "gram").select("gram", "kind", "one.*", "windows", "anchor", "window", "kinds")
+    small = contexts_of(docs, chosen.where(F.col("kinds") <= group_runs), F.col("window"))
+    large = contexts_of(docs, chosen.where(F.col("kinds") > group_runs), F.col("window"))
+    found = repeats_in_groups(small)
     if groups.where(F.col("kinds") > group_runs).limit(1).count():
-        found = found.unionByName(repeats_by_hash(large.dropDuplicates(["gram", "kind"]), window))
+        found = found.unionByName(repeats_by_hash(large.dropDuplicates(["gram", "kind"])))
     whole = kinds.where("copies > 1").select("gram", "kind", F.array(F.struct(F.lit(0).alias("first"), (F.col("windows") - 1).alias("last"))).alias("ranges"))
     single = kinds.where("copies = 1").select("gram", "kind").join(found, ["gram", "kind"])
     results = whole.unionByName(single)
-    hits = runs.join(results, ["gram", "kind"]).select("k1", "k2", "starts", "ranges")
-    return hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("starts", "ranges")).alias("runs"))
+    hits = runs.join(results, ["gram", "kind"]).select("k1", "k2", "window", "starts", "ranges")
+    return hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("window", "starts", "ranges")).alias("runs"))
 
 
 def prepared(docs: DataFrame) -> DataFrame:
@@ -297,11 +362,15 @@ def prepared(docs: DataFrame) -> DataFrame:
     )
 
 
-def cut_documents(docs: DataFrame, window: int, group_runs: int, as_text: bool) -> DataFrame:
-    """``docs`` (from ``prepared``) as ``row``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept``:
-    the remaining bytes, or as text without the bytes of characters cut in two."""
-    joined = docs.join(repeated_runs(docs, window, group_runs), ["k1", "k2"], "left")
-    sizes = [StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
+def cut_documents(docs: DataFrame, window: int, group_runs: int, as_text: bool, passage: int | None = None) -> DataFrame:
+    """``docs`` (from ``prepared``) as ``row``, ``n_bytes``, ``n_removed``, ``n_spans``, ``n_passages``, ``n_passage_bytes``
+    and ``kept``: the remaining bytes, or as text without the bytes of characters cut in two."""
+    joined = docs.join(repeated_runs(docs, window, group_runs, passage), ["k1", "k2"], "left")
+    sizes = [StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans", "n_passages", "n_passage_bytes")]
+
+    def covered(hits: list[dict], size: int | None) -> list[tuple[int, int]]:
+        return united([(s + r["first"], s + r["last"] + size - 1) for h in hits if h["window"] == size for s in h["starts"] for r in h["ranges"]])
+
     schema = StructType([docs.schema["row"], *sizes, StructField("kept", StringType() if as_text else BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +379,8 @@ def cut_documents(docs: DataFrame, window: int, group_runs: int, as_text: bool)
             for text, hits in zip(batch.column("text"), batch.column("runs"), strict=True):
                 whole = text.as_py()
                 raw = (whole or "").encode()
-                spans = united([(s + r["first"], s + r["last"] + window - 1) for h in hits.as_py() or () for s in h["starts"] for r in h["ranges"]])
+                found = hits.as_py() or []
+                spans, passages = covered(found, window), covered(found, passage)
                 ends, starts = [0, *(b + 1 for _, b in spans)], [*(a for a, _ in spans), len(raw)]
                 left = [raw[a:b] for a, b in zip(ends, starts, strict=True)]
                 size = sum(map(len, left))
@@ -318,20 +388,23 @@ def cut_documents(docs: DataFrame, window: int, group_runs: int, as_text: bool)
                     kept = "".join(x.decode("utf-8", "ignore") for x in left) if spans else whole
                 else:
                     kept = b"".join(left)
-                rows.append((len(raw), len(raw) - size, len(spans), kept))
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["row", "n_bytes", "n_removed", "n_spans", "kept"]
-            )
+                rows.append((len(raw), len(raw) - size, len(spans), len(passages), sum(b - a + 1 for a, b in passages), kept))
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [*[pa.int64()] * 5, pa.string() if as_text else pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], schema.names)
 
     return joined.select(*docs.columns, "runs").mapInArrow(run, schema)
 
 
-def removal_digest(docs: DataFrame, window: int = WINDOW, group_runs: int = GROUP_RUNS) -> DataFrame:
-    """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` of every row."""
-    cut = cut_documents(prepared(docs.select("doc_id", "text")), window, group_runs, False)
-    return cut.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+def removal_digest(docs: DataFrame, window: int = WINDOW, group_runs: int = GROUP_RUNS, passage: int | None = None) -> DataFrame:
+    """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` of every row.
+
+    With ``passage``, at most ``window``, ``n_passages`` and ``n_passage_bytes`` follow: the runs of bytes in strings of
+    that many bytes that also start elsewhere, and their length. They are counted in the input and not removed.
+    """
+    cut = cut_documents(prepared(docs.select("doc_id", "text")), window, group_runs, False, passage)
+    more = [] if passage is None else ["n_passages", "n_passage_bytes"]
+    return cut.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), *more)
 
 
 def trimmed_documents(docs: DataFrame, window: int = WINDOW, group_runs: int = GROUP_RUNS) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import brute
 from scenara.llm import near_dedup, packing, source_mix, substring_dedup, token_counts, tokens, top_k
+from scenara.llm.catalog import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -135,6 +136,57 @@ def test_covered_starts(texts, window):
     assert got == {(t, i) for t, x in enumerate(texts) for i in range(len(x) - window + 1) if seen[x[i : i + window]] > 1}
 
 
+@given(st.lists(st.text("ab", max_size=400), max_size=4), st.integers(34, 40), st.integers(33, 40), st.integers(41, 120))
+@settings(max_examples=60, deadline=None)
+def test_runs_of_both_sizes(texts, window, passage, most):
+    """Every window of either size stands in one run, whose anchor is its own, wherever a text is parted."""
+    rolling = substring_dedup.Rolling()
+    passage = min(window, passage)
+    for text in texts:
+        data = np.frombuffer(text.encode(), np.uint8)
+        starts, anchors = {window: [], passage: []}, {window: {}, passage: {}}
+        for place, gram, _, n, at, _, n_short, at_short in substring_dedup.runs_of_both(data, window, passage, rolling, most):
+            assert n or n_short
+            sides = {window: (n, at), passage: (n_short, at_short)} if window > passage else {window: (n, at)}
+            for size, (count, anchor) in sides.items():
+                starts[size] += range(place - anchor, place - anchor + count)
+                for i in range(count):
+                    anchors[size].setdefault(text[place - anchor + i : place - anchor + i + size], set()).add((gram, anchor - i))
+        for size in starts:
+            assert sorted(starts[size]) == list(range(max(0, len(text) - size + 1)))
+            assert all(len(x) == 1 for x in anchors[size].values())
+
+
+@pytest.mark.parametrize(("source", "group_runs"), [("odd_docs", 50_000), ("documents", 50_000), ("documents", 1)])
+def test_passages_beside_removal(request, source, group_runs):
+    docs = request.getfixturevalue(source)
+    rows = docs.collect()
+    texts = [r["text"] for r in rows]
+    both = zip(rows, brute.removed(texts, 400), brute.removed(texts, 200), strict=True)
+    expected = sorted(((r["doc_id"], *x, y[2], y[1]) for r, x, y in both), key=repr)
+    got = substring_dedup.removal_digest(docs, group_runs=group_runs, passage=200)
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_bytes"]
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == expected
+
+
+def test_query_counts_passages_of_fifty_words(spark, tmp_path):
+    """Passages of 51 to 60 words in two texts are too short to be removed, but counted; other texts have none."""
+    rng = np.random.default_rng(5)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), rng.integers(3, 7))) for _ in range(n))
+    passages = [prose(n) for n in range(51, 61)]
+    texts = [f"{prose(80)} {p} {prose(70)}" for p in passages for _ in range(2)] + [prose(400) for _ in range(20)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in QUERIES["op2_substring_dedup"](spark, str(tmp_path)).collect()}
+    for i, (text, plain) in enumerate(zip(texts, brute.removed(texts, 400), strict=True)):
+        r = got[i]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == plain and r["n_bytes"] == len(text)
+        if i < 20:
+            assert r["n_removed"] == 0 and r["n_passages"] == 1
+            assert 0 <= r["n_passage_bytes"] - len(passages[i // 2]) <= 10
+        else:
+            assert r["n_passages"] == r["n_passage_bytes"] == 0
+
+
 def test_trimmed_documents(odd_docs):
     cut = substring_dedup.trimmed_documents(odd_docs)
     assert cut.columns == odd_docs.columns and cut.count() == odd_docs.count()
